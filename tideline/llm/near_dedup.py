@@ -235,6 +235,11 @@ def _labelled(marked: DataFrame, labels: DataFrame) -> DataFrame:
     return out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
 
 
+def _renewed(df: DataFrame) -> DataFrame:
+    """The same columns under new identities, for a table on both sides of a cogroup."""
+    return df.select(*(F.col(c).alias(c) for c in df.columns))
+
+
 def _resolved(docs: DataFrame, similarity: int, pivots: int, tile: int) -> tuple[DataFrame, DataFrame]:
     """Fingerprints, and (rep, comp) of the representatives that are linked with others."""
     links_of = _links(similarity)
@@ -253,13 +258,13 @@ def _resolved(docs: DataFrame, similarity: int, pivots: int, tile: int) -> tuple
     wanted = pairs.select("rep").union(pairs.select("pivot")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep", "left_semi")
     texts = stage(texts, "near_texts")
-    read = lambda: texts.select(F.col("rep").alias("rep"), F.col("text").alias("text"))
 
     sizes = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("_tiles"))
     right = pairs.join(sizes, "pivot").select(F.concat_ws(":", "pivot", F.pmod(F.xxhash64("rep"), "_tiles")).alias("tile"), "rep")
     left = sizes.select("pivot", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).alias("_t")).select(F.concat_ws(":", "pivot", "_t").alias("tile"), F.col("pivot").alias("rep"))
-    give = lambda rows: rows.join(read(), "rep").select("tile", "rep", F.col("rep").alias("comp"), "text")
-    first = give(left).groupBy("tile").cogroup(give(right).groupBy("tile")).applyInPandas(links_of, "a long, b long")
+    own_comp = F.col("rep").alias("comp")
+    give = lambda rows, comp: _renewed(rows.join(_renewed(texts), "rep").select("tile", "rep", comp, "text"))
+    first = give(left, own_comp).groupBy("tile").cogroup(give(right, own_comp).groupBy("tile")).applyInPandas(links_of, "a long, b long")
     first = stage(first, "near_links")
     labels = stage(components(first), "near_labels")
 
@@ -276,7 +281,6 @@ def _resolved(docs: DataFrame, similarity: int, pivots: int, tile: int) -> tuple
     others = rest.filter("comp <> _main")
     left = others.select("key", "rep", "comp", at("_lefts").alias("_l"), tiles("_rights")).select(F.concat_ws(":", "key", "_l", "_t").alias("tile"), "rep", "comp")
     right = rest.select("key", "rep", "comp", at("_rights").alias("_r"), tiles("_lefts")).select(F.concat_ws(":", "key", "_t", "_r").alias("tile"), "rep", "comp")
-    give = lambda rows: rows.join(read(), "rep").select("tile", "rep", "comp", "text")
-    second = give(left).groupBy("tile").cogroup(give(right).groupBy("tile")).applyInPandas(links_of, "a long, b long")
+    second = give(left, "comp").groupBy("tile").cogroup(give(right, "comp").groupBy("tile")).applyInPandas(links_of, "a long, b long")
     second = stage(second, "near_more")
     return marked, stage(components(second.union(first)), "near_labels")

@@ -9,9 +9,9 @@ projected neighbour's p^2 exceeds the quantile times the square of the k-th
 distance found: what is nearer has been seen with that probability.
 
 Search has two rounds.  In the home cell of a query, its k-th distance is bounded;
-then every other cell whose box is within the radius of the stopping test is
-searched, each in order of projected distance by the same test.  Equal vectors are one
-entry with their smallest ids, as many as any answer can use.
+then every region of cells that has one whose box is within the radius of the
+stopping test is searched, in order of projected distance by the same test.  Equal
+vectors are one entry with their smallest ids, as many as any answer can use.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ DIMENSIONS = 8
 CELL, SAMPLE = 1024, 50_000
 #: With this probability a neighbour is seen before the stopping test holds.
 CONFIDENCE = 0.97
-#: Queries of a block that is searched in a cell at once.
-QUERY_BLOCK = 512
+#: Neighbouring cells (a subtree) that are searched together, and queries of a block that are.
+REGION, QUERY_BLOCK = 64, 2048
 
 
 def chi_square_quantile(p: float, m: int) -> float:
@@ -90,37 +90,41 @@ class Tree:
 _HIT = "entry long, hit long, score double"
 
 
-def _search(k: int, bound: float, top2: float, with_floor: bool) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    """In a cell: for each query the k entries of the largest inner product, up to the stopping test.
+def _search(k: int, bound: float, top2: float) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """For each query the k entries of the largest inner product, not below its floor, up to the stopping test.
 
-    top2 is the largest squared norm; a query's squared distance to an entry is its
-    own squared norm plus top2 less twice the inner product.
+    Neighbours in the projection are verified nearest first, in growing portions;
+    the test is made before each.  top2 is the largest squared norm: a query's
+    squared distance to an entry is its own squared norm plus top2 less twice the
+    inner product.
     """
 
     def search(queries: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if len(queries) and len(entries):
-            vectors = np.stack(entries["vector"].to_numpy()).astype(np.float64)
-            projected, ids = np.stack(entries["point"].to_numpy()), entries["entry"].to_numpy()
-            for first in range(0, len(queries), 256):
-                block = queries.iloc[first : first + 256]
-                own, at = np.stack(block["vector"].to_numpy()).astype(np.float64), np.stack(block["point"].to_numpy())
-                gaps = ((at[:, None, :] - projected[None, :, :]) ** 2).sum(axis=2)
-                floors = block["floor"].to_numpy() if with_floor else np.full(len(block), -np.inf)
-                for entry, q, gap, floor in zip(block["entry"].to_numpy(), own, gaps, floors):
-                    norm2, order, step, seen = float(q @ q), np.argsort(gap, kind="stable"), max(4 * k, 64), 0
-                    hits, scores = np.zeros(0, np.int64), np.zeros(0)
-                    while seen < len(order):  # neighbours in the projection, nearest first
-                        low = floor if len(scores) < k else max(floor, float(scores[k - 1]))
-                        if gap[order[seen]] > bound * max(norm2 + top2 - 2 * low, 0.0):
+            vectors, ids = np.stack(entries["vector"].to_numpy()), entries["entry"].to_numpy()
+            points = np.stack(entries["point"].to_numpy())
+            far = (points * points).sum(axis=1)
+            for first in range(0, len(queries), 64):
+                block = queries.iloc[first : first + 64]
+                own, at = np.stack(block["vector"].to_numpy()), np.stack(block["point"].to_numpy())
+                gaps = far[None, :] - 2 * (at @ points.T) + (at * at).sum(axis=1)[:, None]
+                products = own @ vectors.T
+                for entry, q, gap, product, floor in zip(block["entry"].to_numpy(), own, gaps, products, block["floor"].to_numpy()):
+                    norm2, n, low, portion = float(q @ q), len(ids), float(floor), 16 * k
+                    while True:
+                        near = np.argpartition(gap, portion) if portion < n else np.arange(n)
+                        seen = near[:portion]
+                        best = seen if len(seen) <= k + 8 else seen[np.argpartition(-product[seen], k + 8)[: k + 8]]
+                        if len(seen) > k:
+                            low = max(low, float(np.sort(product[best])[-k]))
+                        if portion >= n or gap[near[portion]] > bound * max(norm2 + top2 - 2 * low, 0.0):
                             break
-                        some = order[seen : seen + step]
-                        got = (vectors[some] * q).sum(axis=1)
-                        hits, scores = np.concatenate([hits, ids[some]]), np.concatenate([scores, got])
-                        best = np.lexsort((hits, -scores))[:k]
-                        hits, scores, seen = hits[best], scores[best], seen + step
-                    good = scores >= floor
-                    out.append((np.full(int(good.sum()), entry), hits[good], scores[good]))
+                        portion *= 8
+                    score = (vectors[best] * q).sum(axis=1)
+                    order = np.lexsort((ids[best], -score))[:k]
+                    order = order[score[order] >= floor - 1e-9]
+                    out.append((np.full(len(order), entry), ids[best][order], score[order]))
         if not out:
             return pd.DataFrame({"entry": np.zeros(0, np.int64), "hit": np.zeros(0, np.int64), "score": np.zeros(0)})
         return pd.DataFrame({"entry": np.concatenate([x[0] for x in out]), "hit": np.concatenate([x[1] for x in out]), "score": np.concatenate([x[2] for x in out])})
@@ -181,30 +185,28 @@ def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, column: str = "
     placed = stage(entries.select("entry", "key", "vector", "point").mapInArrow(cells, "entry long, key string, vector array<double>, point array<double>, cell long"), "ann_placed")
     asks = rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "key").distinct()
     asking = stage(placed.join(asks.select("key").distinct(), "key", "left_semi"), "ann_asking")
-    # round 1: the home cell
     own = placed.select("entry", "vector", "point", "cell")
-    home = asking.select("entry", "vector", "point", "cell").groupBy("cell").cogroup(own.groupBy("cell")).applyInPandas(_search(k + 1, bound, top2, False), _HIT)
-    home = stage(home, "ann_home")
-    # the score of the (k + 1)-th hit bounds what is wanted from elsewhere
+    # round 1: the home cell bounds the score of the (k + 1)-th hit
+    asked = asking.select("entry", "vector", "point", "cell", F.lit(-1e300).alias("floor"))
+    home = asked.groupBy("cell").cogroup(own.groupBy("cell")).applyInPandas(_search(k + 1, bound, top2), _HIT)
     floors = home.groupBy("entry").agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias("_low")).select("entry", F.when(F.col("_n") > k, F.col("_low")).alias("floor"))
-    queries = asking.join(floors, "entry", "left").select("entry", "vector", "point", "cell", F.coalesce("floor", F.lit(-1e300)).alias("floor"))
+    queries = stage(asking.select("entry", "vector", "point").join(floors, "entry", "left").withColumn("floor", F.coalesce("floor", F.lit(-1e300))), "ann_queries")
 
     def routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             to, own_ids = [], []
-            for entry, v, point, home_cell, floor in zip(*(batch[c].to_pylist() for c in ("entry", "vector", "point", "cell", "floor"))):
-                there = [c for c in tree.value.within(np.array(point), bound * max(float(np.dot(v, v)) + top2 - 2 * floor, 0.0)) if c != home_cell]
+            for entry, v, point, floor in zip(*(batch[c].to_pylist() for c in ("entry", "vector", "point", "floor"))):
+                there = {c // REGION for c in tree.value.within(np.array(point), bound * max(float(np.dot(v, v)) + top2 - 2 * floor, 0.0))}
                 to += there
                 own_ids += [entry] * len(there)
-            yield pa.RecordBatch.from_arrays([pa.array(own_ids, pa.int64()), pa.array(to, pa.int64())], names=["entry", "cell"])
-
-    # round 2: the cells within reach; a cell that many queries reach is searched in blocks of them
-    routed = stage(queries.mapInArrow(routes, "entry long, cell long"), "ann_routes")
-    blocks = routed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("_blocks"))
-    left = routed.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("entry"), "_blocks").cast("int")).join(queries.drop("cell"), "entry").drop("_blocks")
-    right = own.join(blocks, "cell").select("entry", "vector", "point", "cell", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("block"))
-    away = left.groupBy("cell", "block").cogroup(right.groupBy("cell", "block")).applyInPandas(_search(k + 1, bound, top2, True), _HIT)
-    hits = home.union(away)
+            yield pa.RecordBatch.from_arrays([pa.array(own_ids, pa.int64()), pa.array(to, pa.int64())], names=["entry", "region"])
+
+    # round 2: the regions within reach; one that many queries reach is searched in blocks of them
+    routed = stage(queries.mapInArrow(routes, "entry long, region long"), "ann_routes")
+    blocks = stage(routed.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("_blocks")), "ann_blocks")
+    left = routed.join(blocks, "region").withColumn("block", F.pmod(F.xxhash64("entry"), "_blocks").cast("int")).join(queries, "entry").drop("_blocks")
+    right = own.withColumn("region", F.floor(F.col("cell") / REGION)).join(blocks, "region").select("entry", "vector", "point", "region", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("block"))
+    hits = left.groupBy("region", "block").cogroup(right.groupBy("region", "block")).applyInPandas(_search(k + 1, bound, top2), _HIT)
     ranked = hits.withColumn("_r", F.row_number().over(Window.partitionBy("entry").orderBy(F.desc("score"), "hit"))).filter(F.col("_r") <= k + 1)
     # equal vectors score alike: all their ids stand for a hit, in order of score and id
     ids = entries.select(F.col("entry").alias("hit"), "ids")

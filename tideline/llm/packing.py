@@ -118,11 +118,11 @@ def token_pieces(docs: DataFrame, *, tokenizer: str = "byte_bpe_50k.json", capac
     end = np.array([END_ID], "<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer).batch
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [], [], [], [])
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encode(text) + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
+                ids += end
                 n = len(ids) // 4
                 start, to, piece = 0, n if n <= capacity else n % capacity or capacity, 0
                 while start < n:

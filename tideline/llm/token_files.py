@@ -119,7 +119,7 @@ def write_token_files(docs: DataFrame, path: str, *, tokenizer: str = "word_bpe_
     end = np.array([END_ID], "<u4").tobytes()
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = encoder(tokenizer), TaskContext.get().partitionId()
+        encode, part = encoder(tokenizer).batch, TaskContext.get().partitionId()
         number, first, size, ids, doc_ids, lengths = 0, 0, 0, [], [], []
 
         def closed() -> pa.RecordBatch:
@@ -128,8 +128,8 @@ def write_token_files(docs: DataFrame, path: str, *, tokenizer: str = "word_bpe_
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in values], names=["part", "segment", "first", "n_tokens", "doc_ids", "lengths", "image"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = encode(text) + end
+            for doc_id, own in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
+                own += end
                 ids.append(own)
                 doc_ids.append(doc_id)
                 lengths.append(len(own) // 4)

@@ -11,20 +11,26 @@ import re
 from array import array
 from functools import cache
 
+import numpy as np
+
 #: White space of Unicode, as the tokenizers' own patterns have it.
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Byte-level: an optional space with what follows it, or white space up to the last before a word.
 _BYTE_CHUNK = re.compile(rf" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 #: Word ends, white space dropped: anything between blanks and line ends.
 _WORD_CHUNK = re.compile(r"[^ \n]+")
-#: Chunks that a worker's cache holds, and the longest that enters.
-CACHED, CACHED_LENGTH = 300_000, 40
+#: Chunks that a worker's cache holds between batches; those that come first stay.
+CACHED = 800_000
+#: Stands between chunks that are encoded together; no merge has it, and no chunk that holds it is among them.
+_MARK = "\x01"
+#: Chunks encoded together.
+TOGETHER = 2000
 
 END_ID = 2
 
 
-class _Ids(dict):
-    """Chunk to its ids as little-endian unsigned 32-bit integers."""
+class Encoder:
+    """Texts to ids, as little-endian unsigned 32-bit bytes, without an end id."""
 
     def __init__(self, name: str) -> None:
         import public_tokenizers
@@ -32,30 +38,48 @@ class _Ids(dict):
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name) if "/" not in name else name)
         self.tokenizer.encode_special_tokens = True
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
-        if len(chunk) <= CACHED_LENGTH:
-            if len(self) >= CACHED:
-                self.clear()
-            self[chunk] = ids
-        return ids
+        self.by_word = "word_bpe" in name
+        self.chunks = (_WORD_CHUNK if self.by_word else _BYTE_CHUNK).findall
+        self.known: dict[str, bytes] = {}
+        self.mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        if len(self.mark) != 1:
+            raise ValueError(f"{name} has no single id for the mark")
+
+    def _alone(self, chunk: str) -> bytes:
+        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+
+    def _together(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of chunks, many to a call; those that a neighbour could change go alone."""
+        new = {c: self._alone(c) for c in chunks if _MARK in c or not self.by_word and (c.isspace() or c[0] == "'" or c[-1] in "\x1c\x1d\x1e\x1f")}
+        rest = [c for c in chunks if c not in new]
+        between = f" {_MARK} " if self.by_word else _MARK
+        for at in range(0, len(rest), TOGETHER):
+            some = rest[at : at + TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast([between.join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == self.mark[0])
+            if len(cuts) != len(some) - 1:
+                new.update((c, self._alone(c)) for c in some)
+                continue
+            raw, first = ids.tobytes(), 0
+            for c, cut in zip(some, [*cuts.tolist(), len(ids)]):
+                new[c] = raw[4 * first : 4 * cut]
+                first = cut + 1
+        return new
+
+    def batch(self, texts: list[str | None]) -> list[bytes]:
+        known, parts = self.known, [self.chunks(t) if t else [] for t in texts]
+        unknown = [c for c in set().union(*parts) if c not in known]
+        new = self._together(unknown)
+        known.update(new)
+        look = known.__getitem__
+        out = [b"".join(map(look, p)) for p in parts]
+        if len(known) > CACHED:
+            for c in new:
+                del known[c]
+        return out
 
 
 @cache
-def _of(name: str) -> _Ids:
-    return _Ids(name)
-
-
-def encoder(name: str):
-    """A function from text to its ids (without an end id) as little-endian unsigned 32-bit bytes.
-
-    ``name`` is a file of public_tokenizers, or a path.
-    """
-    ids, chunks = _of(name), (_WORD_CHUNK if "word_bpe" in name else _BYTE_CHUNK).findall
-    look = ids.__getitem__
-
-    def encode(text: str | None) -> bytes:
-        return b"".join(map(look, chunks(text))) if text else b""
-
-    return encode
+def encoder(name: str) -> Encoder:
+    """Of a file of public_tokenizers, or of a path; one for each worker."""
+    return Encoder(name)

@@ -26,7 +26,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 #: Runs that the models judge.
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-_WORDS = re.compile(r"[A-Za-z0-9+/_=-]{5,}")
+#: Ordinary tokens, of less length than what is judged.
+_WORDS = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{5,19}(?![A-Za-z0-9+/_=-])")
 
 #: Documents, at most in expectation, whose tokens train the models.
 SAMPLE_DOCUMENTS = 4000

@@ -38,7 +38,8 @@ def min_cost_flow(supply: list[int], capacity: list[int], cost: np.ndarray | Non
     price = np.ones((n, m)) - np.eye(n, m) if cost is None else np.asarray(cost, float)
     flow = np.zeros((n, m), np.int64)
     left, room = np.array(supply, np.int64), np.array(capacity, np.int64)
-    up, vp = np.zeros(n), price.min(axis=0) if n else np.zeros(m)
+    price = price - min(0.0, float(price.min(initial=0.0)))
+    up, vp = np.zeros(n), np.zeros(m)
     while left.sum():
         # Dijkstra over reduced costs from every old shard with supply to a new one with room
         du, dv = np.where(left > 0, 0.0, np.inf), np.full(m, np.inf)

@@ -115,8 +115,8 @@ def feature_scores(features: DataFrame, label: str, columns: Sequence[str], meth
     if method == "mutual_info":
         binned = long.withColumn("bin", F.ntile(bins).over(Window.partitionBy("feature").orderBy("x")))
         joint = binned.groupBy("feature", "bin", "label").agg(F.count(F.lit(1)).alias("n"))
-        joint = joint.withColumns({"b": F.sum("n").over(Window.partitionBy("feature", "bin")), "l": F.sum("n").over(Window.partitionBy("feature", "label")), "N": F.sum("n").over(Window.partitionBy("feature"))})
-        return joint.groupBy("feature").agg(F.sum(F.col("n") / F.col("N") * F.log(F.col("n") * F.col("N") / (F.col("b") * F.col("l")))).alias("score"))
+        joint = joint.withColumns({"b": F.sum("n").over(Window.partitionBy("feature", "bin")), "l": F.sum("n").over(Window.partitionBy("feature", "label")), "_total": F.sum("n").over(Window.partitionBy("feature"))})
+        return joint.groupBy("feature").agg(F.sum(F.col("n") / F.col("_total") * F.log(F.col("n") * F.col("_total") / (F.col("b") * F.col("l")))).alias("score"))
     raise ValueError(f"unknown method: {method}")
 
 

@@ -158,7 +158,14 @@ def ffill(x: Series) -> Series:
 
 
 def bfill(x: Series) -> Series:
-    return _window("bfill", lambda a: F.first(a, True).over(frame(0, None)), x)
+    """Along the reversed order, which needs a sort but no look at every row after."""
+    back = lambda: Window.partitionBy("symbol").orderBy(F.desc("ts")).rowsBetween(Window.unboundedPreceding, 0)
+    return _window("bfill", lambda a: F.last(a, True).over(back()), x)
+
+
+def head(x: Series) -> Series:
+    """The symbol's first value."""
+    return _window("head", lambda a: F.first(a, True).over(frame(None, None)), x)
 
 
 def position() -> Series:

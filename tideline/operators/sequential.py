@@ -428,6 +428,7 @@ def accumulated(df: DataFrame, returns: str = "returns") -> DataFrame:
 
 def forward_filled(df: DataFrame, columns: list[str], backward: bool = True) -> DataFrame:
     """Missing values from the row before, then (which looks ahead) from the row after."""
-    from ..functions.series import bfill, fill
+    from ..functions.series import fill, head
 
-    return project(df, {c: fill(ffill(col(c)), bfill(col(c))) if backward else ffill(col(c)) for c in columns})
+    # after the row before, only the head is without a value
+    return project(df, {c: fill(ffill(col(c)), head(col(c))) if backward else ffill(col(c)) for c in columns})

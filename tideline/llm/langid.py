@@ -108,7 +108,7 @@ def fit(labelled: DataFrame, *, per_language: int = SAMPLE_PER_LANGUAGE, parts:
         return LanguageModel([], code, np.zeros((FEATURES, 1)), np.ones(1))
     share = F.create_map(*(x for k, n in table.items() for x in (F.lit(k), F.lit(int((1 << 30) * min(1.0, per_language / n))))))
     number = {k: i for i, k in enumerate(languages)}
-    chosen = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= share[F.col("lang")]).select("lang", "text").repartition(parts, F.xxhash64("text"))
+    chosen = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= share[F.col("lang")]).select("lang", "text").repartition(parts)  # a bounded sample: few tasks, few partial counts
     bounded_batches(session_of(labelled))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -122,7 +122,7 @@ def sample_model(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, parts: int
                 sums += [_pairs(ordinary), _pairs(secret)]
         yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["sums"])
 
-    parts = chosen.select("text").repartition(parts, F.xxhash64("text")).mapInArrow(count, "sums binary").collect()
+    parts = chosen.select("text").repartition(parts).mapInArrow(count, "sums binary").collect()
     return _ratios(sum((np.frombuffer(r[0], np.int64).reshape(2, -1) for r in parts), np.zeros((2, 128 * 128), np.int64)))
 
 

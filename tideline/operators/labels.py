@@ -147,9 +147,24 @@ def weights_by_time(events: DataFrame, half_life: float = 1.0) -> DataFrame:
 
 
 def indicator(events: DataFrame, bars: DataFrame) -> DataFrame:
-    """symbol, t0, ts for every bar within an event's [t0, t1]: the sparse indicator matrix."""
-    inside = (F.col("ts") >= F.col("t0")) & (F.col("ts") <= F.col("t1"))
-    return events.select("symbol", "t0", "t1").join(bars.select("symbol", "ts"), "symbol").filter(inside).select("symbol", "t0", "ts")
+    """symbol, t0, ts for every bar within an event's [t0, t1], both bars: the sparse indicator matrix.
+
+    By positions, so that no event meets bars outside its span.
+    """
+    spans = _spans(events, bars).filter("_from is not null and _to is not null")
+    cells = spans.select("symbol", "t0", F.explode(F.sequence("_from", "_to")).alias("_at"))
+    return cells.join(_numbered(bars), ["symbol", "_at"]).select("symbol", "t0", "ts")
+
+
+def _numbered(bars: DataFrame) -> DataFrame:
+    return bars.select("symbol", "ts", F.row_number().over(ordered()).alias("_at"))
+
+
+def _spans(events: DataFrame, bars: DataFrame) -> DataFrame:
+    """events with the positions _from and _to of t0 and t1, NULL where there is no such bar."""
+    at = _numbered(bars)
+    first, last = at.select("symbol", F.col("ts").alias("t0"), F.col("_at").alias("_from")), at.select("symbol", F.col("ts").alias("t1"), F.col("_at").alias("_to"))
+    return events.join(first, ["symbol", "t0"], "left").join(last, ["symbol", "t1"], "left")
 
 
 def weights_sequential(events: DataFrame, bars: DataFrame) -> DataFrame:
@@ -158,10 +173,8 @@ def weights_sequential(events: DataFrame, bars: DataFrame) -> DataFrame:
     Bars are numbered, so that an event's count is the difference of two
     positions and no event is joined with its bars.
     """
-    numbered = bars.select("symbol", "ts", F.row_number().over(ordered()).alias("_at"))
-    ends = numbered.groupBy("symbol").agg(F.count(F.lit(1)).alias("_all"))
-    first, last = numbered.select("symbol", F.col("ts").alias("t0"), F.col("_at").alias("_from")), numbered.select("symbol", F.col("ts").alias("t1"), F.col("_at").alias("_to"))
-    out = events.join(first, ["symbol", "t0"], "left").join(last, ["symbol", "t1"], "left").join(ends, "symbol", "left")
+    ends = bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("_all"))
+    out = _spans(events, bars).join(ends, "symbol", "left")
     share = F.coalesce((F.col("_to") - F.col("_from") + 1) / F.col("_all"), F.lit(0.0))
     out = out.withColumn("weight", share).drop("_from", "_to", "_all")
     return out.withColumn("weight", _normalised(F.col("weight"))).select(*events.columns, "weight")
@@ -183,13 +196,16 @@ def sample_weights(events: DataFrame, bars: DataFrame | None = None, method: str
 
 def weighted_bootstrap(events: DataFrame, n: int = 1000, seed: int = 42) -> DataFrame:
     """n draws with replacement per symbol: draw and the event's columns, by inverse cumulative weight."""
-    upto = F.sum("weight").over(Window.partitionBy("symbol").orderBy("t0"))
-    low = events.withColumn("_high", upto).withColumn("_low", F.col("_high") - F.col("weight"))
+    row = F.struct(*events.columns)
+    ends = events.select("symbol", F.sum("weight").over(Window.partitionBy("symbol").orderBy("t0")).alias("_v"), row.alias("_row"), F.lit(None).cast("int").alias("draw"))
     totals = events.groupBy("symbol").agg(F.sum("weight").alias("_total"))
-    uniform = (F.pmod(F.xxhash64(F.lit(seed), "symbol", "draw"), F.lit(1 << 52)) / float(1 << 52)).alias("_u")
-    draws = totals.select("symbol", "_total", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw")).select("symbol", "draw", (uniform * F.col("_total")).alias("_u"))
-    joined = draws.join(low, "symbol").filter((F.col("_u") >= F.col("_low")) & (F.col("_u") < F.col("_high")))
-    return joined.select("draw", *events.columns)
+    uniform = F.pmod(F.xxhash64(F.lit(seed), "symbol", "draw"), F.lit(1 << 52)) / float(1 << 52)
+    draws = totals.select("symbol", "_total", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw"))
+    draws = draws.select("symbol", (uniform * F.col("_total")).alias("_v"), F.lit(None).cast(ends.schema["_row"].dataType).alias("_row"), "draw")
+    # in one line of cumulative weights, downwards: the last event met is the first one above the draw
+    line = Window.partitionBy("symbol").orderBy(F.desc("_v"), F.desc(F.col("draw").isNotNull())).rowsBetween(Window.unboundedPreceding, 0)
+    found = ends.union(draws).withColumn("_row", F.last("_row", True).over(line)).filter("draw is not null and _row is not null")
+    return found.select("draw", "_row.*")
 
 
 def balanced_weights(events: DataFrame, method: str = "inverse") -> DataFrame:

@@ -38,7 +38,7 @@ def purged_splits(events: DataFrame, n_splits: int = 5, embargo: float = 0.01) -
     w = Window.partitionBy("symbol")
     numbered = with_fold(events, n_splits).withColumn("_embargo", F.floor(F.count(F.lit(1)).over(w) * embargo))
     bounds = numbered.groupBy("symbol", "fold").agg(F.min("t0").alias("_start"), F.max("t0").alias("_end"), F.max("pos").alias("_last"))
-    pairs = numbered.withColumnRenamed("fold", "_own").join(F.broadcast(bounds), "symbol")
+    pairs = numbered.withColumnRenamed("fold", "_own").join(bounds, "symbol")
     if "t1" in events.columns:
         trains = (F.col("t1") < F.col("_start")) | ((F.col("t0") > F.col("_end")) & (F.col("pos") > F.col("_last") + F.col("_embargo")))
     else:

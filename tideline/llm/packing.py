@@ -56,17 +56,30 @@ def fullest(lengths: list[int], counts: dict[int, int], room: int) -> dict[int,
     return chosen
 
 
+#: (least length, slack) in shares of the capacity: a filling of longer pieces alone will do if it leaves no more slack
+#: than this, which saves short pieces for later bins.  The trial of the fewest sequences is taken.
+TRIALS = ((0.0, 0.0), (0.2, 0.025), (0.25, 0.025), (0.25, 0.05), (0.33, 0.05))
+
+
 def pack_lengths(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, dict[int, int]]]:
     """Sequences as (how many, length to number of pieces) from the number of pieces of each length."""
     counts = {k: v for k, v in counts.items() if v > 0}
     if counts and not 0 < min(counts) <= max(counts) <= capacity:
         raise ValueError(f"lengths are 1 to {capacity}")
+    tried = [_pack(dict(counts), capacity, int(a * capacity), int(b * capacity)) for a, b in TRIALS]
+    return min(tried, key=lambda packed: sum(times for times, _ in packed))
+
+
+def _pack(counts: dict[int, int], capacity: int, least: int, slack: int) -> list[tuple[int, dict[int, int]]]:
     packed = []
     while counts:
         lengths = sorted(counts, reverse=True)
         seed = lengths[0]
         rest = {k: v - (k == seed) for k, v in counts.items()}
-        bin_ = fullest([x for x in lengths if rest[x]], rest, capacity - seed)
+        left, room = [x for x in lengths if rest[x]], capacity - seed
+        bin_ = fullest([x for x in left if x >= least], rest, room)
+        if room - sum(k * n for k, n in bin_.items()) > slack:
+            bin_ = fullest(left, rest, room)
         bin_[seed] = bin_.get(seed, 0) + 1
         times = min(counts[k] // n for k, n in bin_.items())
         packed.append((times, bin_))

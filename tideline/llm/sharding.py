@@ -179,7 +179,7 @@ def reshard(docs: DataFrame, path: str, *, new_shards: int = NEW_SHARDS, old_sha
     placed = sized.join(F.broadcast(plan), ["_old", "_block"]).repartition(F.col("_lane"))
     place = Window.partitionBy("_lane", "_old", "_block").orderBy("doc_id", "_crc", "_size")
     placed = placed.withColumn("slot", F.col("_first") + F.row_number().over(place) - 1)
-    own = [c for c in docs.columns if c not in ("shard", "slot", old_shard)]
+    own = [c for c in docs.columns if c not in ("shard", "slot", "old_shard", old_shard)]
     placed.select(*own, F.col("_old").alias("old_shard"), "slot", "shard").write.partitionBy("shard").option("compression", "zstd").parquet(path)
     moves = [(int(i), int(j), int(flow[i, j])) for i, j in zip(*np.nonzero(flow))]
     return spark.createDataFrame(moves, "old_shard int, new_shard int, bytes long")

@@ -87,7 +87,9 @@ def test_config(tmp_path):
 
 def test_train_predict_backtest(spark, tmp_path):
     bars, store = frame(spark, walk("QQ", 260, 9)).cache(), Store(spark, str(tmp_path))
-    out = ensemble.train(bars, "QQ", store, trees=4, cusum=False, least=60)
+    config = Config()
+    config.update({"model": {"cv_folds": 1}})
+    out = ensemble.train(bars, "QQ", store, config=config, trees=2, cusum=False, least=90)
     assert out["total_models"] > 0 and all(len(k) == 2 and set(v) == {"primary", "meta"} for k, v in out["regime_models"].items())
     assert store.trained_symbols() == ["QQ"]
     preds = ensemble.predictions(bars, out["regime_models"])

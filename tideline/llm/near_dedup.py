@@ -1,48 +1,58 @@
 """MinHash near-dedup by a multi-index Hamming join.
 
 A document is the set of its distinct five-word shingles.  Its signature is
-``VALUES`` minhashes of ``BITS`` bits.  Pairs whose signatures differ in at most
-``distance`` values are wanted: cut into ``chunks``, by the pigeonhole principle
-one chunk has at most floor(distance / chunks) errors, so that two signatures
+``VALUES`` minhashes of 16 bits.  Pairs whose signatures differ in at most
+``DISTANCE`` values are wanted: cut into ``CHUNKS``, by the pigeonhole principle
+one chunk has at most floor(DISTANCE / CHUNKS) errors, so that two signatures
 share a key if all ways of allowing those errors (leaving that many values of the
-chunk out) are enumerated.  Every pair under the distance shares one, and links
-are confirmed on the full sets.
-
-Documents of equal sets are one from the start.  Keys that several sets share
-are resolved without listing all their pairs:
-
-1. every set is held against a few pivots of each of its keys, and links make
-   components;
-2. keys whose other members are still of several components are resolved whole,
-   in tiles of bounded size: what isn't of the key's largest component is held
-   against everything.  A tile gives the links between components that it finds,
-   of which there are fewer than it has rows.
+chunk out) are enumerated.  Every pair under the distance shares one.  ``MORE``
+minhashes of 8 bits screen the pairs before any text is moved, and links are
+confirmed on the full sets.
+
+Documents of equal sets are one from the start.  Keys are resolved without
+listing all pairs of large ones:
+
+1. all pairs of keys of few sets, and of other sets the nearest of the pivots (the
+   smallest set of each key), are confirmed and make components;
+2. large keys that are still of several components are resolved whole, in tiles of
+   bounded size: what isn't of the largest component is held against everything.
+   Keys that hang together are one cluster.  A dense cluster is tiled once as a
+   whole; in a sparse one each key is, and a pair is looked at in the first key
+   that it shares.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bounded_batches, lookup_join, session_of, stage
 
 SHINGLE = 5
 SIMILARITY = 75  # of 100
-VALUES, BITS, CHUNKS = 40, 16, 10
+VALUES, MORE, CHUNKS = 40, 88, 10
 #: Values in which signatures of linked sets may differ: 1 error in each chunk of 4, and one less than 2 in all of them.
 #: Sets of similarity 0.75 differ in more than this many of 40 values once in 1,700 times, more similar ones less often.
 DISTANCE = 2 * CHUNKS - 1
-PIVOTS = 3
+#: Values of all VALUES + MORE in which they may differ; sets of similarity 0.75 differ in more once in 3,000 times.
+SCREEN = 49
+#: Keys of up to so many sets are resolved pair by pair.
+FEW = 4
+#: Pivots that a set is held against.
+NEAREST = 4
 #: Rows on either side of a tile.
 TILE = 256
-_M = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Links that one task contracts at a time.
+LOCAL_LINKS = 500_000
+#: Ids up to which a lookup broadcasts them (8 bytes each); more are shuffled.
+BROADCAST_IDS = 200_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -53,8 +63,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 _draw = np.random.default_rng(11)
 _PLACE = _draw.integers(1, 1 << 63, SHINGLE, np.uint64) | np.uint64(1)
-_XOR = _draw.integers(1, 1 << 63, VALUES, np.uint64)
-_TIMES = _draw.integers(1, 1 << 63, VALUES, np.uint64) | np.uint64(1)
+_XOR = _draw.integers(1, 1 << 32, VALUES + MORE, np.uint32)
+_TIMES = _draw.integers(1, 1 << 32, VALUES + MORE, np.uint32) | np.uint32(1)
 
 
 @lru_cache(200_000)
@@ -81,43 +91,53 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """VALUES minhashes of BITS bits."""
-    least = np.empty(VALUES, np.uint64)
-    for at in range(0, VALUES, 8):  # few at a time: long documents
-        least[at : at + 8] = ((hashes[None, :] ^ _XOR[at : at + 8, None]) * _TIMES[at : at + 8, None]).min(axis=1)
-    return (_mixed(least) >> np.uint64(64 - BITS)).astype(np.uint16)
+    """VALUES + MORE minhashes of 16 bits."""
+    low, least = (hashes >> np.uint64(32)).astype(np.uint32), np.empty(VALUES + MORE, np.uint32)
+    step = max(1, min(VALUES + MORE, 65_536 // max(len(low), 1)))  # few at a time: long documents
+    for at in range(0, VALUES + MORE, step):
+        least[at : at + step] = ((low[None, :] ^ _XOR[at : at + step, None]) * _TIMES[at : at + step, None]).min(axis=1)
+    return (_mixed(least.astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
+
+
+def packed(sig: np.ndarray) -> bytes:
+    """The signature as kept: VALUES of 16 bits, MORE of 8."""
+    return sig[:VALUES].tobytes() + sig[VALUES:].astype(np.uint8).tobytes()
+
+
+def unpacked(kept: list[bytes]) -> np.ndarray:
+    """Rows of VALUES + MORE numbers."""
+    raw = np.frombuffer(b"".join(kept), np.uint8).reshape(len(kept), 2 * VALUES + MORE)
+    return np.concatenate([np.ascontiguousarray(raw[:, : 2 * VALUES]).view(np.uint16), raw[:, 2 * VALUES :].astype(np.uint16)], axis=1)
 
 
 def join_keys(sig: np.ndarray, chunks: int = CHUNKS, distance: int = DISTANCE) -> np.ndarray:
     """Keys of which signatures share one if they differ in at most ``distance`` values: all allowed errors of each chunk."""
-    errors, keys = distance // chunks, []
-    for number, at in enumerate(np.array_split(np.arange(len(sig)), chunks)):
-        for kind, kept in enumerate(itertools.combinations(at, max(len(at) - errors, 0))):
-            h = np.uint64((number + 1) * 1_000_003 + kind)
-            for i in kept:
-                h = _mixed(np.array([h * np.uint64(0x9E3779B97F4A7C15) + np.uint64(sig[i]) + np.uint64(1)], np.uint64) & _M)[0]
-            keys.append(h)
-    return np.array(keys, np.uint64)
-
-
-def _key_plan() -> tuple[np.ndarray, np.ndarray]:
-    """For join_keys() in one go: places kept, and what each key starts with."""
-    errors, kept, starts = DISTANCE // CHUNKS, [], []
-    for number, at in enumerate(np.array_split(np.arange(VALUES), CHUNKS)):
-        for kind, places in enumerate(itertools.combinations(at, len(at) - errors)):
+    kept, starts = _key_plan(sig.shape[-1], chunks, distance)
+    return _keyed(sig[None, :], kept, starts)[0]
+
+
+def _key_plan(values: int, chunks: int, distance: int) -> tuple[list[tuple[int, ...]], np.ndarray]:
+    """Places kept by each key, and what its hash starts with."""
+    errors, kept, starts = distance // chunks, [], []
+    for number, at in enumerate(np.array_split(np.arange(values), chunks)):
+        for kind, places in enumerate(itertools.combinations(at.tolist(), max(len(at) - errors, 0))):
             kept.append(places)
             starts.append((number + 1) * 1_000_003 + kind)
-    return np.array(kept), np.array(starts, np.uint64)
+    return kept, np.array(starts, np.uint64)
 
 
-_KEPT, _STARTS = _key_plan()
+def _keyed(sigs: np.ndarray, kept: list[tuple[int, ...]], starts: np.ndarray) -> np.ndarray:
+    """Keys, a row for each row of signatures."""
+    out = np.empty((len(sigs), len(kept)), np.uint64)
+    for k, places in enumerate(kept):
+        h = np.full(len(sigs), starts[k], np.uint64)
+        for i in places:
+            h = _mixed(h * np.uint64(0x9E3779B97F4A7C15) + sigs[:, i] + np.uint64(1))
+        out[:, k] = h
+    return out
 
 
-def _keys(sig: np.ndarray) -> np.ndarray:
-    h = _STARTS
-    for values in sig[_KEPT].T.astype(np.uint64):
-        h = _mixed(h * np.uint64(0x9E3779B97F4A7C15) + values + np.uint64(1))
-    return h
+_KEPT, _STARTS = _key_plan(VALUES, CHUNKS, DISTANCE)
 
 
 def linked(n_a: int, n_b: int, common: int, similarity: int = SIMILARITY) -> bool:
@@ -125,86 +145,249 @@ def linked(n_a: int, n_b: int, common: int, similarity: int = SIMILARITY) -> boo
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_hash (of the set; null if empty), keys, for every whole text."""
+    """doc_id, n_shingles, set_hash (of the set; null if empty), sig, for every whole text."""
     bounded_batches(session_of(docs))
 
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            sizes, sets, keys = [], [], []
+            sizes, sets, sigs = [], [], []
             for text in batch.column(1).to_pylist():
                 hashes = shingles(text)
                 sizes.append(len(hashes))
                 sets.append(xxhash.xxh3_128_hexdigest(hashes.tobytes()) if len(hashes) else None)
-                keys.append(_keys(signature(hashes)).view(np.int64) if len(hashes) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.string()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_hash", "keys"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(every, "doc_id long, n_shingles long, set_hash string, keys array<long>")
-
-
-def _links(similarity: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    """For a tile: links between rows of other components, fewer than rows (component, rep, text on either side)."""
-
-    def links(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[int, int]] = []
-        if len(left) and len(right):
-            parent: dict[int, int] = {}
-
-            def top(x: int) -> int:
-                while (p := parent.setdefault(x, x)) != x:
-                    parent[x] = x = parent.setdefault(p, p)
-                return x
-
-            sets = [shingles(t) for t in right["text"]]
-            sizes = np.array([len(s) for s in sets])
-            every = np.concatenate(sets)
-            order = np.argsort(every, kind="stable")
-            owner, every = np.repeat(np.arange(len(sets)), sizes)[order], every[order]
-            reps, comps = right["rep"].to_numpy(), right["comp"].to_numpy()
-            for rep, comp, text in zip(left["rep"], left["comp"], left["text"]):
-                own = shingles(text)
-                first, last = np.searchsorted(every, own, "left"), np.searchsorted(every, own, "right")
-                hit = first < last
-                if not hit.any():
-                    continue
-                at = np.concatenate([owner[a:b] for a, b in zip(first[hit], last[hit])])
-                common = np.bincount(at, minlength=len(sets))
-                for i in np.flatnonzero(100 * common >= similarity * (len(own) + sizes - common)):
-                    a, b = top(int(comp)), top(int(comps[i]))
-                    if a != b and common[i]:
-                        parent[max(a, b)] = min(a, b)
-                        found.append((int(rep), int(reps[i])))
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    return links
-
-
-def components(links: DataFrame) -> DataFrame:
-    """rep and comp (the smallest rep reachable) of every rep in links (a, b), by alternating stars.
-
-    Each round hangs neighbours under the smallest one; rounds go on until nothing
-    moves.  Links are staged in each, so no lineage grows.
+                sigs.append(packed(signature(hashes)) if len(hashes) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.string()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "set_hash", "sig"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(every, "doc_id long, n_shingles long, set_hash string, sig binary")
+
+
+def _with_keys(reps: DataFrame) -> DataFrame:
+    """rep, n_shingles, sig, keys (of the signature, in the plan's order)."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                made = _keyed(unpacked(batch["sig"].to_pylist()), _KEPT, _STARTS).view(np.int64)
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1) * made.shape[1], pa.int32()), pa.array(made.ravel()))
+                yield pa.RecordBatch.from_arrays([batch["rep"], batch["n_shingles"], batch["sig"], flat], names=["rep", "n_shingles", "sig", "keys"])
+
+    return reps.select("rep", "n_shingles", "sig").mapInArrow(keys, "rep long, n_shingles long, sig binary, keys array<long>")
+
+
+def _screened(pairs: DataFrame, reps: DataFrame, similarity: int) -> DataFrame:
+    """pairs (a, b, ...) that sizes and signatures allow, with apart: the values in which they differ."""
+    side = lambda c: reps.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"_n{c}"), F.col("sig").alias(f"_s{c}"))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b")
+    rows = rows.filter((F.least("_na", "_nb") * 100 >= F.greatest("_na", "_nb") * similarity))
+    kept = pairs.columns
+    schema = T.StructType([*pairs.schema.fields, T.StructField("apart", T.IntegerType())])
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                differ = unpacked(batch["_sa"].to_pylist()) != unpacked(batch["_sb"].to_pylist())
+                good = (differ[:, :VALUES].sum(axis=1) <= DISTANCE) & (differ.sum(axis=1) <= SCREEN)
+                picked = batch.select(kept).take(pa.array(np.flatnonzero(good)))
+                yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(differ.sum(axis=1)[good], pa.int32())], names=[*kept, "apart"])
+
+    return rows.select(*kept, "_sa", "_sb").mapInArrow(apart, schema)
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, pa.Table]]:
+    """(left, right) of each tile, from rows sorted by tile and side."""
+    rows = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if rows is None else pa.concat_tables([rows, table])
+        tiles = table["tile"].to_pylist()
+        cuts = [0, *(i for i in range(1, len(tiles)) if tiles[i] != tiles[i - 1]), len(tiles)]
+        for a, b in zip(cuts[:-2], cuts[1:-1]):
+            yield _sides(table.slice(a, b - a))
+        rows = table.slice(cuts[-2]) if tiles else None
+    if rows is not None and rows.num_rows:
+        yield _sides(rows)
+
+
+def _sides(tile: pa.Table) -> tuple[pa.Table, pa.Table]:
+    left = sum(not x for x in tile["side"].to_pylist())
+    return tile.slice(0, left), tile.slice(left)
+
+
+def _pairs(a: list[int], b: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _verified(tiles: DataFrame, docs: DataFrame, similarity: int) -> DataFrame:
+    """Links (a, b) between the sides of tiles (tile, side, rep, comp) whose full sets are similar.
+
+    A tile gives the links that join its components, fewer than it has rows.
     """
-    edges = stage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "cc_links")
+    tiles = stage(tiles, "near_tiles")
+    ids = stage(tiles.select("rep").distinct(), "near_wanted")
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = stage(docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep", "left_semi"), "near_texts")
+    rows = tiles.join(texts, "rep").select("tile", "side", "rep", "comp", "text")
+    bounded_batches(session_of(docs))
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found_a, found_b = [], []
+        for ones, others in _tiles(batches):
+            if len(found_a) >= 10_000:
+                yield _pairs(found_a, found_b)
+                found_a, found_b = [], []
+            for a, b in _tile_links(ones, others, similarity):
+                found_a.append(a)
+                found_b.append(b)
+        yield _pairs(found_a, found_b)
+
+    return stage(rows.repartition("tile").sortWithinPartitions("tile", "side", "rep").mapInArrow(links, "a long, b long"), "near_links")
+
+
+def _tile_links(ones: pa.Table, others: pa.Table, similarity: int) -> Iterator[tuple[int, int]]:
+    """Links that join components, by counting common shingles through the right side's sorted ones."""
+    if not ones.num_rows or not others.num_rows:
+        return
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (p := parent.setdefault(x, x)) != x:
+            x = p
+        return x
+
+    sets = [shingles(t) for t in others["text"].to_pylist()]
+    sizes, reps, comps = np.array([len(x) for x in sets]), others["rep"].to_pylist(), others["comp"].to_pylist()
+    every = np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], np.repeat(np.arange(len(sets)), sizes)[order]
+    for rep, comp, text in zip(ones["rep"].to_pylist(), ones["comp"].to_pylist(), ones["text"].to_pylist()):
+        own = shingles(text)
+        first, last = np.searchsorted(every, own, "left"), np.searchsorted(every, own, "right")
+        many = last - first
+        at = np.repeat(first - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum()) if len(own) else np.zeros(0, np.int64)
+        common = np.bincount(owner[at], minlength=len(sets))
+        for i in np.flatnonzero((common > 0) & (100 * common >= similarity * (len(own) + sizes - common))):
+            a, b = top(comp), top(comps[i])
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                yield rep, reps[i]
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, similarity: int, tile: int) -> DataFrame:
+    """Links of pairs (a, b): a tile holds one b and up to ``tile`` of its a's."""
+    pairs = stage(pairs.select("a", "b").distinct(), "near_pairs")
+    sizes = stage(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("_tiles")), "near_sizes")
+    right = pairs.join(sizes, "b").select(F.concat_ws(":", "b", F.pmod(F.xxhash64("a"), "_tiles")).alias("tile"), F.lit(True).alias("side"), F.col("a").alias("rep"))
+    left = sizes.select("b", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).alias("_t")).select(F.concat_ws(":", "b", "_t").alias("tile"), F.lit(False).alias("side"), F.col("b").alias("rep"))
+    return _verified(left.union(right).withColumn("comp", F.col("rep")), docs, similarity)
+
+
+def _sided(rows: DataFrame, group: str, *carried: str) -> DataFrame:
+    """tile, side, rep, comp of groups (rows: group, rep, comp, _main, _lefts, _rights): what isn't of the main component on the left, everything on the right."""
+    at = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    tiles = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("_t")
+    left = rows.filter("comp <> _main").select(group, *carried, "rep", "comp", at("_lefts").alias("_o"), tiles("_rights"))
+    right = rows.select(group, *carried, "rep", "comp", at("_rights").alias("_o"), tiles("_lefts"))
+    left = left.select(F.concat_ws(":", group, "_o", "_t").alias("tile"), F.lit(False).alias("side"), *carried, "rep", "comp")
+    return left.union(right.select(F.concat_ws(":", group, "_t", "_o").alias("tile"), F.lit(True).alias("side"), *carried, "rep", "comp"))
+
+
+def _with_tiles(rows: DataFrame, group: str, tile: int) -> DataFrame:
+    """_main, _lefts, _rights and _cost (rows of all tiles) of groups that hold several components."""
+    by_comp = rows.groupBy(group, "comp").agg(F.count(F.lit(1)).alias("_c"))
+    sums = by_comp.groupBy(group).agg(F.count(F.lit(1)).alias("_comps"), F.max(F.struct("_c", "comp")).alias("_largest"), F.sum("_c").alias("_all")).filter("_comps > 1")
+    others = F.col("_all") - F.col("_largest._c")
+    sums = sums.select(group, F.col("_largest.comp").alias("_main"), "_all", others.alias("_others"), F.ceil(others / tile).cast("int").alias("_lefts"), F.ceil(F.col("_all") / tile).cast("int").alias("_rights"))
+    return sums.withColumn("_cost", F.col("_all") * F.col("_lefts") + F.col("_others") * F.col("_rights")).drop("_all", "_others")
+
+
+def _candidates(rest: DataFrame, reps: DataFrame, tile: int, similarity: int) -> DataFrame:
+    """Pairs (a, b) in large keys, of different components, that sizes and signatures allow.
+
+    rest: key, kn (the key's number in the plan), rep, comp, _main (the largest
+    component of the key), _lefts and _rights (tiles of what isn't of it, and of
+    everything).  A pair is given in the first key that it shares.
+    """
+    rows = _sided(rest, "key", "kn").join(reps.select("rep", "n_shingles", "sig"), "rep").select("tile", "kn", "side", "rep", "comp", "n_shingles", "sig")
+    kept = np.array(_KEPT)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found_a, found_b = [], []
+        for ones, others in _tiles(batches):
+            if len(found_a) >= 10_000:
+                yield _pairs(found_a, found_b)
+                found_a, found_b = [], []
+            if not ones.num_rows or not others.num_rows:
+                continue
+            a, b, kn = unpacked(ones["sig"].to_pylist()), unpacked(others["sig"].to_pylist()), ones["kn"][0].as_py()
+            reps_a, reps_b, comps_b, sizes_b = (others[c].to_numpy() if i else ones["rep"].to_numpy() for i, c in enumerate(("", "rep", "comp", "n_shingles")))
+            for i, (rep, comp, size) in enumerate(zip(reps_a, ones["comp"].to_pylist(), ones["n_shingles"].to_pylist())):
+                differ = b != a[i]
+                good = (comps_b != comp) & (differ[:, :VALUES].sum(axis=1) <= DISTANCE) & (differ.sum(axis=1) <= SCREEN) & (np.minimum(sizes_b, size) * 100 >= np.maximum(sizes_b, size) * similarity)
+                hit = np.flatnonzero(good)
+                if len(hit) and kn:  # not those that share a key before this one
+                    hit = hit[differ[hit][:, kept[:kn]].any(axis=2).all(axis=1)]
+                found_a += [int(rep)] * len(hit)
+                found_b += reps_b[hit].tolist()
+        yield _pairs(found_a, found_b)
+
+    out = rows.repartition("tile").sortWithinPartitions("tile", "side", "rep").mapInArrow(pairs, "a long, b long")
+    return out.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+
+
+def _contracted(links: DataFrame) -> DataFrame:
+    """u and v, the smallest node that the links of its partition connect it with, for every node of a partition."""
+
+    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            root = x
+            while (p := parent.setdefault(root, root)) != root:
+                root = p
+            while x != root:
+                parent[x], x = root, parent[x]
+            return root
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a, b = top(a), top(b)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+        nodes = [x for x in parent if top(x) != x]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], names=["u", "v"])
+
+    return links.select("a", "b").mapInArrow(contract, "u long, v long")
+
+
+def components(links: DataFrame, local: int = LOCAL_LINKS) -> DataFrame:
+    """rep and comp (the smallest rep reachable) of every rep in links (a, b) but the smallest ones.
+
+    Portions of at most about ``local`` links are contracted each in a task.  If
+    there are several, alternating stars join them: each round hangs neighbours
+    under the smallest one, until nothing moves.  Rounds are staged, so no lineage
+    grows.
+    """
+    portions = -(-links.count() // local)
+    edges = stage(_contracted(links.coalesce(max(1, portions))).distinct() if portions > 1 else _contracted(links.coalesce(1)), "cc_links")
     before = None
-    while True:
+    while portions > 1:
         both = edges.union(edges.select(F.col("v"), F.col("u")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        now = stage(small, "cc_round")
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        edges = now
+        edges = stage(small, "cc_round")
+        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
         before = state
     return edges.groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("rep"), "comp")
 
 
-def near_duplicates(docs: DataFrame, *, similarity: int = SIMILARITY, pivots: int = PIVOTS, tile: int = TILE) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, similarity: int = SIMILARITY, tile: int = TILE) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Documents are linked if 100 times the intersection of their sets is at least
@@ -215,7 +398,7 @@ def near_duplicates(docs: DataFrame, *, similarity: int = SIMILARITY, pivots: in
     null doc_id is its own component (null) and stays, and others aren't linked
     through it.  An empty table gives no rows; other columns are ignored.
     """
-    marked, labels = _resolved(docs, similarity, pivots, tile)
+    marked, labels = _resolved(docs, similarity, tile)
     return _labelled(marked, labels).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
@@ -235,52 +418,43 @@ def _labelled(marked: DataFrame, labels: DataFrame) -> DataFrame:
     return out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
 
 
-def _renewed(df: DataFrame) -> DataFrame:
-    """The same columns under new identities, for a table on both sides of a cogroup."""
-    return df.select(*(F.col(c).alias(c) for c in df.columns))
-
-
-def _resolved(docs: DataFrame, similarity: int, pivots: int, tile: int) -> tuple[DataFrame, DataFrame]:
+def _resolved(docs: DataFrame, similarity: int, tile: int) -> tuple[DataFrame, DataFrame]:
     """Fingerprints, and (rep, comp) of the representatives that are linked with others."""
-    links_of = _links(similarity)
     marked = stage(fingerprints(docs), "near_marked")
-    reps = marked.filter("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
-    # a set's keys come with its representative
-    own = marked.select(F.col("doc_id").alias("rep"), "set_hash", "keys").join(reps, ["rep", "set_hash"]).select("rep", F.explode("keys").alias("key"))
-    own = stage(own, "near_keys")
-    order = [F.min(F.struct(F.xxhash64(F.lit(k), "rep").alias("h"), F.col("rep").alias("rep")))["rep"].alias(f"_p{k}") for k in range(pivots)]
-    shared = own.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("_sum"), *order).filter("n > 1")
-    # keys of the same members say the same
-    shared = shared.groupBy("n", "_sum", *(f"_p{k}" for k in range(pivots))).agg(F.min("key").alias("key"))
-    members = stage(own.join(shared.select("key", "n", F.array_distinct(F.array(*(f"_p{k}" for k in range(pivots)))).alias("pivots")), "key"), "near_members")
-    pairs = members.select("rep", F.explode("pivots").alias("pivot")).filter("rep <> pivot").distinct()
-    pairs = stage(pairs, "near_pairs")
-    wanted = pairs.select("rep").union(pairs.select("pivot")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep", "left_semi")
-    texts = stage(texts, "near_texts")
-
-    sizes = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("_tiles"))
-    right = pairs.join(sizes, "pivot").select(F.concat_ws(":", "pivot", F.pmod(F.xxhash64("rep"), "_tiles")).alias("tile"), "rep")
-    left = sizes.select("pivot", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).alias("_t")).select(F.concat_ws(":", "pivot", "_t").alias("tile"), F.col("pivot").alias("rep"))
-    own_comp = F.col("rep").alias("comp")
-    give = lambda rows, comp: _renewed(rows.join(_renewed(texts), "rep").select("tile", "rep", comp, "text"))
-    first = give(left, own_comp).groupBy("tile").cogroup(give(right, own_comp).groupBy("tile")).applyInPandas(links_of, "a long, b long")
-    first = stage(first, "near_links")
-    labels = stage(components(first), "near_labels")
-
-    rest = members.join(labels, "rep", "left").select("key", "n", "rep", F.coalesce("comp", "rep").alias("comp"), (F.size("pivots") + 1 < F.col("n")).alias("_more"))
-    rest = rest.filter("_more").drop("_more")
-    by_comp = rest.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("_c"))
-    largest = by_comp.groupBy("key").agg(F.count(F.lit(1)).alias("_comps"), F.max(F.struct("_c", "comp")).alias("_largest"), F.sum("_c").alias("_all")).filter("_comps > 1")
-    largest = largest.select("key", F.col("_largest.comp").alias("_main"), F.ceil((F.col("_all") - F.col("_largest._c")) / tile).cast("int").alias("_lefts"), F.ceil(F.col("_all") / tile).cast("int").alias("_rights"))
-    rest = stage(rest.join(largest, "key"), "near_rest")
+    first = marked.filter("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"))
+    own = marked.join(first, ["doc_id", "set_hash"]).select(F.col("doc_id").alias("rep"), "n_shingles", "sig")
+    reps = stage(_with_keys(own), "near_reps")
+    keys = reps.select("rep", F.posexplode("keys").alias("kn", "key"))
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("pivot")).filter("n > 1")
+    members = stage(keys.join(shared, "key"), "near_members")
+
+    few = members.filter(F.col("n") <= FEW).select("key", "rep")
+    every = few.alias("x").join(few.select("key", F.col("rep").alias("b")).alias("y"), "key").filter("rep > b").select(F.col("rep").alias("a"), "b", F.lit(True).alias("few"))
+    pivots = members.filter((F.col("n") > FEW) & (F.col("rep") != F.col("pivot"))).select(F.col("rep").alias("a"), F.col("pivot").alias("b"), F.lit(False).alias("few"))
+    pairs = every.union(pivots).groupBy("a", "b").agg(F.max("few").alias("few"))
+    near = _screened(pairs, reps, similarity)
+    nearest = near.withColumn("_r", F.row_number().over(Window.partitionBy("a", "few").orderBy("apart", "b"))).filter(F.col("few") | (F.col("_r") <= NEAREST))
+    links = _confirmed(nearest, docs, similarity, tile)
+    labels = stage(components(links), "near_labels")
+
+    rest = members.filter(F.col("n") > FEW).join(labels, "rep", "left").select("key", "kn", "pivot", "rep", F.coalesce("comp", "rep").alias("comp"))
+    rest = stage(rest.join(_with_tiles(rest, "key", tile), "key"), "near_rest")
     if rest.isEmpty():
         return marked, labels
-    at = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
-    tiles = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("_t")
-    others = rest.filter("comp <> _main")
-    left = others.select("key", "rep", "comp", at("_lefts").alias("_l"), tiles("_rights")).select(F.concat_ws(":", "key", "_l", "_t").alias("tile"), "rep", "comp")
-    right = rest.select("key", "rep", "comp", at("_rights").alias("_r"), tiles("_lefts")).select(F.concat_ws(":", "key", "_t", "_r").alias("tile"), "rep", "comp")
-    second = give(left, "comp").groupBy("tile").cogroup(give(right, "comp").groupBy("tile")).applyInPandas(links_of, "a long, b long")
-    second = stage(second, "near_more")
-    return marked, stage(components(second.union(first)), "near_labels")
+    # large keys hang together in clusters; a dense one is tiled as a whole, once instead of key by key
+    edges = rest.filter("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
+    cluster = stage(components(edges), "near_clusters")
+    rest = stage(rest.join(_renewed(cluster).withColumnRenamed("comp", "cluster"), "rep", "left").withColumn("cluster", F.coalesce("cluster", "rep")), "near_rest")
+    by_key = rest.select("cluster", "key", "_cost").distinct().groupBy("cluster").agg(F.sum("_cost").alias("_by_key"))
+    once = rest.select("cluster", "rep", "comp").distinct()
+    dense = stage(_with_tiles(once, "cluster", tile).join(by_key, "cluster").filter("_cost <= _by_key").drop("_by_key"), "near_dense")
+    more = _verified(_sided(once.join(dense, "cluster"), "cluster"), docs, similarity)
+    sparse = rest.join(_renewed(dense.select("cluster")), "cluster", "left_anti")
+    if not sparse.isEmpty():
+        more = more.union(_confirmed(_candidates(sparse, reps, tile, similarity), docs, similarity, tile))
+    return marked, stage(components(more.union(links)), "near_labels")
+
+
+def _renewed(df: DataFrame) -> DataFrame:
+    """The same columns under new identities."""
+    return df.select(*(F.col(c).alias(c) for c in df.columns))

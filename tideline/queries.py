@@ -543,6 +543,49 @@ for _mode in ("standard", "walk_forward", "crisis", "monte_carlo"):
     _register(f"plan_{_mode}", _plan(_mode))
 
 
+_register("tick_frame", lambda spark, sf: market.tick_frame(market.event_bars(spark, sf)), f"""WITH {HOURS}
+SELECT symbol, ts, open, high, low, close, volume, close * volume AS dollar_volume, {_pct('close')} AS returns FROM bars""", "open high low close volume dollar_volume returns")
+
+
+def _prepared(spark: SparkSession, sf: str) -> DataFrame:
+    return market.prepare(bars_all(spark, sf))[1]
+
+
+_THRESHOLD = "(SELECT avg(daily_vol) FROM v)"
+_register("prepared_events", _prepared, f"WITH RECURSIVE {BARS_ALL}, {_EWS}, {_cusum_sql(_THRESHOLD)}\nSELECT symbol, ts AS t0 FROM c WHERE hit <> 0")
+_register("frac_diff_ffd", lambda spark, sf: seq.frac_diff_ffd(bars_all(spark, sf), 1.0).select("symbol", "ts", "frac_diff"), f"WITH {BARS_ALL}, d AS (SELECT symbol, ts, close - {_lag('close')} AS frac_diff FROM bars)\nSELECT symbol, ts, frac_diff FROM d WHERE frac_diff IS NOT NULL", "frac_diff")
+_register("regime_at", lambda spark, sf: regimes.regime_at(_regimes(spark, sf), 3), f"WITH {BARS}, {_REG}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS n FROM reg)\nSELECT symbol, ts, trend_regime, vol_regime, volume_regime, micro_regime FROM n WHERE n = 3")
+_register("regime_transition_count", lambda spark, sf: regimes.transition_count(_regimes(spark, sf), "vol_regime"), f"WITH {BARS}, {_ISLE}\nSELECT symbol, count(*) - 1 AS transitions FROM pp GROUP BY 1 HAVING count(*) > 1")
+_register("regime_lookup", lambda spark, sf: regimes.lookup(_regimes(spark, sf), "vol_regime", "1996-06-15").withColumn("duration", F.col("duration").cast("long")), f"""WITH {BARS}, {_ISLE}, ru AS (SELECT symbol, ts, vol_regime, row_number() OVER (PARTITION BY symbol, period ORDER BY ts) AS n FROM pr)
+SELECT symbol, vol_regime AS regime, n AS duration FROM ru WHERE ts = TIMESTAMP '1996-06-15'""")
+_register("train_times", lambda spark, sf: models.train_times(_labelled(spark, sf), F.lit("1996-01-01").cast("timestamp_ntz"), F.lit("1996-06-30").cast("timestamp_ntz")), f"WITH {BARS}, {_TB}\nSELECT symbol, t0, t1, ret, label FROM tb WHERE t1 < TIMESTAMP '1996-01-01' OR t0 > TIMESTAMP '1996-06-30'", "ret")
+_register("weights_by_time", lambda spark, sf: labels.weights_by_time(_labelled(spark, sf), 86400.0 * 90).select("symbol", "t0", "weight"), f"""WITH {BARS}, {_TB}, a AS (SELECT symbol, t0, exp(-ln(2) / (86400.0::DOUBLE * 90) * (epoch(max(t0) OVER (PARTITION BY symbol)) - epoch(t0))) AS w FROM tb)
+SELECT symbol, t0, w / sum(w) OVER (PARTITION BY symbol) AS weight FROM a""", "weight")
+_register("label_columns", lambda spark, sf: labels.label_columns(_labelled(spark, sf).drop("label")), f"WITH {BARS}, {_TB}\nSELECT symbol, t0, t1, sign(ret)::INT AS label, ret FROM tb", "ret")
+_register("bandit_flat", lambda spark, sf: bandit.flat_replay(_votes(spark, sf).select(F.col("strategy").alias("name"), (F.col("confidence") * 2 - 1).alias("reward"))), f"""{_VB}, f AS (SELECT strategy AS name, confidence * 2 - 1 AS reward, ((confidence * 2 - 1) + 1) / 2 AS r FROM vo)
+SELECT name, 1 + sum(CASE WHEN r > 0.5 THEN r ELSE 0 END) AS alpha, 1 + sum(CASE WHEN r > 0.5 THEN 0 ELSE 1 - r END) AS beta, count(*) AS total_trials, sum(reward) AS total_reward, avg(reward) AS avg_reward FROM f GROUP BY 1""", "alpha beta total_reward avg_reward")
+_register("bandit_choose", lambda spark, sf: bandit.choose_arm(bandit.flat_replay(_votes(spark, sf).select(F.col("strategy").alias("name"), (F.col("confidence") * 2 - 1).alias("reward"))), "ucb").select("name"))
+_register("bandit_intervals", lambda spark, sf: bandit.intervals(_arms(spark, sf), 500))
+_register("execution_stats", lambda spark, sf: Execution.stats(Execution().trades(S.MeanReversion().signals(bars(spark, sf)).join(bars(spark, sf), ["symbol", "ts"]).select("ts", "symbol", "signal", F.col("close").alias("price"), F.lit(1e6).alias("portfolio_value"), F.lit(0.05).alias("position_size")))), f"""WITH {BARS}, {_SIDE}, t AS (SELECT 50000.0::DOUBLE AS v FROM side WHERE side <> 0)
+SELECT count(*) AS num_trades, sum(greatest(v * 0.001, 1)) AS total_commission, sum(v * 0.0005) AS total_slippage, avg(greatest(v * 0.001, 1)) AS avg_commission, avg(v * 0.0005) AS avg_slippage, sum(greatest(v * 0.001, 1)) + sum(v * 0.0005) AS total_cost FROM t""", "total_commission total_slippage avg_commission avg_slippage total_cost")
+_register("backtest_trades", lambda spark, sf: evaluation.backtest_trades(evaluation.run_backtest(S.MeanReversion().signals(bars(spark, sf)), bars(spark, sf))).select("ts", "symbol", "side"))
+_register("favourable_regimes", lambda spark, sf: regimes.composite(_regimes(spark, sf)).select("symbol", "ts", S.Momentum().favourable(F.col("composite_regime")).alias("momentum"), S.Volatility().favourable(F.col("composite_regime")).alias("volatility")), f"WITH {BARS}, {_REG}\nSELECT symbol, ts, trend_regime = 'trending' AS momentum, vol_regime = 'high_vol' AS volatility FROM reg")
+_register("compatible_strategies", lambda spark, sf: ensemble.compatible(_votes(spark, sf), _preferred(spark)).select("symbol", "ts", "strategy", "compatible"), f"{_VB}, {_PREF}\nSELECT symbol, ts, vo.strategy, pf.strategy = vo.strategy AS compatible FROM vo JOIN pf USING (regime)")
+_register("hedged_spread", lambda spark, sf: S.Pairs().hedged_spread(pair(spark, sf)).select("symbol", "ts", "hedge_ratio"), f"""WITH {BARS}, {_PAIR}, l AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS n FROM pair), h AS (SELECT symbol, sum(price1 * price2) / sum(price2 * price2) AS hedge_ratio FROM l WHERE n <= 60 GROUP BY 1)
+SELECT pair.symbol, pair.ts, hedge_ratio FROM pair JOIN h USING (symbol)""", "hedge_ratio")
+
+
+def _gated(spark: SparkSession, sf: str) -> DataFrame:
+    rows, names = _trained(spark, sf)
+    primary = models.Classifier(names, trees=5, depth=3).fit(rows)
+    right = primary.predict(rows).withColumn("good", (F.col("prediction") * F.col("label") > 0).cast("int")).select(*rows.columns, "good")
+    meta = models.Classifier(names, label="good", trees=5, depth=3).fit(right)
+    return models.gated(rows, primary, meta).select("symbol", "t0", "primary", "meta", "regime_ok", "final")
+
+
+_register("gated_predictions", _gated)
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Mean-reversion signals of daily bars, counted by symbol and signal."""
     return S.MeanReversion().signals(bars(spark, sf)).groupBy("symbol", "signal").agg(F.count(F.lit(1)).alias("n"))

@@ -8,6 +8,7 @@ crosses the chunks below, so that ids of chunks, joined, are the ids of the text
 from __future__ import annotations
 
 import re
+import unicodedata
 from array import array
 from functools import cache
 
@@ -19,12 +20,30 @@ _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _BYTE_CHUNK = re.compile(rf" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 #: Word ends, white space dropped: anything between blanks and line ends.
 _WORD_CHUNK = re.compile(r"[^ \n]+")
+#: Texts of these characters (up to Latin Extended-B, which composition leaves as they are) are cut as finely as the
+#: tokenizers cut them, so that a word is one chunk whatever stands around it.
+_FINE = re.compile(r"[\x00-\u012f\u0131-\u024f]*")
+
+
+def _class(kind: str) -> str:
+    return "".join(re.escape(chr(i)) for i in range(0x250) if unicodedata.category(chr(i))[0] == kind)
+
+
+def _fine(by_word: bool) -> re.Pattern:
+    letter, number, white = _class("L"), _class("N"), r"\t-\r \x85\xa0"
+    short = "'s|'t|'re|'ve|'m|'ll|'d"
+    if by_word:
+        return re.compile(rf"{short}|[{letter}]+|[{number}]|[^{white}{letter}{number}]+")
+    return re.compile(rf"{short}| ?[{letter}]+| ?[{number}]+| ?[^{white}{letter}{number}]+|[{white}]+(?![^{white}])|[{white}]+")
+
+
 #: Chunks that a worker's cache holds between batches; those that come first stay.
-CACHED = 800_000
+CACHED = 300_000
 #: Stands between chunks that are encoded together; no merge has it, and no chunk that holds it is among them.
 _MARK = "\x01"
 #: Chunks encoded together.
 TOGETHER = 2000
+TOGETHER_CHARS = 500_000
 
 END_ID = 2
 
@@ -39,12 +58,17 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name) if "/" not in name else name)
         self.tokenizer.encode_special_tokens = True
         self.by_word = "word_bpe" in name
-        self.chunks = (_WORD_CHUNK if self.by_word else _BYTE_CHUNK).findall
+        self.coarse, self.fine = (_WORD_CHUNK if self.by_word else _BYTE_CHUNK).findall, _fine(self.by_word).findall
         self.known: dict[str, bytes] = {}
         self.mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
         if len(self.mark) != 1:
             raise ValueError(f"{name} has no single id for the mark")
 
+    def chunks(self, text: str) -> list[str]:
+        if _FINE.fullmatch(text):
+            return self.fine(text.lower() if self.by_word else text)
+        return self.coarse(text)
+
     def _alone(self, chunk: str) -> bytes:
         return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
@@ -67,9 +91,19 @@ class Encoder:
         return new
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
+        """In portions of some TOGETHER_CHARS, so that long texts don't stand in memory in pieces all at once."""
+        out: list[bytes] = []
+        first, size = 0, 0
+        for i, text in enumerate(texts):
+            size += len(text or "")
+            if size >= TOGETHER_CHARS:
+                out += self._portion(texts[first : i + 1])
+                first, size = i + 1, 0
+        return out + self._portion(texts[first:])
+
+    def _portion(self, texts: list[str | None]) -> list[bytes]:
         known, parts = self.known, [self.chunks(t) if t else [] for t in texts]
-        unknown = [c for c in set().union(*parts) if c not in known]
-        new = self._together(unknown)
+        new = self._together(list(set().union(*parts).difference(known)))
         known.update(new)
         look = known.__getitem__
         out = [b"".join(map(look, p)) for p in parts]

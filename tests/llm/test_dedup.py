@@ -149,12 +149,14 @@ def brute_repeats(rows, run, least):
     for i, t in sorted((i, t or "") for i, t in rows):
         at = substring_dedup.sentences(t)
         bodies = [" ".join(t[a:b].split()) for a, b in at]
-        for k in range(len(at) - run + 1):
-            span = tuple(bodies[k : k + run])
-            if sum(len(s.split()) for s in span) >= least:
-                if span in first:
-                    gone.setdefault(i, set()).update(range(k, k + run))
-                first.setdefault(span, (i, k))
+        for k in range(len(at)):
+            for end in range(k + run, len(at) + 1):
+                if sum(len(x.split()) for x in bodies[k:end]) >= least:
+                    span = tuple(bodies[k:end])
+                    if span in first:
+                        gone.setdefault(i, set()).update(range(k, end))
+                    first.setdefault(span, (i, k))
+                    break
     return gone
 
 
@@ -163,7 +165,7 @@ def test_repeated_spans_equal_brute_force(spark):
     pool = [" ".join(words(k, draw.randrange(1, 12))).capitalize() + draw.choice([".", "!", "?", "...", ""]) for k in range(40)]
     rows = [(i, draw.choice([" ", "\n", "  \n"]).join(draw.choice(pool) for _ in range(draw.randrange(0, 25)))) for i in range(60)]
     rows += [(100, None), (101, ""), (102, rows[3][1]), (103, "no end"), (104, "é. " * 3000)]
-    gone = brute_repeats(rows, 2, 10)
+    gone = brute_repeats(rows, 2, 20)
     got = {r.doc_id: r for r in substring_dedup.remove_repeats(docs(spark, rows)).collect()}
     for i, t in rows:
         at = substring_dedup.sentences(t or "")

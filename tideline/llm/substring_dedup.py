@@ -1,9 +1,10 @@
 """Substring dedup by sliding sentence spans.
 
-Every run of ``run`` consecutive sentences is hashed (with white space evened out).
-Runs join globally; the first occurrence is the one in the smallest doc_id, and
-there the first one.  Sentences that any other occurrence covers are removed.
-Runs of fewer than ``min_words`` words don't count: such short ones repeat by chance.
+From every sentence on, the shortest run of at least ``run`` sentences and
+``min_words`` words is hashed (with white space evened out); shorter ones are common
+lines, or repeat by chance.  Runs join globally; the first occurrence is the one in
+the smallest doc_id, and there the first one.  Sentences that any other occurrence
+covers are removed.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 
 from .common import bounded_batches, session_of, stage
 
-RUN, MIN_WORDS = 2, 10
+RUN, MIN_WORDS = 2, 20
 #: A sentence goes up to its end mark and the white space after it, or to the end of the line.
 _SENTENCE = re.compile(r"[^\n]*?(?:[.!?]+(?=\s|$)\s*|\n\s*|$)", re.DOTALL)
 
@@ -35,37 +36,43 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def span_hashes(text: str, run: int = RUN, min_words: int = MIN_WORDS) -> list[tuple[int, int, int]]:
-    """(first sentence's number, 64-bit hash, 32 bits more) of every run that counts."""
+def span_hashes(text: str, run: int = RUN, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, int]]:
+    """(first sentence's number, number of sentences, 64-bit hash, 32 bits more) of every run."""
     import xxhash
 
     words = [text[a:b].split() for a, b in sentences(text)]
-    out = []
-    for i in range(len(words) - run + 1):
-        if sum(map(len, words[i : i + run])) >= min_words:
-            h = xxhash.xxh3_128_intdigest("\n".join(" ".join(w) for w in words[i : i + run]).encode())
-            out.append((i, (h >> 64) - (1 << 63), (h & 0xFFFFFFFF) - (1 << 31)))
+    bodies, sizes, out = [" ".join(w) for w in words], [len(w) for w in words], []
+    end, held = 0, 0  # sentences [i, end) and their words
+    for i in range(len(words)):
+        while end < len(words) and (held < min_words or end - i < run):
+            held += sizes[end]
+            end += 1
+        if held < min_words or end - i < run:
+            break
+        h = xxhash.xxh3_128_intdigest("\n".join(bodies[i:end]).encode())
+        out.append((i, end - i, (h >> 64) - (1 << 63), (h & 0xFFFFFFFF) - (1 << 31)))
+        held -= sizes[i]
     return out
 
 
 def _spans(docs: DataFrame, run: int, min_words: int) -> DataFrame:
-    """doc_id, hash, more, pos of each run's first occurrence in its document; again: places of the others."""
+    """doc_id, hash, more, pos, n (sentences) of each run's first occurrence in its document; again: places of the others."""
     bounded_batches(session_of(docs))
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()))
-    names = ["doc_id", "hash", "more", "pos", "again"]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()))
+    names = ["doc_id", "hash", "more", "pos", "n", "again"]
 
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen: dict[tuple[int, int], list[int]] = {}
-                for pos, h, more in span_hashes(text or "", run, min_words):
-                    seen.setdefault((h, more), []).append(pos)
-                rows += [(doc_id, h, more, at[0], at[1:] or None) for (h, more), at in seen.items()]
-            columns = list(zip(*rows)) if rows else [[]] * 5
+                seen: dict[tuple[int, int, int], list[int]] = {}
+                for pos, n, h, more in span_hashes(text or "", run, min_words):
+                    seen.setdefault((h, more, n), []).append(pos)
+                rows += [(doc_id, h, more, at[0], n, at[1:] or None) for (h, more, n), at in seen.items()]
+            columns = list(zip(*rows)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=names)
 
-    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(every, "doc_id long, hash long, more int, pos int, again array<int>")
+    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(every, "doc_id long, hash long, more int, pos int, n int, again array<int>")
 
 
 def remove_repeats(docs: DataFrame, *, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
@@ -78,13 +85,13 @@ def remove_repeats(docs: DataFrame, *, run: int = RUN, min_words: int = MIN_WORD
     """
     spans = stage(_spans(docs, run, min_words), "spans")
     repeated = spans.groupBy("hash", "more").agg(F.count(F.lit(1)).alias("_n"), F.min("doc_id").alias("_first")).filter("_n > 1")
-    later = spans.join(repeated.select("hash", "more", "_first"), ["hash", "more"]).filter("doc_id <> _first").select("doc_id", "pos")
-    inside = spans.filter("again is not null").select("doc_id", F.explode("again").alias("pos"))
-    places = stage(later.union(inside).distinct(), "span_places").groupBy("doc_id").agg(F.collect_list("pos").alias("_places"))
-    return _cut(docs.join(places, "doc_id", "left").select(*docs.columns, "_places"), docs.columns, run)
+    later = spans.join(repeated.select("hash", "more", "_first"), ["hash", "more"]).filter("doc_id <> _first").select("doc_id", "pos", "n")
+    inside = spans.filter("again is not null").select("doc_id", F.explode("again").alias("pos"), "n")
+    places = stage(later.union(inside).distinct(), "span_places").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "n")).alias("_places"))
+    return _cut(docs.join(places, "doc_id", "left").select(*docs.columns, "_places"), docs.columns)
 
 
-def _cut(docs: DataFrame, columns: list[str], run: int) -> DataFrame:
+def _cut(docs: DataFrame, columns: list[str]) -> DataFrame:
     kept = [c for c in columns if c not in ("n_sentences", "n_removed", "removed")]
     schema = T.StructType([*docs.select(kept).schema.fields, T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.StringType())])
 
@@ -93,7 +100,7 @@ def _cut(docs: DataFrame, columns: list[str], run: int) -> DataFrame:
             texts, counts, gone, said = [], [], [], []
             for text, places in zip(batch["text"].to_pylist(), batch["_places"].to_pylist()):
                 at = sentences(text or "")
-                out = {i + k for i in places or () for k in range(run) if i + k < len(at)}
+                out = {p["pos"] + k for p in places or () for k in range(p["n"])}
                 texts.append("".join(text[a:b] for i, (a, b) in enumerate(at) if i not in out) if out else text)
                 counts.append(len(at))
                 gone.append(len(out))

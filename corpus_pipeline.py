@@ -43,7 +43,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, staged = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = common.stage(stage(spark, docs, sf_dir), f"pipeline_{name}")
+        if staged is not None:
+            common.unstage(staged)
+        staged = docs
     return docs

@@ -150,3 +150,12 @@ def test_prepare_and_validate(spark):
     titled = df.toDF("Ticker", "Date", "Open", "High", "Low", "Close", "Volume")
     assert market.canonical(titled).columns == ["symbol", "ts", "open", "high", "low", "close", "volume"]
     assert market.from_bars(market.as_bars(df)).count() == 150
+
+
+def test_read_bars(spark, tmp_path):
+    frame(spark, walk("SPY", 30), walk("B", 20, 2)).write.parquet(str(tmp_path / "b"))
+    got = market.index_bars(spark, str(tmp_path / "b"), start="2022-01-10")
+    assert got.count() == 23 and market.read_bars(spark, str(tmp_path / "b"), symbols=["B"], end="2022-01-05").count() == 2
+    assert "PushedFilters: [IsNotNull" in got._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError):
+        market.read_bars(spark, str(tmp_path / "b"), symbols="C")

@@ -35,6 +35,11 @@ def read_bars(spark: SparkSession, path: str, *, format: str = "parquet", symbol
     return df
 
 
+def index_bars(spark: SparkSession, path: str, symbol: str = "SPY", start: str = "2020-01-01", end: str | None = None, **options) -> DataFrame:
+    """Bars of one symbol from a date on."""
+    return read_bars(spark, path, symbols=symbol, start=start, end=end, **options)
+
+
 def canonical(df: DataFrame) -> DataFrame:
     """OHLCV columns whatever the case of their names (date, datetime and timestamp stand for ts, ticker for symbol); others stay."""
     also = {"date": "ts", "datetime": "ts", "timestamp": "ts", "ticker": "symbol"}

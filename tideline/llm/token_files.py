@@ -106,6 +106,8 @@ class Segment:
         return out
 
 
+#: Codes stand in the files as they are: no page has to be decompressed to reach one.
+_PLAIN = {"compression": "uncompressed", "parquet.enable.dictionary": "false"}
 _FILE = "part int, segment int, first long, n_tokens long, doc_ids array<long>, lengths array<long>, image binary"
 
 
@@ -142,7 +144,7 @@ def write_token_files(docs: DataFrame, path: str, *, tokenizer: str = "word_bpe_
 
     place = [F.asc_nulls_first("doc_id"), F.asc_nulls_first("_t")]
     ordered = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("_t")).repartitionByRange(*place).sortWithinPartitions(*place)
-    ordered.select("doc_id", "text").mapInArrow(segments, _FILE).write.option("compression", "zstd").parquet(path)
+    ordered.select("doc_id", "text").mapInArrow(segments, _FILE).write.options(**_PLAIN).parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str, *, ids: bool = False) -> DataFrame:

@@ -38,7 +38,7 @@ def _fine(by_word: bool) -> re.Pattern:
 
 
 #: Chunks that a worker's cache holds between batches; those that come first stay.
-CACHED = 300_000
+CACHED = 400_000
 #: Stands between chunks that are encoded together; no merge has it, and no chunk that holds it is among them.
 _MARK = "\x01"
 #: Chunks encoded together.

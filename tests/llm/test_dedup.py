@@ -183,3 +183,31 @@ def test_a_passage_in_the_middle_of_texts_goes_but_once(spark):
     assert passage in got[0].text and all(passage not in got[i].text and got[i].n_removed == 5 for i in range(1, 5)) and got[9].n_removed == 0
     odd = spark.createDataFrame([(None, passage, 1), (1, passage, 2), (1, passage, 2)], "doc_id long, text string, removed int")
     assert [r.n_removed for r in substring_dedup.remove_repeats(odd).collect()] == [0, 0, 0]
+
+
+def brute_all_repeats(rows, run, least):
+    """Of all runs, and not only of the shortest ones."""
+    first, gone = set(), {}
+    for i, t in sorted(rows):
+        bodies = [" ".join(t[a:b].split()) for a, b in substring_dedup.sentences(t)]
+        for k in range(len(bodies)):
+            for end in range(k + run, len(bodies) + 1):
+                span = tuple(bodies[k:end])
+                if sum(len(x.split()) for x in span) >= least:
+                    if span in first:
+                        gone.setdefault(i, set()).update(range(k, end))
+                    first.add(span)
+    return gone
+
+
+def test_the_tail_of_a_repeated_run_goes(spark):
+    passage = " ".join(f"{' '.join(words(k, n))}." for k, n in ((1, 30), (2, 10), (3, 5)))
+    rows = [(i, f"{' '.join(words(10 + i, 9))}. {passage} {' '.join(words(20 + i, 9))}.") for i in range(2)] + [(2, passage)]
+    got = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(docs(spark, rows)).collect()}
+    assert got == {0: 0, 1: 3, 2: 3}
+    draw = random.Random(5)
+    pool = [" ".join(words(k, draw.choice([1, 2, 4, 9, 18, 30]))) + "." for k in range(12)]
+    rows = [(i, " ".join(draw.choice(pool) for _ in range(draw.randrange(1, 14)))) for i in range(60)]
+    gone = brute_all_repeats(rows, 2, 20)
+    got = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(docs(spark, rows)).collect()}
+    assert got == {i: len(gone.get(i, ())) for i, _ in rows}

@@ -1,8 +1,9 @@
 """Substring dedup by sliding sentence spans.
 
-From every sentence on, the shortest run of at least ``run`` sentences and
-``min_words`` words is hashed (with white space evened out); shorter ones are common
-lines, or repeat by chance.  Runs join globally; the first occurrence is the one in
+From every sentence on, and up to every sentence, the shortest run of at least ``run``
+sentences and ``min_words`` words is hashed (with white space evened out); shorter ones
+are common lines, or repeat by chance.  Every sentence of a longer run lies in one of
+those within it, so they stand for all runs.  Runs join globally; the first occurrence is the one in
 the smallest doc_id, and there the first one.  Sentences that any other occurrence
 covers are removed.
 """
@@ -36,22 +37,30 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _shortest(sizes: list[int], run: int, min_words: int) -> Iterator[tuple[int, int]]:
+    """[start, end) of the shortest run from every sentence on, as far as there are enough."""
+    end, held = 0, 0  # sentences [i, end) and their words
+    for i in range(len(sizes)):
+        while end < len(sizes) and (held < min_words or end - i < run):
+            held += sizes[end]
+            end += 1
+        if held < min_words or end - i < run:
+            return
+        yield i, end
+        held -= sizes[i]
+
+
 def span_hashes(text: str, run: int = RUN, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, int]]:
-    """(first sentence's number, number of sentences, 64-bit hash, 32 bits more) of every run."""
+    """(first sentence's number, number of sentences, 64-bit hash, 32 bits more) of every run, by first sentence."""
     import xxhash
 
     words = [text[a:b].split() for a, b in sentences(text)]
     bodies, sizes, out = [" ".join(w) for w in words], [len(w) for w in words], []
-    end, held = 0, 0  # sentences [i, end) and their words
-    for i in range(len(words)):
-        while end < len(words) and (held < min_words or end - i < run):
-            held += sizes[end]
-            end += 1
-        if held < min_words or end - i < run:
-            break
+    runs = set(_shortest(sizes, run, min_words))
+    runs |= {(len(sizes) - end, len(sizes) - i) for i, end in _shortest(sizes[::-1], run, min_words)}
+    for i, end in sorted(runs):
         h = xxhash.xxh3_128_intdigest("\n".join(bodies[i:end]).encode())
         out.append((i, end - i, (h >> 64) - (1 << 63), (h & 0xFFFFFFFF) - (1 << 31)))
-        held -= sizes[i]
     return out
 
 

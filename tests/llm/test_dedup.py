@@ -211,3 +211,9 @@ def test_the_tail_of_a_repeated_run_goes(spark):
     gone = brute_all_repeats(rows, 2, 20)
     got = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(docs(spark, rows)).collect()}
     assert got == {i: len(gone.get(i, ())) for i, _ in rows}
+
+
+def test_a_long_sentence_goes_on_its_own(spark):
+    rows = [(2 * n + i, f"{' '.join(words(10 * n + i, 9))}. {' '.join(words(n, n))}. {' '.join(words(10 * n + i + 5, 9))}.") for n in (50, 51) for i in range(2)]
+    got = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(docs(spark, rows)).collect()}
+    assert got == {100: 0, 101: 0, 102: 0, 103: 1}

@@ -3,7 +3,8 @@
 From every sentence on, and up to every sentence, the shortest run of at least ``run``
 sentences and ``min_words`` words is hashed (with white space evened out); shorter ones
 are common lines, or repeat by chance.  Every sentence of a longer run lies in one of
-those within it, so they stand for all runs.  Runs join globally; the first occurrence is the one in
+those within it, so they stand for all runs.  A sentence of over ``alone`` words is a
+run of its own.  Runs join globally; the first occurrence is the one in
 the smallest doc_id, and there the first one.  Sentences that any other occurrence
 covers are removed.
 """
@@ -20,7 +21,7 @@ from pyspark.sql import types as T
 
 from .common import bounded_batches, session_of, stage
 
-RUN, MIN_WORDS = 2, 20
+RUN, MIN_WORDS, ALONE = 2, 20, 50
 #: A sentence goes up to its end mark and the white space after it, or to the end of the line.
 _SENTENCE = re.compile(r"[^\n]*?(?:[.!?]+(?=\s|$)\s*|\n\s*|$)", re.DOTALL)
 
@@ -50,7 +51,7 @@ def _shortest(sizes: list[int], run: int, min_words: int) -> Iterator[tuple[int,
         held -= sizes[i]
 
 
-def span_hashes(text: str, run: int = RUN, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, int]]:
+def span_hashes(text: str, run: int = RUN, min_words: int = MIN_WORDS, alone: int = ALONE) -> list[tuple[int, int, int, int]]:
     """(first sentence's number, number of sentences, 64-bit hash, 32 bits more) of every run, by first sentence."""
     import xxhash
 
@@ -58,13 +59,14 @@ def span_hashes(text: str, run: int = RUN, min_words: int = MIN_WORDS) -> list[t
     bodies, sizes, out = [" ".join(w) for w in words], [len(w) for w in words], []
     runs = set(_shortest(sizes, run, min_words))
     runs |= {(len(sizes) - end, len(sizes) - i) for i, end in _shortest(sizes[::-1], run, min_words)}
+    runs |= {(i, i + 1) for i, n in enumerate(sizes) if n > alone}
     for i, end in sorted(runs):
         h = xxhash.xxh3_128_intdigest("\n".join(bodies[i:end]).encode())
         out.append((i, end - i, (h >> 64) - (1 << 63), (h & 0xFFFFFFFF) - (1 << 31)))
     return out
 
 
-def _spans(docs: DataFrame, run: int, min_words: int) -> DataFrame:
+def _spans(docs: DataFrame, run: int, min_words: int, alone: int) -> DataFrame:
     """doc_id, hash, more, pos, n (sentences) of each run's first occurrence in its document; again: places of the others."""
     bounded_batches(session_of(docs))
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()))
@@ -75,7 +77,7 @@ def _spans(docs: DataFrame, run: int, min_words: int) -> DataFrame:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 seen: dict[tuple[int, int, int], list[int]] = {}
-                for pos, n, h, more in span_hashes(text or "", run, min_words):
+                for pos, n, h, more in span_hashes(text or "", run, min_words, alone):
                     seen.setdefault((h, more, n), []).append(pos)
                 rows += [(doc_id, h, more, at[0], n, at[1:] or None) for (h, more, n), at in seen.items()]
             columns = list(zip(*rows)) if rows else [[]] * 6
@@ -84,7 +86,7 @@ def _spans(docs: DataFrame, run: int, min_words: int) -> DataFrame:
     return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(every, "doc_id long, hash long, more int, pos int, n int, again array<int>")
 
 
-def remove_repeats(docs: DataFrame, *, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, run: int = RUN, min_words: int = MIN_WORDS, alone: int = ALONE) -> DataFrame:
     """The documents with text cleaned, and n_sentences, n_removed, removed (start:end in code points, comma-joined).
 
     A document that nothing is removed from keeps its text as it is, null too; one
@@ -92,7 +94,7 @@ def remove_repeats(docs: DataFrame, *, run: int = RUN, min_words: int = MIN_WORD
     they are; rows that repeat a doc_id are cut alike, and none of them by the
     other.  An empty table gives no rows.
     """
-    spans = stage(_spans(docs, run, min_words), "spans")
+    spans = stage(_spans(docs, run, min_words, alone), "spans")
     repeated = spans.groupBy("hash", "more").agg(F.count(F.lit(1)).alias("_n"), F.min("doc_id").alias("_first")).filter("_n > 1")
     later = spans.join(repeated.select("hash", "more", "_first"), ["hash", "more"]).filter("doc_id <> _first").select("doc_id", "pos", "n")
     inside = spans.filter("again is not null").select("doc_id", F.explode("again").alias("pos"), "n")

@@ -52,3 +52,12 @@ def test_entry(spark):
     entry = importlib.import_module("__spark_entry__")
     assert entry.entry(spark).count() > 0
     assert set(SQL) <= set(entry.oracle_sql()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["forest_predictions", "gated_predictions"])
+def test_predictions_are_of_every_symbol(spark, db, name):
+    b = QUERIES["triple_barrier"](spark, SF)
+    got = {r.symbol: r["count"] for r in QUERIES[name](spark, SF).groupBy("symbol").count().collect()}
+    every = {r.symbol: r["count"] for r in b.groupBy("symbol").count().collect()}
+    assert len(got) == 5 and got.keys() == every.keys()
+    assert all(every[s] - 30 < n <= every[s] for s, n in got.items())  # features are missing at the head only

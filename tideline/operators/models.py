@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import random
 from collections.abc import Callable, Iterator, Mapping, Sequence
@@ -165,6 +166,15 @@ def train_by(rows: DataFrame, group: str, features: Sequence[str], *, least: int
     return {k: train_primary(rows.filter(F.col(group) == k), features, cv=cv, **how) for k, n in sorted(sizes.items()) if n >= least}
 
 
+def by_symbol(rows: DataFrame, own: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """own() of each symbol's rows, one after the other, in one frame; a column that a symbol's lacks is NULL."""
+    symbols = sorted(r.symbol for r in rows.select("symbol").distinct().collect())
+    if not symbols:
+        raise ValueError("no rows to train on")
+    parts = [own(rows.filter(F.col("symbol") == s)) for s in symbols]
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def refit(model: Classifier, rows: DataFrame) -> Classifier:
     """The same settings on new rows."""
     return Classifier(model.features, label=model.label, kind=model.kind, trees=model.trees, depth=model.depth, least=model.least, rate=model.rate, weight=model.weight, seed=model.seed).fit(rows)

@@ -398,14 +398,19 @@ SELECT symbol, t0, fold::INT AS fold, role FROM ro WHERE role IS NOT NULL""")
 
 
 def _trained(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
-    rows = _few(spark, sf).na.drop().withColumnRenamed("ts", "t0").join(_labelled(spark, sf), ["symbol", "t0"]).filter(F.col("symbol") == "1-URGENT")
+    rows = _few(spark, sf).na.drop().withColumnRenamed("ts", "t0").join(_labelled(spark, sf), ["symbol", "t0"])
     return rows, ["rsi_14", "momentum_20", "atr_14"]
 
 
 def _forest(spark: SparkSession, sf: str) -> DataFrame:
     rows, names = _trained(spark, sf)
-    model = models.Classifier(names, trees=20).fit(rows)
-    return model.predict(rows).select("symbol", "t0", "label", "prediction", *(f"p_{c}" for c in model.classes))
+
+    def own(rows: DataFrame) -> DataFrame:
+        model = models.Classifier(names, trees=20).fit(rows)
+        return model.predict(rows).select("symbol", "t0", "label", "prediction", *(f"p_{c}" for c in model.classes))
+
+    out = models.by_symbol(rows, own)
+    return out.fillna(0.0, [c for c in out.columns if c.startswith("p_")])  # a class that a symbol lacks
 
 
 _register("forest_predictions", _forest)
@@ -577,10 +582,14 @@ SELECT pair.symbol, pair.ts, hedge_ratio FROM pair JOIN h USING (symbol)""", "he
 
 def _gated(spark: SparkSession, sf: str) -> DataFrame:
     rows, names = _trained(spark, sf)
-    primary = models.Classifier(names, trees=5, depth=3).fit(rows)
-    right = primary.predict(rows).withColumn("good", (F.col("prediction") * F.col("label") > 0).cast("int")).select(*rows.columns, "good")
-    meta = models.Classifier(names, label="good", trees=5, depth=3).fit(right)
-    return models.gated(rows, primary, meta).select("symbol", "t0", "primary", "meta", "regime_ok", "final")
+
+    def own(rows: DataFrame) -> DataFrame:
+        primary = models.Classifier(names, trees=5, depth=3).fit(rows)
+        right = primary.predict(rows).withColumn("good", (F.col("prediction") * F.col("label") > 0).cast("int")).select(*rows.columns, "good")
+        meta = models.Classifier(names, label="good", trees=5, depth=3).fit(right)
+        return models.gated(rows, primary, meta).select("symbol", "t0", "primary", "meta", "regime_ok", "final")
+
+    return models.by_symbol(rows, own)
 
 
 _register("gated_predictions", _gated)

@@ -69,6 +69,14 @@ def test_replay_equals_a_loop(spark):
     assert {(r.strategy, r.regime): (round(r.alpha, 12), round(r.beta, 12)) for r in got} == {k: (round(a, 12), round(b, 12)) for k, (a, b) in arms.items()}
 
 
+def test_replay_orders_symbols_of_one_time(spark):
+    rows = [("A", "m", "r", 1.0, 1), ("A", "n", "r", 0.0, 1), ("B", "m", "r", 0.25, 1), ("B", "n", "r", 0.5, 1)]
+    alpha = {"m": 1 + 0.995**4 + 0.25 * 0.995**2, "n": 1 + 0.5 * 0.995}
+    for one in (rows, rows[::-1]):
+        got = bandit.replay(spark.createDataFrame(one, "symbol string, strategy string, regime string, reward double, ts int").coalesce(1)).collect()
+        assert {r.strategy: round(r.alpha, 12) for r in got} == {k: round(v, 12) for k, v in alpha.items()}
+
+
 def test_bandit_prefers_the_better_arm(spark):
     arms = spark.createDataFrame([("a", "r", 90.0, 10.0, 100, 90.0), ("b", "r", 10.0, 90.0, 100, 10.0)], bandit.ARMS)
     best = {r.strategy: r.probability for r in bandit.best_probability(arms, 200).collect()}

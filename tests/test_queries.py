@@ -61,3 +61,8 @@ def test_predictions_are_of_every_symbol(spark, db, name):
     every = {r.symbol: r["count"] for r in b.groupBy("symbol").count().collect()}
     assert len(got) == 5 and got.keys() == every.keys()
     assert all(every[s] - 30 < n <= every[s] for s, n in got.items())  # features are missing at the head only
+
+
+def test_replay_of_all_outcomes(spark):
+    pulls = QUERIES["bandit_replay_all"](spark, SF).agg({"pulls": "sum"}).first()[0]
+    assert pulls == QUERIES["bandit_batch"](spark, SF).agg({"pulls": "sum"}).first()[0]

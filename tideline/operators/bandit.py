@@ -38,13 +38,16 @@ def batch_update(arms: DataFrame, outcomes: DataFrame, *, decay: float = 0.995,
 
 
 def replay(outcomes: DataFrame, *, decay: float = 0.995, min_alpha: float = 1.0, min_beta: float = 1.0) -> DataFrame:
-    """Arms after outcomes (strategy, regime, reward, ts) one by one, all arms of the regime decaying after each.
+    """Arms after outcomes (strategy, regime, reward, ts, and symbol if there are several) one by one, all arms of the regime decaying after each.
+
+    Outcomes of one ts go by symbol, then strategy.
 
     Decay is geometric, so an outcome's part in the end is its reward times decay
     to the number of outcomes of the regime from it on: a window and a sum, and
     no fold.
     """
-    later = F.row_number().over(Window.partitionBy("regime").orderBy(F.desc("ts"), F.desc("strategy")))
+    order = [c for c in ("ts", "symbol", "strategy") if c != "symbol" or c in outcomes.columns]
+    later = F.row_number().over(Window.partitionBy("regime").orderBy(*map(F.desc, order)))
     aged = outcomes.withColumn("_w", F.pow(F.lit(decay), later))
     sums = aged.groupBy("strategy", "regime").agg(F.sum(F.col("reward") * F.col("_w")).alias("_a"), F.sum((1.0 - F.col("reward")) * F.col("_w")).alias("_b"), F.count(F.lit(1)).cast("int").alias("pulls"), F.sum("reward").alias("total_reward"))
     return sums.select("strategy", "regime", (F.col("_a") + min_alpha).alias("alpha"), (F.col("_b") + min_beta).alias("beta"), "pulls", "total_reward")

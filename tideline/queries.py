@@ -467,6 +467,8 @@ def _arms(spark: SparkSession, sf: str) -> DataFrame:
 _register("bandit_batch", _arms, f"{_VB}, {_OUT}\nSELECT strategy, regime, greatest(1, 1 + sum(reward) * 0.995) AS alpha, greatest(1, 1 + (count(*) - sum(reward)) * 0.995) AS beta, count(*)::INT AS pulls, sum(reward) AS total_reward FROM oc GROUP BY 1, 2", "alpha beta total_reward")
 _register("bandit_replay", lambda spark, sf: bandit.replay(_outcomes(spark, sf).filter(F.col("symbol") == "1-URGENT")), f"""{_VB}, o AS (SELECT strategy, regime, confidence AS reward, pow(0.995::DOUBLE, row_number() OVER (PARTITION BY regime ORDER BY ts DESC, strategy DESC)) AS w FROM vo WHERE symbol = '1-URGENT')
 SELECT strategy, regime, 1 + sum(reward * w) AS alpha, 1 + sum((1 - reward) * w) AS beta, count(*)::INT AS pulls, sum(reward) AS total_reward FROM o GROUP BY 1, 2""", "alpha beta total_reward")
+_register("bandit_replay_all", lambda spark, sf: bandit.replay(_outcomes(spark, sf)), f"""{_VB}, o AS (SELECT strategy, regime, confidence AS reward, pow(0.995::DOUBLE, row_number() OVER (PARTITION BY regime ORDER BY ts DESC, symbol DESC, strategy DESC)) AS w FROM vo)
+SELECT strategy, regime, 1 + sum(reward * w) AS alpha, 1 + sum((1 - reward) * w) AS beta, count(*)::INT AS pulls, sum(reward) AS total_reward FROM o GROUP BY 1, 2""", "alpha beta total_reward")
 _register("bandit_summary", lambda spark, sf: bandit.summary(_arms(spark, sf)).select("strategy", "regime", "win_rate", "rank"))
 _register("bandit_select", lambda spark, sf: bandit.select(_votes(spark, sf), _arms(spark, sf), n=2).select("symbol", "ts", "strategy", "signal"))
 _register("bandit_best_probability", lambda spark, sf: bandit.best_probability(_arms(spark, sf), 500))

@@ -531,6 +531,8 @@ _register("monte_carlo", lambda spark, sf: evaluation.monte_carlo(S.MeanReversio
 _register("regime_backtest", lambda spark, sf: evaluation.regime_backtest(_votes(spark, sf), regimes.composite(_regimes(spark, sf)).select("symbol", "ts", F.col("canonical_regime").alias("regime")), bars(spark, sf), {"TREND": ["momentum"], "MEANREV": ["mean_reversion"]}))
 _register("as_of_prices", lambda spark, sf: evaluation.as_of(ticks(spark, sf).select("symbol", (F.col("ts") + F.expr("interval 17 minutes")).alias("ts")).filter(F.minute("ts") < 10), market.event_bars(spark, sf)), f"""WITH {HOURS}, {TICKS}, q AS (SELECT DISTINCT symbol, ts + INTERVAL 17 MINUTE AS ts FROM ticks WHERE minute(ts + INTERVAL 17 MINUTE) < 10)
 SELECT q.symbol, q.ts, b.close FROM q ASOF LEFT JOIN bars b ON b.symbol = q.symbol AND b.ts <= q.ts""", "close")
+_register("as_of_prices_all", lambda spark, sf: evaluation.as_of(ticks(spark, sf).select("symbol", (F.col("ts") + F.expr("interval 17 minutes")).alias("ts")), market.event_bars(spark, sf)), f"""WITH {HOURS}, {TICKS}, q AS (SELECT DISTINCT symbol, ts + INTERVAL 17 MINUTE AS ts FROM ticks)
+SELECT q.symbol, q.ts, b.close FROM q ASOF LEFT JOIN bars b ON b.symbol = q.symbol AND b.ts <= q.ts""", "close")
 
 
 def _plan_signals(spark: SparkSession, sf: str) -> DataFrame:

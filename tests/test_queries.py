@@ -2,6 +2,7 @@
 
 import glob
 import importlib
+import inspect
 import math
 import os
 import sys
@@ -9,6 +10,7 @@ import sys
 import duckdb
 import pytest
 
+from tideline.operators import evaluation
 from tideline.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -70,3 +72,14 @@ def test_replay_of_all_outcomes(spark):
 
 def test_prices_as_of_all_ticks(spark, db):
     assert QUERIES["as_of_prices_all"](spark, SF).count() == db.sql("select count(*) from (select distinct event_type, ts from events)").fetchall()[0][0]
+
+
+def test_monte_carlo_is_of_every_symbol_and_a_thousand_draws(spark, monkeypatch):
+    real, said = evaluation.monte_carlo, []
+
+    def few(signals, bars, simulations=inspect.signature(real).parameters["simulations"].default):
+        said.append(simulations)
+        return real(signals, bars, 2)
+
+    monkeypatch.setattr(evaluation, "monte_carlo", few)
+    assert QUERIES["monte_carlo"](spark, SF).count() == 5 and said == [1000]

@@ -527,7 +527,7 @@ k AS (SELECT symbol, ts, i, CASE WHEN s <> 0 THEN sign(s) * 0.1 ELSE 0 END::DOUB
  UNION ALL SELECT symbol, ts, i, pos, val * (1 - abs(pos)) + pos * val * p / p0 FROM (SELECT q.symbol, q.ts, q.i, q.p, q.p0, k.val, k.pos + CASE WHEN abs(q.s * 0.1 - k.pos) > 0.01 AND q.s <> 0 THEN sign(q.s) * abs(q.s * 0.1 - k.pos) ELSE 0 END AS pos FROM k JOIN q ON q.symbol = k.symbol AND q.i = k.i + 1))"""
 _register("backtest_run", lambda spark, sf: evaluation.run_backtest(S.MeanReversion().signals(bars(spark, sf)), bars(spark, sf)).select("symbol", "ts", "position", F.log10("value").alias("log_value")), f"WITH RECURSIVE {BARS}, {_BT}\nSELECT symbol, ts, pos AS position, log10(val) AS log_value FROM k", "position log_value")
 _register("backtest_summary", lambda spark, sf: evaluation.simple_backtest(S.MeanReversion().signals(bars(spark, sf)), bars(spark, sf)))
-_register("monte_carlo", lambda spark, sf: evaluation.monte_carlo(S.MeanReversion().signals(bars_all(spark, sf)), bars_all(spark, sf), 20))
+_register("monte_carlo", lambda spark, sf: evaluation.monte_carlo(S.MeanReversion().signals(bars(spark, sf)), bars(spark, sf)))
 _register("regime_backtest", lambda spark, sf: evaluation.regime_backtest(_votes(spark, sf), regimes.composite(_regimes(spark, sf)).select("symbol", "ts", F.col("canonical_regime").alias("regime")), bars(spark, sf), {"TREND": ["momentum"], "MEANREV": ["mean_reversion"]}))
 _register("as_of_prices", lambda spark, sf: evaluation.as_of(ticks(spark, sf).select("symbol", (F.col("ts") + F.expr("interval 17 minutes")).alias("ts")).filter(F.minute("ts") < 10), market.event_bars(spark, sf)), f"""WITH {HOURS}, {TICKS}, q AS (SELECT DISTINCT symbol, ts + INTERVAL 17 MINUTE AS ts FROM ticks WHERE minute(ts + INTERVAL 17 MINUTE) < 10)
 SELECT q.symbol, q.ts, b.close FROM q ASOF LEFT JOIN bars b ON b.symbol = q.symbol AND b.ts <= q.ts""", "close")

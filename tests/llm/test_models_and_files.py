@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tideline.llm import langid, packing, secrets, token_files
+from tideline.llm import common, langid, packing, secrets, token_files
 from tideline.llm.tokens import encoder
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -29,6 +29,31 @@ def test_ids_by_chunk_are_ids_of_the_text(name):
         assert np.frombuffer(ids, "<u4").tolist() == e.tokenizer.encode(text or "", add_special_tokens=False).ids, repr(text)[:80]
 
 
+#: Capitals of the blocks up to U+024F whose lower case is beyond them.
+BEYOND = "ƁƆƉƊƏƐƓƔƖƗƜƝƟƦƩƮƱƲƷȺȾɄɅ"
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_of_every_letter_below_u0250_beside_others(name):
+    e, draw = encoder(name), random.Random(8)
+    assert all(ord(c) < 0x250 <= ord(c.lower()) for c in BEYOND) and BEYOND == "".join(chr(i) for i in range(0x250) if any(ord(x) >= 0x250 for x in chr(i).lower()) and i != 0x130)
+    every = [chr(i) for i in range(1, 0x250)]
+    texts = [f"hello {c}world {x}{c}{x.lower()}" for c in BEYOND for x in "aZéƁ"] + [f"a{c}b {c}1{c.lower()} {c}{d}'s" for c in every for d in draw.sample(every, 3)]
+    texts += ["".join(draw.choice(every) for _ in range(draw.randrange(1, 30))) for _ in range(3000)]
+    for text, ids in zip(texts, e.batch(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_the_cache_is_bounded_in_bytes(monkeypatch):
+    from tideline.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 20_000)
+    e = tokens.Encoder("byte_bpe_50k.json")
+    texts = [f"word{i} " + "x" * 5000 for i in range(300)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.batch(texts)] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert e.held <= 20_000 and 0 < len(e.known) <= 100 and max(map(len, e.known)) <= tokens.LONG
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=1500), st.sampled_from([1, 3, 4, 7, 8, 12, 16]))
 def test_codes_round_trip_and_random_access(ids, bits):
@@ -36,6 +61,7 @@ def test_codes_round_trip_and_random_access(ids, bits):
     assert s.all().tolist() == ids and len(s) == len(ids)
     for i in random.Random(1).sample(range(len(ids)), min(20, len(ids))):
         assert s[i] == ids[i]
+        assert s.ids(i, min(len(ids), i + 70)).tolist() == ids[i : i + 70]
     with pytest.raises(IndexError):
         s[len(ids)]
 
@@ -58,6 +84,12 @@ def test_files_hold_all_documents_in_order(spark, monkeypatch):
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
     assert len(got) == len(ODD) + 200
+    path, every = common.stage_path(spark, "at"), [x for text in ODD + [f"text {i} of many" for i in range(200)] for x in [*e.tokenizer.encode(text or "", add_special_tokens=False).ids, 2]]
+    token_files.write_token_files(rows, path)
+    for i in (0, 1, 63, 64, 1000, start // 2, start - 1):
+        assert token_files.token_at(spark, path, i) == every[i]
+    with pytest.raises(IndexError):
+        token_files.token_at(spark, path, start)
     assert token_files.token_files(rows.limit(0)).count() == 0
     odd = spark.createDataFrame([(None, "b", 1), (None, "a", 2), (1, "c", 3), (1, "c", 3)], "doc_id long, text string, start int")
     assert [r.start for r in token_files.token_files(odd).orderBy("start").collect()] == [0, 2, 4, 6]
@@ -127,13 +159,38 @@ def test_secrets(spark):
         assert got[i].base_sha256 == hashlib.sha256(said.encode()).hexdigest()
         assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == [sum(s[1] == k for s in spans) for k in range(3)]
     assert got[4].spans == f"markov:5:{5 + len(blob)}" and got[5].spans == "" and got[11].n_markov == 0
+    odd = spark.createDataFrame([(None, texts[0], 1), (None, texts[0], 2)], "doc_id long, text string, spans int")
+    assert [r.n_assign for r in secrets.scan_secrets(odd, secrets.sample_model(odd)).collect()] == [1, 1]
     assert secrets.scan_secrets(rows.limit(0), secrets.sample_model(rows.limit(0))).count() == 0
 
 
+def test_long_texts_are_scanned_in_time_in_proportion():
+    import time
+
+    model = secrets.SecretModel(np.zeros((128, 128)), 1.0)
+    text = "token=abcdefgh " * 20_000 + "a_run_of_identifier_characters " * 20_000
+    began = time.perf_counter()
+    spans = secrets.secret_spans(text, model)
+    assert time.perf_counter() - began < 3 and len(spans) == 20_000 and {k for _, k, _ in spans} == {0}
+    loud = secrets.secret_spans(text, secrets.SecretModel(np.ones((128, 128)), 1.0))
+    assert len(loud) == 40_000 and loud == sorted(loud)
+
+
+def test_markov_runs_overlap_no_other_span():
+    draw, model = random.Random(6), secrets.SecretModel(np.ones((128, 128)), 1.0)
+    bits = ["token=", "0123456789abcdef" * 2, "AKIA" + "Z" * 14, "-", " ", "x" * 21, "ab", "=", ":"]
+    for _ in range(400):
+        text = "".join(draw.choice(bits) for _ in range(12))
+        base = secrets.base_spans(text)
+        want = [(m.start(), 3, m.end()) for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text) if not any(a < m.end() and m.start() < b for a, _, b in base)]
+        assert secrets.secret_spans(text, model) == sorted(base + want)
+
+
 def test_models_tell_random_strings_from_identifiers(spark):
     names = ["get_user_name", "transaction_count", "internationalization", "maximum_connection_pool_size", "build/output/directory/path"] * 20
     labelled = spark.createDataFrame([(x, False) for x in names] + [(x, True) for x in secrets.generated_secrets(50, 3)] + [(None, True), ("x", None), ("é", True)], "token string, secret boolean")
     model = secrets.train(labelled)
+    assert model.margin >= secrets.LEAST_MARGIN
     hits = [bool(secrets.secret_spans(x, model)) for x in secrets.generated_secrets(25, 9) if len(x) >= 24]
     assert sum(hits) / len(hits) > 0.95
     assert not any(secrets.secret_spans(x, model) for x in names)
@@ -165,6 +222,31 @@ def test_languages_of_held_out_documents(spark):
     assert one.predict("some text")[0] == "en"
 
 
+def test_no_letter_is_undetermined_and_columns_stay(spark):
+    model = langid.LanguageModel(["en", "fr"], langid.codewords(2), np.zeros((langid.FEATURES, 1)), np.ones(1))
+    assert [model.predict(t)[0] for t in ("½ ²", "Ⅷ", "٣", "_", "ª", "日", "½a")] == ["und"] * 4 + ["en"] * 3
+    rows = spark.createDataFrame([(None, "a b", 7, 1.5), (1, None, None, 2.5), (1, "x", 8, None)], "doc_id long, text string, lang_pred int, score double")
+    got = langid.identify(rows, model)
+    assert got.columns == ["doc_id", "text", "lang_pred_in", "score_in", "lang_pred", "score", "ambiguous"]
+    assert [(r.lang_pred_in, r.score_in, r.lang_pred) for r in got.collect()] == [(7, 1.5, "en"), (None, 2.5, "und"), (8, None, "en")]
+    kept = langid.recognised(rows, model)
+    assert kept.columns == rows.columns and [r.score for r in kept.collect()] == [1.5, None]
+
+
+def test_decoding_equals_brute_force():
+    """Margins by a walk over the n-grams, and the loss of each codeword bit by bit."""
+    draw = np.random.default_rng(2)
+    code = langid.codewords(5)
+    model = langid.LanguageModel(list("abcde"), code, draw.normal(size=(langid.FEATURES, code.shape[1])) / 5, draw.random(code.shape[1]))
+    for text in ("the quick brown fox", "a", "ab", "Ünïcode テキスト " * 30, "x1 y2"):
+        grams = langid.features(text)
+        assert len(grams) == sum(max(0, len(text.lower()) - n + 1) for n in (1, 2, 3))
+        margins = [sum(float(model.weights[g, b]) for g in grams.tolist()) * min(1.0, langid.EVIDENCE / len(grams)) for b in range(code.shape[1])]
+        losses = [sum(model.trust[b] * np.log1p(np.exp(-code[i, b] * margins[b])) for b in range(code.shape[1])) for i in range(5)]
+        said, score, _ = model.predict(text)
+        assert said == "abcde"[int(np.argmin(losses))] and score == pytest.approx(1 / sum(np.exp(min(losses) - x) for x in losses))
+
+
 @pytest.mark.parametrize("n", [2, 3, 4, 7, 9, 30])
 def test_codewords_correct_an_error(n):
     code = langid.codewords(n)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, session_of, stage
+from .common import portions, session_of, stage
 
 DIMENSIONS = 8
 #: Vectors of a cell, about, and of the sample that fits the tree.
@@ -142,7 +142,6 @@ def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, column: str = "
     vectors are alike.  An empty table gives no rows.
     """
     spark = session_of(vectors)
-    bounded_batches(spark, 2048)
     double = F.transform(column, lambda x: x.cast("double"))
     good = F.size(column) > 0
     fine = F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(column, lambda x: x != 0)
@@ -163,7 +162,7 @@ def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, column: str = "
     matrix = np.random.default_rng(seed).standard_normal((width + 1, DIMENSIONS))
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 2048):
             if batch.num_rows:
                 v = np.stack(batch["vector"].to_numpy(zero_copy_only=False))
                 rest = np.sqrt(np.maximum(top2 - (v * v).sum(axis=1), 0))
@@ -177,7 +176,7 @@ def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, column: str = "
     bound = chi_square_quantile(confidence, DIMENSIONS)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 2048):
             if batch.num_rows:
                 at = tree.value.cell(np.stack(batch["point"].to_numpy(zero_copy_only=False)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int64())], names=[*batch.schema.names, "cell"])
@@ -193,7 +192,7 @@ def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, column: str = "
     queries = stage(asking.select("entry", "vector", "point").join(floors, "entry", "left").withColumn("floor", F.coalesce("floor", F.lit(-1e300))), "ann_queries")
 
     def routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 2048):
             to, own_ids = [], []
             for entry, v, point, floor in zip(*(batch[c].to_pylist() for c in ("entry", "vector", "point", "floor"))):
                 there = {c // REGION for c in tree.value.within(np.array(point), bound * max(float(np.dot(v, v)) + top2 - 2 * floor, 0.0))}

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of the largest groups that a lookup join broadcasts; every other group
 #: then holds at most a thousandth of all rows.
@@ -15,7 +19,8 @@ HOT_GROUPS = 1000
 #: Words: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own: dict[str, str] = {}
+#: Rows and bytes that a Python task takes up at a time; a single longer row is a portion of its own.
+PORTION_ROWS, PORTION_BYTES = 512, 8 << 20
 
 
 def session_of(df: DataFrame) -> SparkSession:
@@ -23,32 +28,39 @@ def session_of(df: DataFrame) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Where it is unset, a local session (tests) gets a temporary folder and a
-    cluster session a folder in the warehouse.
-    """
+    """The folder that driver and executors share: spark.checkpoint.dir of the session, or a folder in the warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        local = spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master
-        _own[app] = tempfile.mkdtemp(prefix="tideline-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
-    return _own[app]
+    return base.rstrip("/") if base else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tideline/{uuid.uuid4().hex}-{name}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+_scratch = threading.local()
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables staged inside are deleted at its end, unless they are to be kept."""
+    before, _scratch.paths = getattr(_scratch, "paths", None), []
+    try:
+        yield
+    finally:
+        own, _scratch.paths = _scratch.paths, before
+        if own:
+            remove(SparkSession.active(), *own)
+
+
+def stage(df: DataFrame, name: str, *, keep: bool = False) -> DataFrame:
     """Write df once to the shared folder and read it back.
 
     Cuts the lineage: what follows survives lost executors without computing df again.
     """
     spark = session_of(df)
     path = stage_path(spark, name)
+    if not keep and getattr(_scratch, "paths", None) is not None:
+        _scratch.paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -56,36 +68,74 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 def unstage(*dfs: DataFrame) -> None:
     """Delete staged tables that no later step reads."""
     for df in dfs:
-        spark = session_of(df)
-        jvm = spark.sparkContext._jvm
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if "/tideline/" in path:
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        remove(session_of(df), *{f.rsplit("/", 1)[0] for f in df.inputFiles() if "/tideline/" in f})
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete files or folders of any store that Spark reaches."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of so few rows that long texts don't fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def portions(batches: Iterator[pa.RecordBatch], rows: int = PORTION_ROWS, size: int = PORTION_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of Arrow batches, of so few rows and bytes that what Python makes of them stays small.
+
+    Spark bounds its batches by bytes (spark.sql.execution.arrow.maxBytesPerBatch);
+    the session's settings are left alone.
+    """
+    for batch in batches:
+        step = max(1, min(rows, batch.num_rows * size // max(batch.nbytes, 1)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
+def beside(df: DataFrame, *new: T.StructField) -> T.StructType:
+    """The schema of _row, a struct of all columns of df, and new columns; names of the two don't clash."""
+    return T.StructType([T.StructField("_row", df.schema, False), *new])
 
 
-def lookup_join(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: Column) -> DataFrame:
-    """Left join of rows with groups (one row per key) that stands hot keys.
+def unfolded(df: DataFrame, old: list[str], new: list[str]) -> DataFrame:
+    """The columns of _row, and the new ones; one of df that has the name of a new one goes first as that name with _in behind."""
+    taken, out = {*old, *new}, []
+    for c in old:
+        name = c
+        while name in new or name != c and name in taken:
+            name += "_in"
+        taken.add(name)
+        out.append(F.col(f"_row.`{c}`").alias(name))
+    return df.select(*out, *new)
+
+
+def lookup_join(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: Column, *, also: tuple[str, ...] = (), found: bool = False) -> DataFrame:
+    """Join of rows with groups (one row per key, and the columns ``also``) that stands hot keys; a left join, or an inner one if ``found``.
 
     The HOT_GROUPS largest groups by ``size`` are broadcast; their rows don't
     enter the shuffle on the key, where every other group is below a thousandth
-    of all rows.  ``groups`` should be staged, since it is read twice.  ``key``
-    must be a string; ``spread`` deals out the rows of hot groups.
+    of all rows.  ``groups`` should be staged, since it is read twice.  ``key`` is a
+    string or a long; ``spread`` (a long, never null) deals out the rows of hot
+    groups and of null keys.
     """
-    value = [c for c in groups.columns if c != key]
-    top = groups.orderBy(F.desc(size), key).limit(HOT_GROUPS)
-    hot = top.select(F.col(key), F.struct(*value).alias("_hot"))
-    marked = rows.join(F.broadcast(hot), key, "left")
-    marked = marked.withColumn("_key", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.concat_ws("", F.lit("\x00"), spread.cast("string"))))
-    cold = groups.select(F.col(key).alias("_key"), F.struct(*value).alias("_cold"))
-    joined = marked.join(cold, "_key", "left")
+    value = [c for c in groups.columns if c not in (key, *also)]
+    top = groups.orderBy(F.desc(size), key, *also).limit(HOT_GROUPS)
+    hot = top.select(key, *also, F.struct(*value).alias("_hot"))
+    marked = rows.join(F.broadcast(hot), [key, *also], "left")
+    # a dealt-out row that meets some group by chance keeps its hot one
+    dealt = spread if dict(groups.dtypes)[key] == "bigint" else F.concat(F.lit("\x00"), spread.cast("string"))
+    marked = marked.withColumn("_key", F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(dealt))
+    cold = groups.select(F.col(key).alias("_key"), *also, F.struct(*value).alias("_cold"))
+    joined = marked.join(cold, ["_key", *also], "left")
+    if found:
+        joined = joined.filter("_hot is not null or _cold is not null")
     return joined.select(*rows.columns, *(F.coalesce(F.col(f"_hot.{c}"), F.col(f"_cold.{c}")).alias(c) for c in value))
+
+
+def by_id(docs: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """Join on doc_id, "left" or "left_anti", of documents of which many may have a null one: those don't enter the shuffle."""
+    joined = docs.filter("doc_id is not null").join(right, "doc_id", how)
+    return joined.unionByName(docs.filter("doc_id is null"), allowMissingColumns=True)

@@ -9,6 +9,7 @@ classifier does, and flags texts whose two nearest codewords are about as near.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,18 +19,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, session_of
+from .common import beside, portions, unfolded
 
 #: Hashed n-gram features.
 FEATURES = 1 << 15
 #: Labelled documents of each language, in expectation at most, that fit the classifiers; whole texts.
 SAMPLE_PER_LANGUAGE = 2000
-#: Margins are sums of log odds, of no more n-grams than this.
+#: A margin is the mean log odds of a text's n-grams times their number, or times this if they are more.  One factor
+#: for all bits of a text: it bears on score and ambiguous, and not on which codeword is the nearest by sign.
 EVIDENCE = 40
+#: One in HELD rows of the sample, by hash, weighs the bits' losses and doesn't fit their classifiers.
+HELD = 4
 #: Below this share of the two nearest codewords a text is ambiguous.
 AMBIGUOUS = 0.6
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_MAYBE_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """A character of a Unicode category L; numbers such as ½ and Ⅷ, which Python's word characters hold, are none."""
+    return any(unicodedata.category(m[0])[0] == "L" for m in _MAYBE_LETTER.finditer(text))
 
 
 def held_out(column: str = "doc_id") -> Column:
@@ -84,7 +93,7 @@ class LanguageModel:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score, ambiguous."""
-        if not self.languages or not text or not _LETTER.search(text):
+        if not self.languages or not text or not has_letter(text):
             return UNDETERMINED, 0.0, True
         shares = self.shares(text)
         order = np.argsort(-shares, kind="stable")
@@ -97,8 +106,11 @@ def fit(labelled: DataFrame, *, per_language: int = SAMPLE_PER_LANGUAGE, parts:
     """A model from rows of doc_id, text and lang.
 
     Of each language, rows are chosen by hash of the id so that about
-    ``per_language`` fit the model.  Rows without text or language don't count.
-    The table of languages is on the driver, as the code is.
+    ``per_language`` make the sample; most of it fits the classifiers, and the rest
+    weighs their losses.  Rows without text or language don't count; null ids and
+    repeated rows are rows like any other.  Whole texts are used.  An empty table
+    gives a model that knows no language.  The table of languages is on the driver,
+    as the code is.
     """
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     table = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -108,17 +120,18 @@ def fit(labelled: DataFrame, *, per_language: int = SAMPLE_PER_LANGUAGE, parts:
         return LanguageModel([], code, np.zeros((FEATURES, 1)), np.ones(1))
     share = F.create_map(*(x for k, n in table.items() for x in (F.lit(k), F.lit(int((1 << 30) * min(1.0, per_language / n))))))
     number = {k: i for i, k in enumerate(languages)}
-    chosen = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= share[F.col("lang")]).select("lang", "text").repartition(parts)  # a bounded sample: few tasks, few partial counts
-    bounded_batches(session_of(labelled))
+    place = F.xxhash64("doc_id", "text")
+    chosen = rows.filter(F.pmod(place, F.lit(1 << 30)) <= share[F.col("lang")]).select("lang", "text", (F.pmod(F.xxhash64("text", "doc_id"), F.lit(HELD)) == 0).alias("held"))
+    chosen = chosen.repartition(parts)  # a bounded sample: few tasks, few partial counts
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(languages), FEATURES), np.int64)
-        for batch in batches:
+        for batch in portions(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 sums[number[lang]] += np.bincount(features(text), minlength=FEATURES)
         yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["sums"])
 
-    sums = sum(np.frombuffer(r[0], np.int64).reshape(len(languages), -1) for r in chosen.mapInArrow(count, "sums binary").collect())
+    sums = sum(np.frombuffer(r[0], np.int64).reshape(len(languages), -1) for r in chosen.filter("not held").mapInArrow(count, "sums binary").collect())
     p = (sums + 0.5) / (sums + 0.5).sum(axis=1, keepdims=True)
     up = code > 0
     one = lambda bits: bits.T.astype(float) @ p / np.maximum(bits.sum(axis=0), 1)[:, None]
@@ -127,33 +140,46 @@ def fit(labelled: DataFrame, *, per_language: int = SAMPLE_PER_LANGUAGE, parts:
 
     def right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits = np.zeros(code.shape[1] + 1, np.int64)
-        for batch in batches:
+        for batch in portions(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 hits[:-1] += model.margins(text) * code[number[lang]] > 0
                 hits[-1] += 1
         yield pa.RecordBatch.from_arrays([pa.array([hits.tobytes()], pa.binary())], names=["hits"])
 
-    hits = sum(np.frombuffer(r[0], np.int64) for r in chosen.mapInArrow(right, "hits binary").collect())
+    hits = sum(np.frombuffer(r[0], np.int64) for r in chosen.filter("held").mapInArrow(right, "hits binary").collect())
     accuracy = (hits[:-1] + 1) / (hits[-1] + 2)
     trust = np.maximum(np.log(accuracy / (1 - accuracy)), 0.01)
     model.trust = trust / trust.mean() / len(trust) * 3
     return model
 
 
+def _judged(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """_row, lang_pred, score, ambiguous."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches):
+            said = [model.predict(text) for text in batch["_row"].field("text").to_pylist()]
+            new = [pa.array([x[i] for x in said], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([batch["_row"], *new], names=["_row", *_NEW])
+
+    types = (T.StringType(), T.DoubleType(), T.BooleanType())
+    return docs.select(F.struct(*docs.columns).alias("_row")).mapInArrow(judge, beside(docs, *(T.StructField(c, t) for c, t in zip(_NEW, types))))
+
+
+_NEW = ["lang_pred", "score", "ambiguous"]
+
+
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """The documents with lang_pred, score (0 to 1) and ambiguous, from whole texts alone.
 
     lang_pred is "und", with score 0, where the text is null or has no letter.
-    Repeated rows are judged again; an empty table gives no rows.
+    Very long texts are judged whole.  Repeated rows are judged again, null ids stay
+    null; an empty table gives no rows.  Columns of the documents that have the name
+    of a new one stay, with _in behind it.
     """
-    bounded_batches(session_of(docs))
+    return unfolded(_judged(docs, model), docs.columns, _NEW)
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            said = [model.predict(text) for text in batch["text"].to_pylist()]
-            new = [pa.array([x[i] for x in said], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "lang_pred", "score", "ambiguous"])
 
-    clash = docs.drop("lang_pred", "score", "ambiguous")
-    schema = T.StructType([*clash.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
-    return clash.mapInArrow(judge, schema)
+def recognised(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """The documents in a language that the model knows, as they are; those that it can't tell go."""
+    return _judged(docs, model).filter(F.col("lang_pred") != UNDETERMINED).select("_row.*")

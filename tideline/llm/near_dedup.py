@@ -29,11 +29,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, lookup_join, session_of, stage
+from .common import by_id, lookup_join, portions, scratch, stage
 
 SHINGLE = 5
 SIMILARITY = 75  # of 100
@@ -47,8 +47,8 @@ SCREEN = 49
 FEW = 4
 #: Pivots that a set is held against.
 NEAREST = 4
-#: Rows on either side of a tile.
-TILE = 256
+#: Rows on either side of a tile, and shingles, about: tiles of long texts hold fewer rows.
+TILE, TILE_SHINGLES = 256, 1 << 20
 #: Links that one task contracts at a time.
 LOCAL_LINKS = 500_000
 #: Ids up to which a lookup broadcasts them (8 bytes each); more are shuffled.
@@ -146,12 +146,11 @@ def linked(n_a: int, n_b: int, common: int, similarity: int = SIMILARITY) -> boo
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_hash (of the set; null if empty), sig, for every whole text."""
-    bounded_batches(session_of(docs))
 
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in batches:
+        for batch in portions(batches):
             sizes, sets, sigs = [], [], []
             for text in batch.column(1).to_pylist():
                 hashes = shingles(text)
@@ -167,7 +166,7 @@ def _with_keys(reps: DataFrame) -> DataFrame:
     """rep, n_shingles, sig, keys (of the signature, in the plan's order)."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 2048):
             if batch.num_rows:
                 made = _keyed(unpacked(batch["sig"].to_pylist()), _KEPT, _STARTS).view(np.int64)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1) * made.shape[1], pa.int32()), pa.array(made.ravel()))
@@ -185,7 +184,7 @@ def _screened(pairs: DataFrame, reps: DataFrame, similarity: int) -> DataFrame:
     schema = T.StructType([*pairs.schema.fields, T.StructField("apart", T.IntegerType())])
 
     def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 10_000):
             if batch.num_rows:
                 differ = unpacked(batch["_sa"].to_pylist()) != unpacked(batch["_sb"].to_pylist())
                 good = (differ[:, :VALUES].sum(axis=1) <= DISTANCE) & (differ.sum(axis=1) <= SCREEN)
@@ -229,7 +228,6 @@ def _verified(tiles: DataFrame, docs: DataFrame, similarity: int) -> DataFrame:
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = stage(docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep", "left_semi"), "near_texts")
     rows = tiles.join(texts, "rep").select("tile", "side", "rep", "comp", "text")
-    bounded_batches(session_of(docs))
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found_a, found_b = [], []
@@ -274,15 +272,23 @@ def _tile_links(ones: pa.Table, others: pa.Table, similarity: int) -> Iterator[t
                 yield rep, reps[i]
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, similarity: int, tile: int) -> DataFrame:
-    """Links of pairs (a, b): a tile holds one b and up to ``tile`` of its a's."""
+def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, similarity: int, tile: int) -> DataFrame:
+    """Links of pairs (a, b): a tile holds one b and up to ``tile`` of its a's, which are about as long as it is."""
     pairs = stage(pairs.select("a", "b").distinct(), "near_pairs")
-    sizes = stage(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("_tiles")), "near_sizes")
-    right = pairs.join(sizes, "b").select(F.concat_ws(":", "b", F.pmod(F.xxhash64("a"), "_tiles")).alias("tile"), F.lit(True).alias("side"), F.col("a").alias("rep"))
+    sizes = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("_n")).join(reps.groupBy(F.col("rep").alias("b")).agg(F.max("n_shingles").alias("_w")), "b")
+    sizes = stage(sizes.select("b", "_n", _tiles_of("_n", F.col("_n") * F.col("_w"), tile).alias("_tiles")), "near_sizes")
+    right = lookup_join(pairs, sizes, "b", "_n", F.xxhash64("a", "b"))
+    right = right.select(F.concat_ws(":", "b", F.pmod(F.xxhash64("a"), "_tiles")).alias("tile"), F.lit(True).alias("side"), F.col("a").alias("rep"))
     left = sizes.select("b", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).alias("_t")).select(F.concat_ws(":", "b", "_t").alias("tile"), F.lit(False).alias("side"), F.col("b").alias("rep"))
     return _verified(left.union(right).withColumn("comp", F.col("rep")), docs, similarity)
 
 
+def _tiles_of(rows: str | Column, shingles: str | Column, tile: int) -> Column:
+    """Tiles that so many rows with so many shingles ask for."""
+    rows, shingles = (F.col(x) if isinstance(x, str) else x for x in (rows, shingles))
+    return F.greatest(F.ceil(rows / tile), F.ceil(shingles / TILE_SHINGLES), F.lit(1)).cast("int")
+
+
 def _sided(rows: DataFrame, group: str, *carried: str) -> DataFrame:
     """tile, side, rep, comp of groups (rows: group, rep, comp, _main, _lefts, _rights): what isn't of the main component on the left, everything on the right."""
     at = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
@@ -294,12 +300,14 @@ def _sided(rows: DataFrame, group: str, *carried: str) -> DataFrame:
 
 
 def _with_tiles(rows: DataFrame, group: str, tile: int) -> DataFrame:
-    """_main, _lefts, _rights and _cost (rows of all tiles) of groups that hold several components."""
-    by_comp = rows.groupBy(group, "comp").agg(F.count(F.lit(1)).alias("_c"))
-    sums = by_comp.groupBy(group).agg(F.count(F.lit(1)).alias("_comps"), F.max(F.struct("_c", "comp")).alias("_largest"), F.sum("_c").alias("_all")).filter("_comps > 1")
+    """_all (rows), _main, _lefts, _rights and _cost (rows of all tiles) of groups that hold several components."""
+    by_comp = rows.groupBy(group, "comp").agg(F.count(F.lit(1)).alias("_c"), F.sum("n_shingles").alias("_w"))
+    sums = by_comp.groupBy(group).agg(F.count(F.lit(1)).alias("_comps"), F.max(F.struct("_c", "comp", "_w")).alias("_largest"), F.sum("_c").alias("_all"), F.sum("_w").alias("_weight")).filter("_comps > 1")
     others = F.col("_all") - F.col("_largest._c")
-    sums = sums.select(group, F.col("_largest.comp").alias("_main"), "_all", others.alias("_others"), F.ceil(others / tile).cast("int").alias("_lefts"), F.ceil(F.col("_all") / tile).cast("int").alias("_rights"))
-    return sums.withColumn("_cost", F.col("_all") * F.col("_lefts") + F.col("_others") * F.col("_rights")).drop("_all", "_others")
+    lefts, rights = _tiles_of(others, F.col("_weight") - F.col("_largest._w"), tile), _tiles_of("_all", "_weight", tile)
+    sums = sums.select(group, "_all", F.col("_largest.comp").alias("_main"), others.alias("_others"), lefts.alias("_lefts"), rights.alias("_rights"))
+    sums = sums.withColumn("_cost", F.col("_all") * F.col("_lefts") + F.col("_others") * F.col("_rights")).drop("_others")
+    return stage(sums, "near_groups")
 
 
 def _candidates(rest: DataFrame, reps: DataFrame, tile: int, similarity: int) -> DataFrame:
@@ -369,15 +377,16 @@ def components(links: DataFrame, local: int = LOCAL_LINKS) -> DataFrame:
     under the smallest one, until nothing moves.  Rounds are staged, so no lineage
     grows.
     """
-    portions = -(-links.count() // local)
-    edges = stage(_contracted(links.coalesce(max(1, portions))).distinct() if portions > 1 else _contracted(links.coalesce(1)), "cc_links")
+    parts = -(-links.count() // local)
+    edges = stage(_contracted(links.coalesce(max(1, parts))).distinct() if parts > 1 else _contracted(links.coalesce(1)), "cc_links")
     before = None
-    while portions > 1:
+    while parts > 1:
         both = edges.union(edges.select(F.col("v"), F.col("u")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        least = stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("_n")), "cc_least")
+        large = lookup_join(both, least, "u", "_n", F.xxhash64("u", "v")).filter("v > u and v <> m")  # a star's centre is in no task as a whole
+        large = stage(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc_large")
+        least = stage(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n")), "cc_least")
+        small = lookup_join(large, least, "u", "_n", F.xxhash64("u", "v"))
         small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
         edges = stage(small, "cc_round")
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -396,7 +405,8 @@ def near_duplicates(docs: DataFrame, *, similarity: int = SIMILARITY, tile: int
     empty set, link with nothing and stay.  Rows that repeat a doc_id are one
     document if their texts are alike, and linked through it if not; a row with a
     null doc_id is its own component (null) and stays, and others aren't linked
-    through it.  An empty table gives no rows; other columns are ignored.
+    through it.  Very long texts are compared whole.  An empty table gives no rows;
+    other columns are ignored, whatever their names.
     """
     marked, labels = _resolved(docs, similarity, tile)
     return _labelled(marked, labels).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
@@ -405,54 +415,55 @@ def near_duplicates(docs: DataFrame, *, similarity: int = SIMILARITY, tile: int
 def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
     """One document of each component, the one of the smallest doc_id, with all columns."""
     gone = near_duplicates(docs, **how).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return by_id(docs, gone, "left_anti").select(*docs.columns)
 
 
 def _labelled(marked: DataFrame, labels: DataFrame) -> DataFrame:
     """component_id of every document, through its set's."""
     sets = marked.filter("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("_n"))
-    sets = stage(sets.join(labels, "rep", "left").select("set_hash", "_n", F.coalesce("comp", "rep").alias("component_id")), "near_sets")
+    sets = stage(sets.join(labels, "rep", "left").select("set_hash", "_n", F.coalesce("comp", "rep").alias("component_id")), "near_sets", keep=True)
     rows = marked.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_hash")).alias("set_hash"))
-    rows = rows.withColumn("set_hash", F.coalesce("set_hash", F.concat(F.lit("-"), F.xxhash64("doc_id", "n_shingles").cast("string"))))
-    out = lookup_join(rows, sets, "set_hash", "_n", F.xxhash64("doc_id"))
+    out = lookup_join(rows, sets, "set_hash", "_n", F.xxhash64("doc_id", "n_shingles"))
     return out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
 
 
 def _resolved(docs: DataFrame, similarity: int, tile: int) -> tuple[DataFrame, DataFrame]:
     """Fingerprints, and (rep, comp) of the representatives that are linked with others."""
-    marked = stage(fingerprints(docs), "near_marked")
-    first = marked.filter("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"))
-    own = marked.join(first, ["doc_id", "set_hash"]).select(F.col("doc_id").alias("rep"), "n_shingles", "sig")
-    reps = stage(_with_keys(own), "near_reps")
-    keys = reps.select("rep", F.posexplode("keys").alias("kn", "key"))
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("pivot")).filter("n > 1")
-    members = stage(keys.join(shared, "key"), "near_members")
-
-    few = members.filter(F.col("n") <= FEW).select("key", "rep")
-    every = few.alias("x").join(few.select("key", F.col("rep").alias("b")).alias("y"), "key").filter("rep > b").select(F.col("rep").alias("a"), "b", F.lit(True).alias("few"))
-    pivots = members.filter((F.col("n") > FEW) & (F.col("rep") != F.col("pivot"))).select(F.col("rep").alias("a"), F.col("pivot").alias("b"), F.lit(False).alias("few"))
-    pairs = every.union(pivots).groupBy("a", "b").agg(F.max("few").alias("few"))
-    near = _screened(pairs, reps, similarity)
-    nearest = near.withColumn("_r", F.row_number().over(Window.partitionBy("a", "few").orderBy("apart", "b"))).filter(F.col("few") | (F.col("_r") <= NEAREST))
-    links = _confirmed(nearest, docs, similarity, tile)
-    labels = stage(components(links), "near_labels")
-
-    rest = members.filter(F.col("n") > FEW).join(labels, "rep", "left").select("key", "kn", "pivot", "rep", F.coalesce("comp", "rep").alias("comp"))
-    rest = stage(rest.join(_with_tiles(rest, "key", tile), "key"), "near_rest")
-    if rest.isEmpty():
-        return marked, labels
-    # large keys hang together in clusters; a dense one is tiled as a whole, once instead of key by key
-    edges = rest.filter("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
-    cluster = stage(components(edges), "near_clusters")
-    rest = stage(rest.join(_renewed(cluster).withColumnRenamed("comp", "cluster"), "rep", "left").withColumn("cluster", F.coalesce("cluster", "rep")), "near_rest")
-    by_key = rest.select("cluster", "key", "_cost").distinct().groupBy("cluster").agg(F.sum("_cost").alias("_by_key"))
-    once = rest.select("cluster", "rep", "comp").distinct()
-    dense = stage(_with_tiles(once, "cluster", tile).join(by_key, "cluster").filter("_cost <= _by_key").drop("_by_key"), "near_dense")
-    more = _verified(_sided(once.join(dense, "cluster"), "cluster"), docs, similarity)
-    sparse = rest.join(_renewed(dense.select("cluster")), "cluster", "left_anti")
-    if not sparse.isEmpty():
-        more = more.union(_confirmed(_candidates(sparse, reps, tile, similarity), docs, similarity, tile))
-    return marked, stage(components(more.union(links)), "near_labels")
+    marked = stage(fingerprints(docs), "near_marked", keep=True)
+    with scratch():
+        # one row for each different set, however many rows have it
+        own = marked.filter("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+        reps = stage(_with_keys(own), "near_reps")
+        keys = reps.select("rep", F.posexplode("keys").alias("kn", "key"))
+        shared = stage(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("pivot")).filter("n > 1"), "near_shared")
+        members = stage(lookup_join(keys, shared, "key", "n", F.xxhash64("rep", "key"), found=True), "near_members")
+
+        few = members.filter(F.col("n") <= FEW).select("key", "rep")
+        every = few.alias("x").join(few.select("key", F.col("rep").alias("b")).alias("y"), "key").filter("rep > b").select(F.col("rep").alias("a"), "b", F.lit(True).alias("few"))
+        pivots = members.filter((F.col("n") > FEW) & (F.col("rep") != F.col("pivot"))).select(F.col("rep").alias("a"), F.col("pivot").alias("b"), F.lit(False).alias("few"))
+        pairs = every.union(pivots).groupBy("a", "b").agg(F.max("few").alias("few"))
+        near = _screened(pairs, reps, similarity)
+        nearest = near.withColumn("_r", F.row_number().over(Window.partitionBy("a", "few").orderBy("apart", "b"))).filter(F.col("few") | (F.col("_r") <= NEAREST))
+        links = _confirmed(nearest, reps, docs, similarity, tile)
+        labels = stage(components(links), "near_labels")
+
+        rest = members.filter(F.col("n") > FEW).join(labels, "rep", "left").join(reps.groupBy("rep").agg(F.max("n_shingles").alias("n_shingles")), "rep")
+        rest = stage(rest.select("key", "kn", "pivot", "rep", "n_shingles", F.coalesce("comp", "rep").alias("comp")), "near_large")
+        rest = stage(lookup_join(rest, _with_tiles(rest, "key", tile), "key", "_all", F.xxhash64("rep", "key"), found=True).drop("_all"), "near_rest")
+        if rest.isEmpty():
+            return marked, stage(labels, "near_labels", keep=True)
+        # large keys hang together in clusters; a dense one is tiled as a whole, once instead of key by key
+        edges = rest.filter("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
+        cluster = stage(components(edges), "near_clusters")
+        rest = stage(rest.join(_renewed(cluster).withColumnRenamed("comp", "cluster"), "rep", "left").withColumn("cluster", F.coalesce("cluster", "rep")), "near_rest")
+        by_key = rest.select("cluster", "key", "_cost").distinct().groupBy("cluster").agg(F.sum("_cost").alias("_by_key"))
+        once = stage(rest.select("cluster", "rep", "comp", "n_shingles").distinct(), "near_once")
+        dense = stage(_with_tiles(once, "cluster", tile).join(by_key, "cluster").filter("_cost <= _by_key").drop("_by_key"), "near_dense")
+        more = _verified(_sided(lookup_join(once, dense, "cluster", "_all", F.xxhash64("rep"), found=True), "cluster"), docs, similarity)
+        sparse = lookup_join(rest, dense.select("cluster", "_all", F.lit(True).alias("_dense")), "cluster", "_all", F.xxhash64("rep", "key")).filter("_dense is null").drop("_dense", "_all")
+        if not sparse.isEmpty():
+            more = more.union(_confirmed(_candidates(sparse, reps, tile, similarity), reps, docs, similarity, tile))
+        return marked, stage(components(more.union(links)), "near_labels", keep=True)
 
 
 def _renewed(df: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, session_of, stage
+from .common import portions, session_of, stage
 from .tokens import END_ID, encoder
 
 CAPACITY = 1024
@@ -124,15 +124,14 @@ def token_pieces(docs: DataFrame, *, tokenizer: str = "byte_bpe_50k.json", capac
     """Pieces of at most ``capacity`` ids of every document, with the end id: doc_id, piece, start, length, ids_crc32.
 
     Only longer documents are cut; the first piece takes the odd rest, the others
-    are full.  ``carry_ids`` adds the ids, as binary.  Null text counts as empty
-    and gives one piece, the end id.
+    are full, so that a very long text gives many.  ``carry_ids`` adds the ids, as
+    binary.  Null text counts as empty and gives one piece, the end id.
     """
-    bounded_batches(session_of(docs))
     end = np.array([END_ID], "<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).batch
-        for batch in batches:
+        for batch in portions(batches):
             rows: tuple[list, ...] = ([], [], [], [], [], [])
             for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
                 ids += end
@@ -155,7 +154,9 @@ def packed(docs: DataFrame, *, tokenizer: str = "byte_bpe_50k.json", capacity: i
     """token_pieces() with sequence_id and offset of every piece; sequences are gapless from offset 0.
 
     Documents are packed as they come: a repeated row is packed again, a null
-    doc_id keeps its null.  An empty table gives no rows.
+    doc_id keeps its null, and equal lengths are placed in an order that ids and
+    pieces fix.  An empty table gives no rows; other columns are ignored, whatever
+    their names.
     """
     spark = session_of(docs)
     pieces = stage(token_pieces(docs, tokenizer=tokenizer, capacity=capacity, carry_ids=carry_ids).withColumn("_part", F.spark_partition_id()), "pack_pieces")

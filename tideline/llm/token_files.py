@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, session_of, stage_path
+from .common import portions, session_of, stage, stage_path
 from .tokens import END_ID, encoder
 
 MAGIC = b"DAC1"
@@ -77,34 +77,56 @@ class Segment:
     def __len__(self) -> int:
         return self.n
 
+    def _rank(self, level: int, i: int) -> int:
+        """Ones before bit i of a level's bitmap: the place at the next level."""
+        _, _, goes_on, ones = self.levels[level]
+        block = i // _RANK_BITS
+        before = int.from_bytes(goes_on[block * _RANK_BITS // 8 : (i >> 3) + 1].tobytes(), "little")
+        return int(ones[block]) + (before & ((1 << (i - block * _RANK_BITS)) - 1)).bit_count()
+
     def __getitem__(self, i: int) -> int:
         if not 0 <= i < self.n:
             raise IndexError(i)
         value = 0
-        for k, (_, chunks, goes_on, ones) in enumerate(self.levels):
+        for k, (_, chunks, goes_on, _) in enumerate(self.levels):
             first = i * self.bits
             word = int.from_bytes(chunks[first >> 3 : (first + self.bits + 7) >> 3].tobytes(), "little")
             value |= (word >> (first & 7) & ((1 << self.bits) - 1)) << (k * self.bits)
             if not goes_on[i >> 3] >> (i & 7) & 1:
                 break
-            block = i // _RANK_BITS
-            before = int.from_bytes(goes_on[block * _RANK_BITS // 8 : (i >> 3) + 1].tobytes(), "little")
-            i = int(ones[block]) + (before & ((1 << (i - block * _RANK_BITS)) - 1)).bit_count()
+            i = self._rank(k, i)
         return value
 
-    def all(self) -> np.ndarray:
-        out, at = np.zeros(self.n, np.uint64), np.arange(self.n)
-        for k, (n, chunks, goes_on, _) in enumerate(self.levels):
+    def ids(self, first: int, last: int) -> np.ndarray:
+        """Ids [first, last): at each level the codes from the rank of the first on, and no others."""
+        if not 0 <= first <= last <= self.n:
+            raise IndexError((first, last))
+        out, at, begin = np.zeros(last - first, np.uint64), None, first
+        for k, (_, chunks, goes_on, _) in enumerate(self.levels):
+            n = len(out) if at is None else len(at)
+            if not n:
+                break
             if self.bits == 8:
-                low = chunks
+                low = chunks[begin : begin + n].astype(np.uint64)
             elif self.bits == 16:
-                low = chunks.view("<u2")
+                low = chunks[2 * begin : 2 * (begin + n)].view("<u2").astype(np.uint64)
             else:
-                low = np.unpackbits(chunks, count=n * self.bits, bitorder="little").reshape(n, self.bits) @ (1 << np.arange(self.bits))
-            out[at] |= low.astype(np.uint64) << np.uint64(k * self.bits)
-            at = at[np.unpackbits(goes_on, count=n, bitorder="little").astype(bool)]
+                bit = begin * self.bits
+                held = np.unpackbits(chunks[bit >> 3 : (bit + n * self.bits + 7) >> 3], bitorder="little")[bit & 7 :][: n * self.bits]
+                low = (held.reshape(n, self.bits) @ (1 << np.arange(self.bits))).astype(np.uint64)
+            if at is None:
+                out |= low
+            else:
+                out[at] |= low << np.uint64(k * self.bits)
+            more = np.flatnonzero(np.unpackbits(goes_on[begin >> 3 : (begin + n + 7) >> 3], bitorder="little")[begin & 7 :][:n])
+            if not len(more):
+                break
+            begin, at = self._rank(k, begin), more if at is None else at[more]
         return out
 
+    def all(self) -> np.ndarray:
+        return self.ids(0, self.n)
+
 
 #: Codes stand in the files as they are: no page has to be decompressed to reach one.
 _PLAIN = {"compression": "uncompressed", "parquet.enable.dictionary": "false"}
@@ -115,9 +137,10 @@ def write_token_files(docs: DataFrame, path: str, *, tokenizer: str = "word_bpe_
     """Encode whole texts, an end id after each, and write segments to ``path`` in ascending order of doc_id.
 
     Null text counts as empty; a null doc_id comes first; rows that repeat a
-    doc_id stand side by side, in an order that their texts fix.
+    doc_id stand side by side, in an order that their texts fix.  A very long text is
+    whole in one segment; a segment is closed after it.  An empty table gives files
+    without segments.  Other columns are ignored, whatever their names.
     """
-    bounded_batches(session_of(docs))
     end = np.array([END_ID], "<u4").tobytes()
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +152,7 @@ def write_token_files(docs: DataFrame, path: str, *, tokenizer: str = "word_bpe_
             values = ((part, pa.int32()), (number, pa.int32()), (first, pa.int64()), (size, pa.int64()), (doc_ids, pa.list_(pa.int64())), (lengths, pa.list_(pa.int64())), (image, pa.binary()))
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in values], names=["part", "segment", "first", "n_tokens", "doc_ids", "lengths", "image"])
 
-        for batch in batches:
+        for batch in portions(batches):
             for doc_id, own in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
                 own += end
                 ids.append(own)
@@ -147,24 +170,42 @@ def write_token_files(docs: DataFrame, path: str, *, tokenizer: str = "word_bpe_
     ordered.select("doc_id", "text").mapInArrow(segments, _FILE).write.options(**_PLAIN).parquet(path)
 
 
+def _parts(files: DataFrame) -> DataFrame:
+    """part and _before, the ids of all parts before it."""
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = files.groupBy("part").agg(F.sum("n_tokens").alias("_n"))
+    return parts.select("part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+
+
+def token_at(spark: SparkSession, path: str, i: int) -> int:
+    """Id number i of the files, counted over all documents.
+
+    Reads the directory columns, then the one segment, of which one code a level.
+    """
+    files = spark.read.schema(_FILE).parquet(path)
+    place = files.select("part", "segment", "first", "n_tokens").join(_parts(files), "part").withColumn("_at", F.col("_before") + F.col("first"))
+    found = place.filter((F.col("_at") <= i) & (F.col("_at") + F.col("n_tokens") > i)).select("part", "segment", "_at").first()
+    if found is None:
+        raise IndexError(i)
+    image = files.filter((F.col("part") == found["part"]) & (F.col("segment") == found["segment"])).select("image").first()["image"]
+    return Segment(bytes(image))[i - found["_at"]]
+
+
 def read_token_files(spark: SparkSession, path: str, *, ids: bool = False) -> DataFrame:
     """One row per document of the files: doc_id, start, n_tokens, ids_crc32, and the ids if asked for.
 
     start counts the ids of all documents before; only one number a file part is
-    summed across the whole.
+    summed across the whole.  Every document is fetched by ranks from its place in
+    its segment.
     """
-    bounded_batches(spark)
     files = spark.read.schema(_FILE).parquet(path)
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = files.groupBy("part").agg(F.sum("n_tokens").alias("_n"))
-    parts = parts.select("part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    parts = stage(_parts(files), "token_parts")  # a row a part: Spark broadcasts it if its size allows that
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             for part, first, doc_ids, lengths, image in zip(*(batch[c].to_pylist() for c in ("part", "first", "doc_ids", "lengths", "image"))):
-                every = Segment(image).all().astype("<u4")
-                ends = np.cumsum(np.array(lengths, np.int64))
-                own = [every[b - n : b].tobytes() for n, b in zip(lengths, ends)]
+                segment, ends = Segment(image), np.cumsum(np.array(lengths, np.int64))
+                own = [segment.ids(b - n, b).astype("<u4").tobytes() for n, b in zip(lengths, ends.tolist())]
                 columns = [pa.array([part] * len(own), pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(first + ends - lengths, pa.int64()), pa.array(lengths, pa.int64()), pa.array([zlib.crc32(x) for x in own], pa.int64())]
                 names = ["part", "doc_id", "start", "n_tokens", "ids_crc32"]
                 if ids:
@@ -172,12 +213,15 @@ def read_token_files(spark: SparkSession, path: str, *, ids: bool = False) -> Da
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = "part int, doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if ids else "")
-    out = files.mapInArrow(documents, schema).join(F.broadcast(parts), "part")
+    out = files.mapInArrow(documents, schema).join(parts, "part")
     return out.select("doc_id", (F.col("start") + F.col("_before")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if ids else []))
 
 
 def token_files(docs: DataFrame, *, tokenizer: str = "word_bpe_49k.json", bits: int = 8) -> DataFrame:
-    """Write the documents to files in the shared folder and read them back."""
+    """Write the documents to files in the shared folder and read them back; rules as in write_token_files().
+
+    An empty table gives no rows.
+    """
     path = stage_path(session_of(docs), "token_files")
     write_token_files(docs, path, tokenizer=tokenizer, bits=bits)
     return read_token_files(session_of(docs), path)

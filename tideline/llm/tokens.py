@@ -21,7 +21,8 @@ _BYTE_CHUNK = re.compile(rf" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 #: Word ends, white space dropped: anything between blanks and line ends.
 _WORD_CHUNK = re.compile(r"[^ \n]+")
 #: Texts of these characters (up to Latin Extended-B, which composition leaves as they are) are cut as finely as the
-#: tokenizers cut them, so that a word is one chunk whatever stands around it.
+#: tokenizers cut them, so that a word is one chunk whatever stands around it.  A text that is lower-cased must be of them
+#: before and after: lower case of some (U+0181, U+023A and others) is beyond.
 _FINE = re.compile(r"[\x00-\u012f\u0131-\u024f]*")
 
 
@@ -37,8 +38,9 @@ def _fine(by_word: bool) -> re.Pattern:
     return re.compile(rf"{short}| ?[{letter}]+| ?[{number}]+| ?[^{white}{letter}{number}]+|[{white}]+(?![^{white}])|[{white}]+")
 
 
-#: Chunks that a worker's cache holds between batches; those that come first stay.
-CACHED = 400_000
+#: Bytes that a worker's cache holds between batches, and of a chunk besides its characters and ids; those that come
+#: first stay, and chunks of more characters than LONG are not kept.
+CACHE_BYTES, CHUNK_BYTES, LONG = 96 << 20, 200, 64
 #: Stands between chunks that are encoded together; no merge has it, and no chunk that holds it is among them.
 _MARK = "\x01"
 #: Chunks encoded together.
@@ -60,13 +62,16 @@ class Encoder:
         self.by_word = "word_bpe" in name
         self.coarse, self.fine = (_WORD_CHUNK if self.by_word else _BYTE_CHUNK).findall, _fine(self.by_word).findall
         self.known: dict[str, bytes] = {}
+        self.held = 0
         self.mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
         if len(self.mark) != 1:
             raise ValueError(f"{name} has no single id for the mark")
 
     def chunks(self, text: str) -> list[str]:
         if _FINE.fullmatch(text):
-            return self.fine(text.lower() if self.by_word else text)
+            low = text.lower() if self.by_word else text
+            if low is text or _FINE.fullmatch(low):
+                return self.fine(low)
         return self.coarse(text)
 
     def _alone(self, chunk: str) -> bytes:
@@ -107,9 +112,12 @@ class Encoder:
         known.update(new)
         look = known.__getitem__
         out = [b"".join(map(look, p)) for p in parts]
-        if len(known) > CACHED:
-            for c in new:
+        for c, ids in new.items():
+            cost = len(c) + len(ids) + CHUNK_BYTES
+            if len(c) > LONG or self.held + cost > CACHE_BYTES:
                 del known[c]
+            else:
+                self.held += cost
         return out
 
 

@@ -1,3 +1,4 @@
+import os
 import random
 import re
 import zlib
@@ -113,13 +114,71 @@ def test_shards(spark):
     assert sharding.sharded(odd).count() == 4
 
 
-def test_resharding_keeps_what_it_can(spark, tmp_path):
-    df, _ = docs(spark, 1500, 6)
-    moves = sharding.reshard(df.withColumn("old", (F.col("doc_id") % 10).cast("int")), str(tmp_path / "s"), new_shards=10, old_shard="old").collect()
-    stay, all_ = sum(r.bytes for r in moves if r.old_shard == r.new_shard), sum(r.bytes for r in moves)
-    assert stay > 0.9 * all_
-    files = sharding.read_shards(spark, str(tmp_path / "s"))
-    assert files.count() == 1500 and files.filter("old_shard = shard").count() > 1300
+def listed(spark, path):
+    """Name and time of the files of a layout, by folder."""
+    import os
+
+    found = {}
+    for d, _, names in os.walk(path):
+        if "shard=" in d:
+            found |= {os.path.join(d, n): os.stat(os.path.join(d, n)).st_mtime_ns for n in names if n.startswith("part-")}
+    return found
+
+
+def test_resharding_rewrites_affected_files_alone(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "FILE_BYTES", 1 << 14)
+    monkeypatch.setattr(sharding, "FILES", 10**6)
+    df, rows = docs(spark, 3000, 6)
+    path = str(tmp_path / "s")
+    sharding.lay_out(df.withColumn("old", (F.col("doc_id") % 8).cast("int")), path, shard="old", blocks=64)
+    before, old = listed(spark, path), {r.doc_id: r.shard for r in sharding.read_shards(spark, path).collect()}
+    assert all(s == i % 8 for i, s in old.items())
+    moves = sharding.reshard(spark, path, new_shards=10).collect()
+    after, files = listed(spark, path), sharding.read_shards(spark, path)
+    got = files.toPandas()
+    assert files.columns == [*df.columns, "old", "shard", "slot"] and sorted(got.doc_id) == [r[0] for r in rows]
+    untouched = {f for f in before if f in after}
+    assert len(untouched) > 0.5 * len(before) and all(before[f] == after[f] for f in untouched)
+    size = {r[0]: len((r[1] or "").encode()) + 16 for r in rows}
+    carried, sums = defaultdict(int), defaultdict(int)
+    for i, shard in zip(got.doc_id, got.shard):
+        carried[old[i], shard] += size[i]
+        sums[shard] += size[i]
+    assert {(r.old_shard, r.new_shard): r.bytes for r in moves} == {k: n for k, n in carried.items() if n}
+    total, block = sum(size.values()), 4 * sum(size.values()) // (8 * 64)
+    least = sum(max(0, sum(n for (o, _), n in carried.items() if o == s) - total // 10) for s in range(8))
+    assert abs(sum(n for (o, s), n in carried.items() if o != s) - least) <= 8 * block
+    assert max(sums.values()) - min(sums.values()) <= block
+    assert all(sorted(own.slot) == list(range(len(own))) for _, own in got.groupby("shard"))
+    # and again, to fewer shards
+    sharding.reshard(spark, path, new_shards=3)
+    again = sharding.read_shards(spark, path).toPandas()
+    assert sorted(again.doc_id) == [r[0] for r in rows] and set(again.shard) == {0, 1, 2}
+    assert all(sorted(own.slot) == list(range(len(own))) for _, own in again.groupby("shard"))
+
+
+def test_shards_even_out_however_many_there_are():
+    draw = random.Random(9)
+    shards = {i: {(i * 10 + f, b): draw.randrange(1, 40) for f in range(10) for b in range(60)} for i in range(30)}
+    total = sum(sum(x.values()) for x in shards.values())
+    capacity = [total // 90 + (i < total % 90) for i in range(90)]
+    to, _ = sharding.plan_transfers(shards, capacity)
+    sums = [0] * 90
+    for i, blocks in shards.items():
+        for at, n in blocks.items():
+            sums[to.get(at, i)] += n
+    assert max(sums) - min(sums) <= 2
+
+
+def test_shards_of_odd_tables(spark, tmp_path):
+    odd = spark.createDataFrame([(None, None, 1, None), (None, None, 2, 5), (1, "x" * 300_000, 3, 1), (1, "x", 3, 1)], "doc_id long, text string, slot int, shard int")
+    path = str(tmp_path / "s")
+    sharding.lay_out(odd, path, shard="shard")
+    sharding.reshard(spark, path, new_shards=2)
+    got = sharding.read_shards(spark, path)
+    assert got.columns == ["doc_id", "text", "slot_in", "shard_in", "shard", "slot"] and sorted(r.slot_in for r in got.collect()) == [1, 2, 3, 3]
+    sharding.lay_out(odd.limit(0), str(tmp_path / "none"))
+    assert sharding.reshard(spark, str(tmp_path / "none")).count() == 0 and sharding.read_shards(spark, str(tmp_path / "none")).count() == 0
 
 
 def vectors(seed, n, d=16, same=0):
@@ -137,21 +196,69 @@ def brute(rows, k, every):
     return out
 
 
+def found_by(df, **how):
+    got = defaultdict(list)
+    for r in ann.nearest(df, **how).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score, r.rank))
+    return got
+
+
+def recall(got, want):
+    return sum(len({j for _, j in want[q]} & {j for j, _, _ in got[q]}) for q in want) / sum(map(len, want.values()))
+
+
 def test_neighbours_equal_brute_force(spark):
     rows = vectors(1, 600, same=60) + [(10_000, None), (10_020, []), (10_040, [0.0] * 16), (10_060, [float("nan")] * 16), (10_080, [1.0, None] + [1.0] * 14), (10_100, [float("inf")] * 16), (None, [1.0] * 16)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = defaultdict(list)
-    for r in ann.nearest(df, cell=64).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.vec_id, r.score, r.rank))
-    want = brute(rows, 20, 20)
-    assert set(got) == set(want)
-    hits = sum(len({j for _, j in want[q]} & {j for j, _, _ in got[q]}) for q in want)
-    assert hits / (20 * len(want)) >= 0.9
+    got, want = found_by(df, region=100), brute(rows, 20, 20)
+    assert set(got) == set(want) and recall(got, want) >= 0.9
     for q, found in got.items():
         assert [x[2] for x in found] == list(range(1, 21)) and found == sorted(found, key=lambda x: (-x[1], x[0]))
     assert [j for j, _, _ in got[620]][:5] == [j for _, j in want[620]][:5]  # one of the equal vectors: ties go by id
 
 
+def test_clustered_neighbours_come_from_few_verified_vectors(spark, monkeypatch):
+    """Many regions on two levels of the tree, several blocks of queries; less than half of the vectors are verified."""
+    monkeypatch.setattr(ann, "LEVEL", 3)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 16)
+    draw = np.random.default_rng(7)
+    centres = draw.normal(size=(60, 32)) * 3
+    rows = [(int(i), [float(x) for x in centres[i % 60] + draw.normal(size=32) * 0.5]) for i in range(6000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    answers = ann.nearest(df, region=200, every=40).cache()
+    got = defaultdict(list)
+    for r in answers.orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score, r.rank))
+    rows = [(i, np.float32(v).astype(float).tolist()) for i, v in rows]
+    assert recall(got, brute(rows, 20, 40)) >= 0.9
+    share = answers.groupBy("query_id").agg(F.max("verified").alias("v")).agg(F.avg("v")).first()[0] / 6000
+    assert 0 < share < 0.5
+
+
+def test_ties_between_different_vectors_go_to_smaller_ids(spark):
+    draw = np.random.default_rng(3)
+    rows = [(0, [1.0, *[0.0] * 7])]
+    for i in range(1, 401):  # all score 0.5 with vector 0
+        v = draw.normal(size=7)
+        rows.append((i, [0.5, *(v / np.linalg.norm(v) * 0.8).tolist()]))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = found_by(df, every=1000, confidence=0.999999)[0]
+    assert [j for j, _, _ in found] == list(range(1, 21))
+
+
+def test_other_lengths_repeated_ids_and_clashing_columns(spark):
+    rows = [(0, [1.0, 0.0], 1), (1, [0.5, 0.5], 1), (0, [0.0, 1.0], 2), (1, [0.5, 0.5], 4), (20, [1.0, 0.0, 0.0], 3), (21, [2.0, 0.0, 0.0], 3), (21, [2.0, 0.0, 0.0], 3)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int")).collect()
+    assert sorted((r.query_id, r.vec_id, r.score) for r in got) == [(0, 1, 0.5), (20, 21, 2.0)]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_recall_on_the_test_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    assert recall(found_by(df), brute(rows, 20, 20)) >= 0.9
+
+
 def test_few_and_no_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r.vec_id, r.score) for r in ann.nearest(df).orderBy("rank").collect()] == [(1, 1.0), (2, 0.0)]

@@ -2,16 +2,19 @@
 
 Vectors are completed by one component so that the largest inner product is the
 smallest distance, and projected by a Gaussian (2-stable) matrix to ``DIMENSIONS``
-numbers.  A kd-tree over the projections, fitted on a bounded sample, has a cell
-for every CELL vectors.  A pair at distance d is projected to a distance p with
-p^2 / d^2 chi-square distributed, so that a search can stop once the next
-projected neighbour's p^2 exceeds the quantile times the square of the k-th
-distance found: what is nearer has been seen with that probability.
-
-Search has two rounds.  In the home cell of a query, its k-th distance is bounded;
-then every region of cells that has one whose box is within the radius of the
-stopping test is searched, in order of projected distance by the same test.  Equal
-vectors are one entry with their smallest ids, as many as any answer can use.
+numbers.  A pair at distance d is projected to a distance p with p^2 / d^2 chi-square
+distributed.  A search goes through the projected neighbours from the nearest on,
+verifies each on its whole vector, and stops when the next one's p^2 exceeds the
+quantile times the square of the k-th distance found: what is nearer has been seen
+with that probability.
+
+The projections are indexed by a kd-tree of two levels, each fitted on a bounded
+sample: its leaves are regions of about REGION vectors.  Inside its task a region is
+cut into cells with tight boxes; cells are opened in order of their boxes' distance,
+so that neighbours come incrementally and no other vector is looked at.  In the home
+region of a query its k-th distance is bounded; then it goes to the regions whose
+boxes are within the radius of the stopping test.  Equal vectors are one entry with
+their smallest ids, as many as any answer can use.
 """
 
 from __future__ import annotations
@@ -20,20 +23,23 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import portions, session_of, stage
+from .common import lookup_join, portions, scratch, session_of, stage
 
-DIMENSIONS = 8
-#: Vectors of a cell, about, and of the sample that fits the tree.
-CELL, SAMPLE = 1024, 50_000
+DIMENSIONS = 16
+#: Vectors of a region and of a cell in it, about.
+REGION, CELL = 8192, 128
+#: Vectors of the sample that fits a level of the tree, and cuts of a level at most: 1,024 leaves, each with 1,024 below.
+SAMPLE, LEVEL = 50_000, 10
 #: With this probability a neighbour is seen before the stopping test holds.
-CONFIDENCE = 0.97
-#: Neighbouring cells (a subtree) that are searched together, and queries of a block that are.
-REGION, QUERY_BLOCK = 64, 2048
+CONFIDENCE = 0.91
+#: Queries that search a region in one task.
+QUERY_BLOCK = 1024
+#: Projected neighbours verified at a time, at first.
+PORTION = 64
 
 
 def chi_square_quantile(p: float, m: int) -> float:
@@ -47,12 +53,11 @@ def chi_square_quantile(p: float, m: int) -> float:
 
 
 class Tree:
-    """A kd-tree's cuts, as arrays: node i has children 2i + 1 and 2i + 2; leaves are cells."""
+    """A kd-tree's cuts, as arrays: node i has children 2i + 1 and 2i + 2."""
 
     def __init__(self, sample: np.ndarray, depth: int) -> None:
-        self.depth, self.m = depth, sample.shape[1] if sample.ndim == 2 else DIMENSIONS
         inner = 2**depth - 1
-        self.axis, self.cut = np.zeros(inner, np.int64), np.zeros(inner)
+        self.depth, self.axis, self.cut = depth, np.zeros(inner, np.int64), np.zeros(inner)
         rows = {0: sample}
         for node in range(inner):
             own = rows.pop(node)
@@ -62,20 +67,19 @@ class Tree:
             right = own[:, self.axis[node]] > self.cut[node] if len(own) else np.zeros(0, bool)
             rows[2 * node + 1], rows[2 * node + 2] = own[~right], own[right]
 
-    def cell(self, points: np.ndarray) -> np.ndarray:
+    def leaf(self, points: np.ndarray) -> np.ndarray:
         node = np.zeros(len(points), np.int64)
         for _ in range(self.depth):
             node = 2 * node + 1 + (points[np.arange(len(points)), self.axis[node]] > self.cut[node])
         return node - (2**self.depth - 1)
 
-    def within(self, point: np.ndarray, radius2: float) -> list[int]:
-        """Cells whose boxes are at most so far from the point, by the way down the tree."""
-        out, stack = [], [(0, np.zeros(self.m))]
-        inner = 2**self.depth - 1
+    def within(self, point: np.ndarray, radius2: float, off: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """Leaves at most so far from the point, and how far on each axis; ``off`` is how far the whole tree is."""
+        out, stack, inner = [], [(0, off)], 2**self.depth - 1
         while stack:
             node, off = stack.pop()
             if node >= inner:
-                out.append(node - inner)
+                out.append((node - inner, off))
                 continue
             axis, gap = self.axis[node], point[self.axis[node]] - self.cut[node]
             near, far = (2 * node + 2, 2 * node + 1) if gap > 0 else (2 * node + 1, 2 * node + 2)
@@ -87,131 +91,257 @@ class Tree:
         return out
 
 
-_HIT = "entry long, hit long, score double"
+class Regions:
+    """A tree and the trees below its leaves, if there are any: a region is a leaf of a leaf."""
 
+    def __init__(self, top: Tree, below: dict[int, Tree]) -> None:
+        self.top, self.below = top, below
 
-def _search(k: int, bound: float, top2: float) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    """For each query the k entries of the largest inner product, not below its floor, up to the stopping test.
+    def of(self, points: np.ndarray) -> np.ndarray:
+        first = self.top.leaf(points)
+        out = first << LEVEL
+        for leaf in np.unique(first):
+            if tree := self.below.get(int(leaf)):
+                at = first == leaf
+                out[at] += tree.leaf(points[at])
+        return out
 
-    Neighbours in the projection are verified nearest first, in growing portions;
-    the test is made before each.  top2 is the largest squared norm: a query's
-    squared distance to an entry is its own squared norm plus top2 less twice the
-    inner product.
-    """
+    def within(self, point: np.ndarray, radius2: float) -> list[int]:
+        out = []
+        for leaf, off in self.top.within(point, radius2, np.zeros(len(point))):
+            tree = self.below.get(leaf)
+            out += [(leaf << LEVEL) + x for x, _ in tree.within(point, radius2, off)] if tree else [leaf << LEVEL]
+        return out
+
+
+class Cells:
+    """The entries of a region, cut into cells at medians until they are small, with the boxes of their points."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, points: np.ndarray, cell: int = CELL) -> None:
+        self.ids, self.vectors, self.points = ids, vectors, points
+        self.cells, stack = [], [np.arange(len(ids))] if len(ids) else []
+        while stack:
+            own = stack.pop()
+            if len(own) <= cell:
+                self.cells.append(own)
+                continue
+            x = points[own, int(np.argmax(np.ptp(points[own], axis=0)))]
+            cut = np.argpartition(x, len(own) // 2)
+            stack += [own[cut[: len(own) // 2]], own[cut[len(own) // 2 :]]]
+        self.low = np.array([points[c].min(axis=0) for c in self.cells]).reshape(len(self.cells), -1)
+        self.high = np.array([points[c].max(axis=0) for c in self.cells]).reshape(len(self.cells), -1)
 
-    def search(queries: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if len(queries) and len(entries):
-            vectors, ids = np.stack(entries["vector"].to_numpy()), entries["entry"].to_numpy()
-            points = np.stack(entries["point"].to_numpy())
-            far = (points * points).sum(axis=1)
-            for first in range(0, len(queries), 64):
-                block = queries.iloc[first : first + 64]
-                own, at = np.stack(block["vector"].to_numpy()), np.stack(block["point"].to_numpy())
-                gaps = far[None, :] - 2 * (at @ points.T) + (at * at).sum(axis=1)[:, None]
-                products = own @ vectors.T
-                for entry, q, gap, product, floor in zip(block["entry"].to_numpy(), own, gaps, products, block["floor"].to_numpy()):
-                    norm2, n, low, portion = float(q @ q), len(ids), float(floor), 16 * k
-                    while True:
-                        near = np.argpartition(gap, portion) if portion < n else np.arange(n)
-                        seen = near[:portion]
-                        best = seen if len(seen) <= k + 8 else seen[np.argpartition(-product[seen], k + 8)[: k + 8]]
-                        if len(seen) > k:
-                            low = max(low, float(np.sort(product[best])[-k]))
-                        if portion >= n or gap[near[portion]] > bound * max(norm2 + top2 - 2 * low, 0.0):
-                            break
-                        portion *= 8
-                    score = (vectors[best] * q).sum(axis=1)
-                    order = np.lexsort((ids[best], -score))[:k]
-                    order = order[score[order] >= floor - 1e-9]
-                    out.append((np.full(len(order), entry), ids[best][order], score[order]))
-        if not out:
-            return pd.DataFrame({"entry": np.zeros(0, np.int64), "hit": np.zeros(0, np.int64), "score": np.zeros(0)})
-        return pd.DataFrame({"entry": np.concatenate([x[0] for x in out]), "hit": np.concatenate([x[1] for x in out]), "score": np.concatenate([x[2] for x in out])})
+    def search(self, q: np.ndarray, at: np.ndarray, k: int, bound: float, top2: float, floor: float) -> tuple[np.ndarray, np.ndarray, int]:
+        """Ids and scores of the k entries of the largest inner product, not below floor, and how many were verified.
+
+        q is the query and ``at`` its projection.  top2 is the largest squared norm:
+        a query's squared distance to an entry is its own squared norm plus top2 less
+        twice the inner product.
+        """
+        off = np.maximum(self.low - at, 0) + np.maximum(at - self.high, 0)
+        box = (off * off).sum(axis=1)
+        order, norm2 = np.argsort(box), float(q @ q)
+        kth, top, seen, scores = floor, np.zeros(0), [], []
+        gaps, waiting, opened, portion, want, verified = np.zeros(0), np.zeros(0, np.int64), 0, PORTION, PORTION, 0
+        radius2 = bound * max(norm2 + top2 - 2 * kth, 0.0)
+        while True:
+            # open cells, the nearest first, until a portion waits or no other is within reach
+            fresh, n = [], len(waiting)
+            while opened < len(order) and n < want and box[order[opened]] <= radius2:
+                fresh.append(self.cells[order[opened]])
+                n += len(fresh[-1])
+                opened += 1
+            if fresh:
+                new = np.concatenate(fresh)
+                gap = self.points[new] - at
+                gaps, waiting = np.concatenate([gaps, (gap * gap).sum(axis=1)]), np.concatenate([waiting, new])
+                by_gap = np.argsort(gaps, kind="stable")
+                gaps, waiting = gaps[by_gap], waiting[by_gap]
+            # those nearer than any cell that isn't open are next in line
+            reach = box[order[opened]] if opened < len(order) else math.inf
+            ripe = int(np.searchsorted(gaps, min(reach, radius2), "right"))
+            if not ripe:
+                if opened >= len(order) or reach > radius2:
+                    break
+                want = n + 1  # what waits is further than a closed cell
+                continue
+            take = waiting[: min(ripe, portion)]
+            gaps, waiting = gaps[len(take) :], waiting[len(take) :]
+            score = self.vectors[take] @ q
+            seen.append(take)
+            scores.append(score)
+            verified += len(take)
+            top = np.concatenate([top, score])
+            if len(top) > k:
+                top = np.partition(top, len(top) - k)[-k:]
+            if len(top) == k:
+                kth = max(kth, float(top.min()))
+                radius2 = bound * max(norm2 + top2 - 2 * kth, 0.0)
+            portion = want = max(PORTION, verified // 16)
+        if not verified:
+            return np.zeros(0, np.int64), np.zeros(0), 0
+        every, score = np.concatenate(seen), np.concatenate(scores)
+        good = every[score >= kth - 1e-9 * max(1.0, abs(kth))]
+        exact = (self.vectors[good] * q).sum(axis=1)
+        order = np.lexsort((self.ids[good], -exact))[:k]  # all of the k-th score stand here before ids decide
+        return self.ids[good][order], exact[order], verified
+
+
+_HIT = "entry long, hit long, score double, verified long"
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def _search(k: int, bound: float, top2: float, width: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Hits of each query among the entries of a region; a row without a hit says how many were verified."""
+
+    def search(queries: pa.Table, entries: pa.Table) -> pa.Table:
+        out: list[tuple[np.ndarray, ...]] = []
+        if queries.num_rows and entries.num_rows:
+            cells = Cells(entries["entry"].to_numpy(), _matrix(entries["vector"], width), _matrix(entries["point"], DIMENSIONS))
+            for entry, q, at, floor in zip(queries["entry"].to_pylist(), _matrix(queries["vector"], width), _matrix(queries["at"], DIMENSIONS), queries["floor"].to_pylist()):
+                hits, scores, verified = cells.search(q, at, k, bound, top2, floor)
+                out.append((np.full(len(hits) + 1, entry), np.append(hits, -1), np.append(scores, 0.0), np.append(np.zeros(len(hits), np.int64), verified), np.append(np.zeros(len(hits), bool), True)))
+        entry, hit, score, verified, none = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, t) for t in (np.int64, np.int64, float, np.int64, bool))
+        return pa.table({"entry": pa.array(entry, pa.int64()), "hit": pa.array(hit, pa.int64(), mask=none), "score": pa.array(score, pa.float64(), mask=none), "verified": pa.array(verified, pa.int64())})
 
     return search
 
 
-def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, column: str = "embedding", confidence: float = CONFIDENCE, cell: int = CELL, seed: int = 3) -> DataFrame:
+def _projected(width: int, matrix: np.ndarray, top2: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds point, the projection of the completed vector, and at, that of the vector as a query, with 0 for the completion."""
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches, 4096):
+            v = _matrix(batch["vector"], width)
+            at = v @ matrix[:width]
+            points = at + np.sqrt(np.maximum(top2 - (v * v).sum(axis=1), 0))[:, None] * matrix[width]
+            new = [pa.array(list(x), pa.list_(pa.float64())) for x in (points, at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "point", "at"])
+
+    return project
+
+
+def _share(n: int | Column, column: str = "entry") -> Column:
+    """Rows of which, by hash, SAMPLE are chosen of n in expectation."""
+    return F.pmod(F.xxhash64(column, F.lit(5)), F.lit(1 << 30)) <= F.lit(1 << 30) * F.least(F.lit(1.0), SAMPLE / (F.lit(n) if isinstance(n, int) else n))
+
+
+def _regions(entries: DataFrame, total: int, region: int) -> Regions:
+    """The two levels of cuts: the lower ones are fitted where more than 2**LEVEL regions are asked for."""
+    depth = max(0, math.ceil(math.log2(max(total, 1) / region)))
+    sample = np.array([r[0] for r in entries.filter(_share(total)).select("point").collect()]).reshape(-1, DIMENSIONS)
+    top = Tree(sample, min(depth, LEVEL))
+    if depth <= LEVEL:
+        return Regions(top, {})
+
+    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches, 4096):
+            yield pa.RecordBatch.from_arrays([pa.array(top.leaf(_matrix(batch["point"], DIMENSIONS)), pa.int64()), batch["entry"], batch["point"]], names=["leaf", "entry", "point"])
+
+    def fit(key: tuple[pa.Scalar, ...], own: pa.Table) -> pa.Table:
+        tree = Tree(_matrix(own["point"], DIMENSIONS), min(depth - LEVEL, LEVEL))
+        return pa.table({"leaf": pa.array([key[0].as_py()], pa.int64()), "axis": pa.array([tree.axis.tolist()], pa.list_(pa.int64())), "cut": pa.array([tree.cut.tolist()], pa.list_(pa.float64()))})
+
+    at = stage(entries.select("entry", "point").mapInArrow(leaves, "leaf long, entry long, point array<double>"), "ann_leaves")
+    sizes = at.groupBy("leaf").agg(F.count(F.lit(1)).alias("_n"))  # a row a leaf, 2**LEVEL at most
+    fitted = at.join(F.broadcast(sizes), "leaf").filter(_share(F.col("_n"))).select("leaf", "point").groupBy("leaf").applyInArrow(fit, "leaf long, axis array<long>, cut array<double>")
+    below = {}
+    for r in fitted.collect():  # 2**LEVEL trees of 2**LEVEL cuts at most
+        below[r["leaf"]] = tree = Tree(np.zeros((0, DIMENSIONS)), 0)
+        tree.depth, tree.axis, tree.cut = min(depth - LEVEL, LEVEL), np.array(r["axis"], np.int64), np.array(r["cut"])
+    return Regions(top, below)
+
+
+_RESULT = "query_id long, rank int, vec_id long, score double, verified long"
+
+
+def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, column: str = "embedding", confidence: float = CONFIDENCE, region: int = REGION, seed: int = 3) -> DataFrame:
     """The k nearest of every query (rows whose vec_id ``every`` divides) among all other rows.
 
     query_id, rank (from 1), vec_id, score (inner product in double precision),
-    nearest first, ties to the smaller vec_id.  Vectors that are null, empty, zero
-    or of another length than most, or that hold null or non-finite components,
-    take no part, nor do null ids.  Rows that repeat an id are one row if their
-    vectors are alike.  An empty table gives no rows.
+    nearest first, ties to the smaller vec_id, and verified, the number of vectors
+    whose score was taken for the query.  Vectors that are null, empty or zero, or
+    that hold null or non-finite components, take no part, nor do null ids.  Vectors
+    of another length have no inner product with a query and are searched among
+    themselves.  Rows that repeat an id are one row; if their vectors differ, the one
+    of the smallest hash stands for it.  An empty table gives no rows; other columns are
+    ignored, whatever their names.
     """
-    spark = session_of(vectors)
     double = F.transform(column, lambda x: x.cast("double"))
-    good = F.size(column) > 0
     fine = F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(column, lambda x: x != 0)
-    rows = vectors.filter("vec_id is not null").filter(good & fine).select(F.col("vec_id").cast("long"), double.alias("vector"))
+    rows = vectors.filter("vec_id is not null").filter((F.size(column) > 0) & fine).select(F.col("vec_id").cast("long"), double.alias("vector"))
     rows = rows.withColumn("key", F.sha2(F.concat_ws(",", F.transform("vector", lambda x: (x + 0.0).cast("string"))), 256))
-    widths = rows.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)).alias("top2"))
-    most = widths.orderBy(F.desc("n"), "d").first()
-    result = "query_id long, rank int, vec_id long, score double"
-    if most is None:
-        return spark.createDataFrame([], result)
-    width, top2, total = most["d"], float(most["top2"]), most["n"]
-    rows = rows.filter(F.size("vector") == width)
-
-    # an entry for each different vector, under its smallest id, with the k + 1 smallest ids
-    of_key = Window.partitionBy("key").orderBy("vec_id")
-    first = rows.withColumn("_n", F.row_number().over(of_key)).filter(F.col("_n") <= k + 1)
-    entries = first.groupBy("key").agg(F.min("vec_id").alias("entry"), F.sort_array(F.collect_set("vec_id")).alias("ids"), F.max(F.when(F.col("_n") == 1, F.col("vector"))).alias("vector"))
-    matrix = np.random.default_rng(seed).standard_normal((width + 1, DIMENSIONS))
+    rows = rows.groupBy("vec_id").agg(F.min(F.struct("key", "vector")).alias("_v")).select("vec_id", "_v.vector", "_v.key")
+    widths = rows.groupBy(F.size("vector").alias("d")).agg(F.max(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)).alias("top2"))
+    out = session_of(vectors).createDataFrame([], _RESULT)
+    for width, top2 in sorted(tuple(r) for r in widths.collect()):  # a row for each length that occurs
+        out = out.union(_of_width(rows.filter(F.size("vector") == width), width, float(top2), k, every, confidence, region, seed))
+    return out
 
-    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in portions(batches, 2048):
-            if batch.num_rows:
-                v = np.stack(batch["vector"].to_numpy(zero_copy_only=False))
-                rest = np.sqrt(np.maximum(top2 - (v * v).sum(axis=1), 0))
-                points = np.concatenate([v, rest[:, None]], axis=1) @ matrix
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(points), pa.list_(pa.float64()))], names=[*batch.schema.names, "point"])
-
-    entries = stage(entries.mapInArrow(project, "key string, entry long, ids array<long>, vector array<double>, point array<double>"), "ann_entries")
-    share = F.pmod(F.xxhash64("entry"), F.lit(1 << 30)) <= int((1 << 30) * min(1.0, SAMPLE / total))
-    sample = np.array([r[0] for r in entries.filter(share).select("point").collect()]).reshape(-1, DIMENSIONS)
-    tree = spark.sparkContext.broadcast(Tree(sample, max(0, math.ceil(math.log2(max(total, 1) / cell)))))
+
+def _of_width(rows: DataFrame, width: int, top2: float, k: int, every: int, confidence: float, region: int, seed: int) -> DataFrame:
+    spark = session_of(rows)
     bound = chi_square_quantile(confidence, DIMENSIONS)
+    matrix = np.random.default_rng(seed).standard_normal((width + 1, DIMENSIONS))
+    with scratch():
+        # an entry for each different vector, under its smallest id, with the k + 1 smallest ids
+        of_key = Window.partitionBy("key").orderBy("vec_id")
+        first = rows.withColumn("_n", F.row_number().over(of_key)).filter(F.col("_n") <= k + 1)
+        entries = first.groupBy("key").agg(F.min("vec_id").alias("entry"), F.sort_array(F.collect_set("vec_id")).alias("ids"), F.max(F.when(F.col("_n") == 1, F.col("vector"))).alias("vector"))
+        entries = stage(entries.mapInArrow(_projected(width, matrix, top2), "key string, entry long, ids array<long>, vector array<double>, point array<double>, at array<double>"), "ann_entries")
+        regions = spark.sparkContext.broadcast(_regions(entries, entries.count(), region))
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in portions(batches, 4096):
+                at = regions.value.of(_matrix(batch["point"], DIMENSIONS))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int64())], names=[*batch.schema.names, "region"])
+
+        placed = stage(entries.select("entry", "key", "vector", "point", "at").mapInArrow(place, "entry long, key string, vector array<double>, point array<double>, at array<double>, region long"), "ann_placed")
+        asks = stage(rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "key").distinct(), "ann_asks", keep=True)
+        asked = stage(asks.groupBy("key").agg(F.count(F.lit(1)).alias("_asks")), "ann_asked")
+        asking = stage(placed.join(asked.select("key"), "key", "left_semi").select("entry", "vector", "at", "region", F.lit(-1e300).alias("floor")), "ann_asking")
+
+        def found(queries: DataFrame) -> DataFrame:
+            """Queries (entry, vector, at, region, floor) against the entries of their regions, in blocks."""
+            blocks = stage(queries.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("_blocks")), "ann_blocks")
+            left = queries.join(F.broadcast(blocks), "region") if blocks.count() <= 1 << LEVEL else queries.join(blocks, "region")
+            left = left.select("entry", "vector", "at", "floor", "region", F.pmod(F.xxhash64("entry"), "_blocks").cast("int").alias("block"))
+            right = placed.join(blocks, "region").select("entry", "vector", "point", "region", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("block"))
+            return left.groupBy("region", "block").cogroup(right.groupBy("region", "block")).applyInArrow(_search(k + 1, bound, top2, width), _HIT)
+
+        # round 1: the home region bounds the score of the (k + 1)-th hit; the query itself is one of them
+        home = stage(found(asking), "ann_home")
+        floors = home.groupBy("entry").agg(F.count("hit").alias("_hits"), F.min("score").alias("_low"))
+        floors = floors.select("entry", F.when(F.col("_hits") > k, F.col("_low")).alias("_floor"))
+        bounded = stage(asking.join(floors, "entry").select("entry", "vector", "at", F.col("region").alias("home"), F.coalesce("_floor", "floor").alias("floor")), "ann_bounded")
+
+        def routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in portions(batches, 1024):
+                to, which = [], []
+                for i, (q, at, own, floor) in enumerate(zip(_matrix(batch["vector"], width), _matrix(batch["at"], DIMENSIONS), batch["home"].to_pylist(), batch["floor"].to_pylist())):
+                    there = [r for r in regions.value.within(at, bound * max(float(q @ q) + top2 - 2 * floor, 0.0)) if r != own]
+                    to += there
+                    which += [i] * len(there)
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), *batch.take(pa.array(which, pa.int64())).columns], names=["region", *batch.schema.names])
 
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in portions(batches, 2048):
-            if batch.num_rows:
-                at = tree.value.cell(np.stack(batch["point"].to_numpy(zero_copy_only=False)))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int64())], names=[*batch.schema.names, "cell"])
-
-    placed = stage(entries.select("entry", "key", "vector", "point").mapInArrow(cells, "entry long, key string, vector array<double>, point array<double>, cell long"), "ann_placed")
-    asks = rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "key").distinct()
-    asking = stage(placed.join(asks.select("key").distinct(), "key", "left_semi"), "ann_asking")
-    own = placed.select("entry", "vector", "point", "cell")
-    # round 1: the home cell bounds the score of the (k + 1)-th hit
-    asked = asking.select("entry", "vector", "point", "cell", F.lit(-1e300).alias("floor"))
-    home = asked.groupBy("cell").cogroup(own.groupBy("cell")).applyInPandas(_search(k + 1, bound, top2), _HIT)
-    floors = home.groupBy("entry").agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias("_low")).select("entry", F.when(F.col("_n") > k, F.col("_low")).alias("floor"))
-    queries = stage(asking.select("entry", "vector", "point").join(floors, "entry", "left").withColumn("floor", F.coalesce("floor", F.lit(-1e300))), "ann_queries")
-
-    def routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in portions(batches, 2048):
-            to, own_ids = [], []
-            for entry, v, point, floor in zip(*(batch[c].to_pylist() for c in ("entry", "vector", "point", "floor"))):
-                there = {c // REGION for c in tree.value.within(np.array(point), bound * max(float(np.dot(v, v)) + top2 - 2 * floor, 0.0))}
-                to += there
-                own_ids += [entry] * len(there)
-            yield pa.RecordBatch.from_arrays([pa.array(own_ids, pa.int64()), pa.array(to, pa.int64())], names=["entry", "region"])
-
-    # round 2: the regions within reach; one that many queries reach is searched in blocks of them
-    routed = stage(queries.mapInArrow(routes, "entry long, region long"), "ann_routes")
-    blocks = stage(routed.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("_blocks")), "ann_blocks")
-    left = routed.join(blocks, "region").withColumn("block", F.pmod(F.xxhash64("entry"), "_blocks").cast("int")).join(queries, "entry").drop("_blocks")
-    right = own.withColumn("region", F.floor(F.col("cell") / REGION)).join(blocks, "region").select("entry", "vector", "point", "region", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("block"))
-    hits = left.groupBy("region", "block").cogroup(right.groupBy("region", "block")).applyInPandas(_search(k + 1, bound, top2), _HIT)
-    ranked = hits.withColumn("_r", F.row_number().over(Window.partitionBy("entry").orderBy(F.desc("score"), "hit"))).filter(F.col("_r") <= k + 1)
-    # equal vectors score alike: all their ids stand for a hit, in order of score and id
-    ids = entries.select(F.col("entry").alias("hit"), "ids")
-    every_id = ranked.join(ids, "hit").groupBy("entry").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("ids").alias("ids")))).alias("hits"))
-    flat = F.array_sort(F.flatten(F.transform("hits", lambda h: F.transform(h["ids"], lambda i: F.struct(h["s"].alias("s"), i.alias("id"))))))
-    answers = every_id.select("entry", F.slice(flat, 1, k + 1).alias("flat")).join(entries.select("entry", "key"), "entry")
-    out = asks.join(answers, "key").select("query_id", F.slice(F.filter("flat", lambda x: x["id"] != F.col("query_id")), 1, k).alias("flat"))
-    out = out.select("query_id", F.posexplode("flat").alias("pos", "x"))
-    return out.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.s")).alias("score"))
+        # round 2: the other regions within reach
+        routed = stage(bounded.mapInArrow(routes, "region long, entry long, vector array<double>, at array<double>, home long, floor double"), "ann_routed")
+        hits = stage(found(routed).union(home), "ann_hits")
+        ranked = hits.filter("hit is not null").withColumn("_r", F.row_number().over(Window.partitionBy("entry").orderBy(F.desc("score"), "hit"))).filter(F.col("_r") <= k + 1)
+        ranked = stage(ranked.select("entry", "hit", "score"), "ann_ranked")
+        # equal vectors score alike: all their ids stand for a hit, in order of score and id
+        ids = stage(ranked.groupBy("hit").agg(F.count(F.lit(1)).alias("_n")).join(entries.select(F.col("entry").alias("hit"), "ids"), "hit"), "ann_ids")
+        listed = lookup_join(ranked, ids, "hit", "_n", F.xxhash64("entry", "hit"))
+        flat = F.flatten(F.transform(F.collect_list(F.struct((-F.col("score")).alias("s"), "ids")), lambda h: F.transform(h["ids"], lambda i: F.struct(h["s"].alias("s"), i.alias("id")))))
+        answers = listed.groupBy("entry").agg(F.slice(F.array_sort(flat), 1, k + 1).alias("flat"))
+        counts = hits.groupBy("entry").agg(F.sum("verified").alias("verified"))
+        answers = stage(answers.join(counts, "entry").join(entries.select("entry", "key"), "entry").join(asked, "key").drop("entry"), "ann_answers", keep=True)
+    # many queries may be of one vector
+    out = lookup_join(asks, answers, "key", "_asks", F.xxhash64("query_id"), found=True)
+    out = out.select("query_id", F.slice(F.filter("flat", lambda x: x["id"] != F.col("query_id")), 1, k).alias("flat"), "verified")
+    out = out.select("query_id", F.posexplode("flat").alias("pos", "x"), "verified")
+    return out.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.s")).alias("score"), "verified")

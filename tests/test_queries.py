@@ -10,6 +10,7 @@ import sys
 import duckdb
 import pytest
 
+from tideline import frame_queries  # noqa: F401  registers further queries
 from tideline.operators import evaluation
 from tideline.queries import QUERIES, SQL
 
@@ -66,12 +67,12 @@ def test_predictions_are_of_every_symbol(spark, db, name):
 
 
 def test_replay_of_all_outcomes(spark):
-    pulls = QUERIES["bandit_replay_all"](spark, SF).agg({"pulls": "sum"}).first()[0]
+    pulls = QUERIES["bandit_replay"](spark, SF).agg({"pulls": "sum"}).first()[0]
     assert pulls == QUERIES["bandit_batch"](spark, SF).agg({"pulls": "sum"}).first()[0]
 
 
 def test_prices_as_of_all_ticks(spark, db):
-    assert QUERIES["as_of_prices_all"](spark, SF).count() == db.sql("select count(*) from (select distinct event_type, ts from events)").fetchall()[0][0]
+    assert QUERIES["as_of_prices"](spark, SF).count() == db.sql("select count(*) from (select distinct event_type, ts from events)").fetchall()[0][0]
 
 
 def test_monte_carlo_is_of_every_symbol_and_a_thousand_draws(spark, monkeypatch):

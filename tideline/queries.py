@@ -27,15 +27,21 @@ SQL: dict[str, str] = {}
 PLACES = dict.fromkeys(("sma_bollinger", "atr", "ema_macd", "ema_slope", "frac_diff", "stationary_diff", "momentum_features", "bar_threshold", "accumulated", "metrics"), 4)
 
 
+#: Added before rounding to four places: averages of prices in cents stand half way between two such numbers now and then.
+OFF_HALF = 3.3e-7
+
+
 def _rounded(df: DataFrame, places: int) -> DataFrame:
-    return df.select(*((F.round(f"`{c}`", places) + 0.0).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes))
+    off = OFF_HALF if places == 4 else 0.0
+    return df.select(*((F.round(F.col(f"`{c}`") + off, places) + 0.0).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes))
 
 
 def _register(name: str, query: Query, sql: str | None = None, doubles: str = "") -> None:
     places = PLACES.get(name, 6)
     QUERIES[name] = lambda spark, sf: _rounded(query(spark, sf), places)
     if sql:
-        swap = ", ".join(f"round({c}, {places}) + 0.0::DOUBLE AS {c}" for c in doubles.split())
+        off = f" + {OFF_HALF!r}::DOUBLE" if places == 4 else ""
+        swap = ", ".join(f"round({c}{off}, {places}) + 0.0::DOUBLE AS {c}" for c in doubles.split())
         body, _, last = sql.rpartition("\nSELECT ")
         inner = f"{body}, result_ AS (SELECT {last})" if body.lstrip().upper().startswith("WITH") else f"WITH result_ AS (SELECT {last})"
         SQL[name] = f"{inner} SELECT * {f'REPLACE ({swap})' if swap else ''} FROM result_"
@@ -84,7 +90,6 @@ _series("basic_features", I.basic_features, f"""WITH {BARS}
 SELECT symbol, ts, {_pct('close')} AS returns, CASE WHEN close / nullif({_lag('close')}, 0) > 0 THEN ln(close / {_lag('close')}) ELSE 0 END AS log_returns, close * volume AS dollar_volume,
  high - low AS hl_range, abs(close - open) AS oc_range, {_pct('close', 5)} AS price_momentum_5, {_pct('close', 20)} AS price_momentum_20, {_r('avg', 'volume', 20)} AS volume_ma_20,
  volume / {_r('avg', 'volume', 20)} AS volume_ratio FROM bars""")
-_register("validated", lambda spark, sf: bars(spark, sf).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("close").isNull()).alias("holes")), f"WITH {BARS}\nSELECT count(*) AS n, count(*) FILTER (close IS NULL) AS holes FROM bars")
 _register("bar_properties", lambda spark, sf: bars(spark, sf).select("symbol", "ts", *(c.alias(n) for n, c in market.bar_columns().items())), f"""WITH {BARS}
 SELECT symbol, ts, (high + low + close) / 3.0 AS typical_price, high - low AS "range", abs(close - open) AS body FROM bars""", "typical_price body range")
 _register("latest_bars", lambda spark, sf: market.latest(bars(spark, sf), 3), f"""WITH {BARS}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS n FROM bars)
@@ -465,9 +470,7 @@ def _arms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _register("bandit_batch", _arms, f"{_VB}, {_OUT}\nSELECT strategy, regime, greatest(1, 1 + sum(reward) * 0.995) AS alpha, greatest(1, 1 + (count(*) - sum(reward)) * 0.995) AS beta, count(*)::INT AS pulls, sum(reward) AS total_reward FROM oc GROUP BY 1, 2", "alpha beta total_reward")
-_register("bandit_replay", lambda spark, sf: bandit.replay(_outcomes(spark, sf).filter(F.col("symbol") == "1-URGENT")), f"""{_VB}, o AS (SELECT strategy, regime, confidence AS reward, pow(0.995::DOUBLE, row_number() OVER (PARTITION BY regime ORDER BY ts DESC, strategy DESC)) AS w FROM vo WHERE symbol = '1-URGENT')
-SELECT strategy, regime, 1 + sum(reward * w) AS alpha, 1 + sum((1 - reward) * w) AS beta, count(*)::INT AS pulls, sum(reward) AS total_reward FROM o GROUP BY 1, 2""", "alpha beta total_reward")
-_register("bandit_replay_all", lambda spark, sf: bandit.replay(_outcomes(spark, sf)), f"""{_VB}, o AS (SELECT strategy, regime, confidence AS reward, pow(0.995::DOUBLE, row_number() OVER (PARTITION BY regime ORDER BY ts DESC, symbol DESC, strategy DESC)) AS w FROM vo)
+_register("bandit_replay", lambda spark, sf: bandit.replay(_outcomes(spark, sf)), f"""{_VB}, o AS (SELECT strategy, regime, confidence AS reward, pow(0.995::DOUBLE, row_number() OVER (PARTITION BY regime ORDER BY ts DESC, symbol DESC, strategy DESC)) AS w FROM vo)
 SELECT strategy, regime, 1 + sum(reward * w) AS alpha, 1 + sum((1 - reward) * w) AS beta, count(*)::INT AS pulls, sum(reward) AS total_reward FROM o GROUP BY 1, 2""", "alpha beta total_reward")
 _register("bandit_summary", lambda spark, sf: bandit.summary(_arms(spark, sf)).select("strategy", "regime", "win_rate", "rank"))
 _register("bandit_select", lambda spark, sf: bandit.select(_votes(spark, sf), _arms(spark, sf), n=2).select("symbol", "ts", "strategy", "signal"))
@@ -529,9 +532,7 @@ _register("backtest_run", lambda spark, sf: evaluation.run_backtest(S.MeanRevers
 _register("backtest_summary", lambda spark, sf: evaluation.simple_backtest(S.MeanReversion().signals(bars(spark, sf)), bars(spark, sf)))
 _register("monte_carlo", lambda spark, sf: evaluation.monte_carlo(S.MeanReversion().signals(bars(spark, sf)), bars(spark, sf)))
 _register("regime_backtest", lambda spark, sf: evaluation.regime_backtest(_votes(spark, sf), regimes.composite(_regimes(spark, sf)).select("symbol", "ts", F.col("canonical_regime").alias("regime")), bars(spark, sf), {"TREND": ["momentum"], "MEANREV": ["mean_reversion"]}))
-_register("as_of_prices", lambda spark, sf: evaluation.as_of(ticks(spark, sf).select("symbol", (F.col("ts") + F.expr("interval 17 minutes")).alias("ts")).filter(F.minute("ts") < 10), market.event_bars(spark, sf)), f"""WITH {HOURS}, {TICKS}, q AS (SELECT DISTINCT symbol, ts + INTERVAL 17 MINUTE AS ts FROM ticks WHERE minute(ts + INTERVAL 17 MINUTE) < 10)
-SELECT q.symbol, q.ts, b.close FROM q ASOF LEFT JOIN bars b ON b.symbol = q.symbol AND b.ts <= q.ts""", "close")
-_register("as_of_prices_all", lambda spark, sf: evaluation.as_of(ticks(spark, sf).select("symbol", (F.col("ts") + F.expr("interval 17 minutes")).alias("ts")), market.event_bars(spark, sf)), f"""WITH {HOURS}, {TICKS}, q AS (SELECT DISTINCT symbol, ts + INTERVAL 17 MINUTE AS ts FROM ticks)
+_register("as_of_prices", lambda spark, sf: evaluation.as_of(ticks(spark, sf).select("symbol", (F.col("ts") + F.expr("interval 17 minutes")).alias("ts")), market.event_bars(spark, sf)), f"""WITH {HOURS}, {TICKS}, q AS (SELECT DISTINCT symbol, ts + INTERVAL 17 MINUTE AS ts FROM ticks)
 SELECT q.symbol, q.ts, b.close FROM q ASOF LEFT JOIN bars b ON b.symbol = q.symbol AND b.ts <= q.ts""", "close")
 
 

@@ -15,8 +15,7 @@ from tideline.llm import common, exact_dedup, langid, mixing, near_dedup, packin
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model knows; it rejects those without a letter."""
     model = langid.fit(docs.filter(~langid.held_out() & F.col("doc_id").isNotNull()))
-    said = langid.identify(docs, model)
-    return said.filter(F.col("lang_pred") != langid.UNDETERMINED).select(*docs.columns)
+    return langid.recognised(docs, model)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +32,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed(docs)
+    """Pieces with their place in a sequence, and their token ids (little-endian unsigned 32-bit integers)."""
+    return packing.packed(docs, carry_ids=True)
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mix), ("packing", pack)]

@@ -1,10 +1,13 @@
 import os
 import random
+import zlib
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
 from tideline.llm import entry, near_dedup
+from tideline.llm.tokens import encoder
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -35,6 +38,34 @@ def test_stages_on_a_small_corpus(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.groupBy("sequence_id").sum("length").agg({"sum(length)": "max"}).first()[0] <= 1024
     assert {r.doc_id for r in out.select("doc_id").distinct().collect()} <= {*range(10, 120), *range(200, 210)}
+    whole, text = {}, {r[0]: r[1] for r in rows}
+    for r in out.orderBy("doc_id", "sequence_id", "piece").collect():
+        assert zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length
+        whole.setdefault(r.doc_id, []).append(np.frombuffer(bytes(r.ids), "<u4").tolist())
+    for i, parts in whole.items():
+        ids = encoder("byte_bpe_50k.json").tokenizer.encode(text[i], add_special_tokens=False).ids + [2]
+        assert all(p == ids for p in parts) and len(parts) <= 2  # short documents, taken once or twice
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Nulls, repeated rows, ties, clashing names and empty tables: what each stage says it does with them."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, kept boolean, _row string, size int"
+    prose = "the house is near the river and the road to the town goes along it for many miles"
+    rows = [(None, prose, "en", None, 1, 1.5, None, "r", 7), (None, None, None, None, None, None, None, None, None), (5, prose + " once more", "en", "a", 1, 2.5, True, "s", 8), (5, prose + " once more", "en", "a", 1, 2.5, True, "s", 8), (6, "½ ²", "en", "a", 1, 0.0, None, None, 1)]
+    docs = spark.createDataFrame(rows, schema)
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        kept = stage(spark, kept, str(tmp_path))
+        assert kept.columns == docs.columns, name
+        if name == "language_id":
+            assert sorted((r.doc_id or 0, r.score) for r in kept.collect()) == [(0, 1.5), (5, 2.5), (5, 2.5)]
+    assert {r.doc_id for r in kept.collect()} <= {None, 5} and {r.size for r in kept.collect()} <= {7, 8}
+    packed = corpus_pipeline.STAGES[4][1](spark, kept, str(tmp_path))
+    assert packed.count() == kept.count()
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, str(tmp_path))
+        assert empty.count() == 0, name
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
@@ -54,8 +85,17 @@ def test_registered_queries_run(spark):
     comp = {r.doc_id: r.component_id for r in made["op9_near_dedup"].collect()}
     sets = {r.doc_id: set(near_dedup.shingles(r.text).tolist()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     ids = sorted(sets)
+    top = {i: i for i in ids}
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
     for k, i in enumerate(ids):
         for j in ids[:k]:
             common = len(sets[i] & sets[j])
             if common and 100 * common >= 75 * len(sets[i] | sets[j]):
-                assert comp[i] == comp[j]
+                a, b = root(i), root(j)
+                top[max(a, b)] = min(a, b)
+    assert comp == {i: root(i) for i in ids}  # both ways: every link is found, and no other

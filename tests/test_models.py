@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tideline.operators import features, models, statistics
 from tideline.plans import cli, ensemble
-from tideline.sources.store import Config, Store, plain
+from tideline.sources.settings import DEFAULTS, Config
+from tideline.sources.store import Store, plain
 
 
 def events(spark, n=103, spans=5):
@@ -78,17 +79,60 @@ def test_store_round_trip(spark, tmp_path):
 
 def test_config(tmp_path):
     path = os.path.join(tmp_path, "c.yaml")
-    c = Config()
-    c.update({"risk": {"max_drawdown": 0.5, "unknown": 1}, "nothing": {}})
+    with open(path, "w") as f:
+        f.write("strategy:\n  mean_reversion_zscore: 3.0\n  pairs_window: 40\nrisk:\n  stop_loss: 0.07\nlabeling: {pt_sl: [2.0, 1.0]}\n")
+    c = Config.load(path)
+    assert (c["strategy.mean_reversion_zscore"], c["labeling.pt_sl"], c["model.cv_folds"], c.get("risk.stop_loss"), c.get("a.b", 7)) == (3.0, [2.0, 1.0], 5, 0.07, 7)
+    assert c.unread() == ["risk.stop_loss", "strategy.pairs_window"] and c.chosen("labeling.min_ret", 0.0) == 0.0
+    c.update({"labeling": {"min_ret": 0.02}})
+    c["labeling.pt_sl"].append(9)
     c.save(path)
-    assert Config.load(path).risk.max_drawdown == 0.5 and Config.load(path).get("data.bar_type") == "dollar" and c.get("a.b", 7) == 7
+    again = Config.load(path)
+    assert again["labeling.min_ret"] == again.chosen("labeling.min_ret", 0.0) == 0.02 and again.get("strategy.pairs_window") == 40 and set(DEFAULTS) <= set(again.said)
+    assert DEFAULTS["labeling.pt_sl"] == [1.0, 1.0]
+    with pytest.raises(KeyError):
+        c["no.such"]
     assert plain({"x": pd.Series([1, 2])}) == {"x": [1, 2]}
 
 
+def test_settings_reach_the_plans(spark):
+    bars = frame(spark, walk("QQ", 120, 9)).cache()
+    plain_, tight = Config(), Config({"labeling": {"min_ret": 10.0, "vertical_barrier_days": 1, "pt_sl": [50.0, 50.0]}})
+    assert {r.label for r in ensemble.training_table(bars, tight, cusum=False).filter("t0 > '2022-01-10'").collect()} == {0}
+    assert 0 not in {r.label for r in ensemble.training_table(bars, plain_, cusum=False).collect()}
+    assert ensemble.strategy("momentum", Config({"strategy": {"momentum_lookback": 7}})).lookback == 7
+    always = ensemble.detected(bars, Config({"regime": {"adx_threshold": -1.0}})).filter("trend_regime = 'trending'").count()
+    assert always > ensemble.detected(bars).filter("trend_regime = 'trending'").count()
+    preds = spark.createDataFrame([("QQ", "2022-01-03", "momentum", "TREND", 1.0, 0.9, 0.9)], "symbol string, ts string, strategy string, regime string, side double, probability double, meta_probability double")
+    size = lambda c: ensemble.sized(preds, config=c).first().position_size
+    assert size(Config({"allocation": {"max_position_size": 0.05}})) == 0.05 and size(None) > 0.05
+
+
+def test_arms_and_rewards_are_kept(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    outcomes = spark.createDataFrame([("momentum", "TREND", 1.0, 1), ("momentum", "TREND", 0.5, 2), ("volatility", "TREND", 0.0, 3)], "strategy string, regime string, reward double, ts long")
+    assert store.load_arms("A") is None and store.rewards("A") is None
+    first = {r.strategy: r for r in store.update_arms("A", outcomes).collect()}
+    assert first["momentum"].pulls == 2 and first["momentum"].total_reward == 1.5
+    for _ in range(2):
+        last = store.update_arms("A", outcomes)
+    assert {r.strategy: r.pulls for r in last.collect()} == {"momentum": 6, "volatility": 3}
+    assert store.rewards("A").groupBy("update").count().count() == 3 and store.rewards("A").count() == 9
+    store.save_arms("B", last)
+    assert store.load_arms("B").count() == 2
+
+
+def test_ensembles_can_be_deleted(spark, tmp_path):
+    store, model = Store(spark, str(tmp_path)), models.Classifier(["x"], trees=1)
+    rows = spark.createDataFrame([("A", i, float(i % 2), i % 2) for i in range(20)], "symbol string, t0 long, x double, label int")
+    store.save_ensemble("A", {("momentum", "TREND"): {"primary": model.fit(rows)}})
+    assert store.trained_symbols() == ["A"] and set(store.load_ensemble("A")) == {("momentum", "TREND")}
+    assert store.delete_ensemble("A") and store.trained_symbols() == [] and store.load_ensemble("A") is None
+
+
 def test_train_predict_backtest(spark, tmp_path):
     bars, store = frame(spark, walk("QQ", 260, 9)).cache(), Store(spark, str(tmp_path))
-    config = Config()
-    config.update({"model": {"cv_folds": 1}})
+    config = Config({"model": {"cv_folds": 1}})
     out = ensemble.train(bars, "QQ", store, config=config, trees=2, cusum=False, least=90)
     assert out["total_models"] > 0 and all(len(k) == 2 and set(v) == {"primary", "meta"} for k, v in out["regime_models"].items())
     assert store.trained_symbols() == ["QQ"]

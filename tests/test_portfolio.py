@@ -4,7 +4,7 @@ import pytest
 from fixtures import frame, walk
 from pyspark.sql import functions as F
 
-from tideline.operators import bandit, ensemble, evaluation
+from tideline.operators import bandit, ensemble, evaluation, labels
 from tideline.operators.portfolio import Allocator, Execution, Risk
 from tideline.operators.strategies import MeanReversion
 
@@ -120,3 +120,17 @@ def test_as_of(spark):
     prices = spark.createDataFrame([("A", 1, 10.0), ("A", 5, 20.0)], "symbol string, ts int, close double")
     times = spark.createDataFrame([("A", 0), ("A", 1), ("A", 4), ("A", 9), ("B", 3)], "symbol string, ts int")
     assert {(r.symbol, r.ts): r.close for r in evaluation.as_of(times, prices).collect()} == {("A", 0): None, ("A", 1): 10.0, ("A", 4): 10.0, ("A", 9): 20.0, ("B", 3): None}
+
+
+def test_missing_signals_and_allocations_are_no_positions(spark):
+    rows = spark.createDataFrame([(1, "a", 1.0, None, None), (1, "b", None, 0.5, 0.2), (1, "c", -1.0, 0.5, -0.4)], "ts int, asset string, signal double, confidence double, allocation double")
+    size = {r.asset: r.s for r in rows.select("asset", Allocator().size(F.col("signal"), F.col("confidence"), F.lit(0.5)).alias("s")).collect()}
+    assert size == {"a": None, "b": None, "c": -0.1}
+    got = {r.asset: r.allocation for r in Allocator().limited(rows).collect()}
+    assert got == {"a": None, "b": 0.1, "c": -0.1}
+
+
+def test_weights_of_missing_returns_are_missing(spark):
+    rows = spark.createDataFrame([("A", 1, 0.5), ("A", 2, None), ("A", 3, 1.5)], "symbol string, t0 int, ret double")
+    got = {r.t0: r.weight for r in labels.weights_by_return(rows, clip=(0.3, 0.9)).collect()}
+    assert got[2] is None and abs(got[1] + got[3] - 1) < 1e-12

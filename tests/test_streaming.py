@@ -33,6 +33,19 @@ def test_streamed_events_and_bars_equal_batch(spark, tmp_path):
     assert sorted(zip(got.bar_id, got.volume, got.close)) == sorted(zip(want.bar_id, want.volume, want.close)) and len(got)
 
 
+def test_missing_prices_and_volumes_leave_bars_alone(spark, tmp_path):
+    schema = "symbol string, ts timestamp, price double, volume double"
+    t = [pd.Timestamp("2022-01-01") + pd.Timedelta(days=i) for i in range(9)]
+    prices, volumes = [1.0, None, 2.0, 3.0, float("nan"), 4.0, 5.0, 6.0, 7.0], [4.0, 4.0, None, 6.0, 9.0, 10.0, None, 5.0, 5.0]
+    for i in range(3):
+        rows = [("A", t[k].to_pydatetime(), prices[k], volumes[k]) for k in range(3 * i, 3 * i + 3)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    got = run(spark, events.information_bars(stream, "volume", 10), "mv").sort_values("bar_id")
+    assert list(zip(got.open, got.close, got.volume)) == [(1.0, 3.0, 10.0), (4.0, 4.0, 10.0), (5.0, 7.0, 10.0)]
+    assert len(run(spark, events.information_bars(stream, "dollar", 20), "md")) > 1
+
+
 def test_time_bars(spark, tmp_path):
     pdf = walk("A", 40, 12)
     got = run(spark, events.time_bars(source(spark, tmp_path, pdf), "7 days", "1 day"), "tb")

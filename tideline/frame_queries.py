@@ -406,3 +406,92 @@ _FORWARD = f"SELECT symbol || '/' || part AS symbol, ts, close, signal FROM (SEL
 _register("plan_walk_forward", Q._plan("walk_forward"), f"{BARS}, {Q._SIDE}, {_plan_sql(_FORWARD, 10)}", _SUMMARY, "po", _SUMMARY_DOUBLES)
 _CRISES = " UNION ALL ".join(f"SELECT symbol || '/{name}' AS symbol, ts, close, signal FROM ({_PLAN_ROWS}) WHERE ts BETWEEN TIMESTAMP '{a}' AND TIMESTAMP '{b}'" for name, a, b in (("spring", "1995-03-01", "1995-06-30"), ("autumn", "1996-09-01", "1996-12-31")))
 _register("plan_crisis", Q._plan("crisis"), f"{BARS}, {Q._SIDE}, {_plan_sql(_CRISES, 2)}", _SUMMARY, "po", _SUMMARY_DOUBLES)
+
+# Scaling and scores ---------------------------------------------------------------------
+
+_COLUMNS = ("rsi_14", "momentum_20", "atr_14")
+_WHOLE = {
+    "zscore": "({c} - (SELECT avg({c}) FROM few)) / ((SELECT stddev_samp({c}) FROM few) + 1e-10)",
+    "minmax": "({c} - (SELECT min({c}) FROM few)) / ((SELECT max({c}) - min({c}) FROM few) + 1e-10)",
+    "robust": "({c} - (SELECT quantile_disc({c}, 0.5) FROM few)) / ((SELECT quantile_disc({c}, 0.75) - quantile_disc({c}, 0.25) FROM few) + 1e-10)",
+}
+for _method, _expr in _WHOLE.items():
+    _register(f"normalise_frame_{_method}", lambda spark, sf, m=_method: features.normalise(Q._few(spark, sf), m, by=None), f"{BARS}, {Q._FEW}", _KEYS | {c: _expr.format(c=c) for c in _COLUMNS}, "few")
+
+
+def _scored(spark: SparkSession, sf: str) -> DataFrame:
+    return Q._few(spark, sf).join(Q._labelled(spark, sf).withColumnRenamed("t0", "ts"), ["symbol", "ts"])
+
+
+_MI = f"""{BARS}, {Q._TB}, {Q._FEW}, long AS (SELECT label, feature, x FROM (SELECT label, rsi_14, momentum_20, atr_14 FROM few JOIN tb ON tb.symbol = few.symbol AND tb.t0 = few.ts) UNPIVOT (x FOR feature IN (rsi_14, momentum_20, atr_14)) WHERE x IS NOT NULL),
+so AS (SELECT feature, list(x ORDER BY x) AS xs FROM long GROUP BY 1), bo AS (SELECT feature, list_transform(range(1, 10), lambda k: xs[ceil(k * len(xs) / 10.0)::BIGINT]) AS b FROM so),
+bi AS (SELECT long.*, len(list_filter(b, lambda q: q < x)) AS bin FROM long JOIN bo USING (feature)),
+jo AS (SELECT feature, bin, label, count(*) AS n FROM bi GROUP BY 1, 2, 3),
+jt AS (SELECT *, sum(n) OVER (PARTITION BY feature, bin) AS b, sum(n) OVER (PARTITION BY feature, label) AS l, sum(n) OVER (PARTITION BY feature) AS t FROM jo),
+mi AS (SELECT feature, sum(n / t * ln(n * t / (b * l))) AS score FROM jt GROUP BY 1)"""
+_register("mutual_information", lambda spark, sf: features.feature_scores(_scored(spark, sf), "label", _COLUMNS, "mutual_info"), _MI, _plain("feature", "score"), "mi", {"score"})
+
+# Models: forests are not SQL; the queries run what a user calls ---------------------------
+
+
+def _samples(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
+    rows, names = Q._trained(spark, sf)
+    regime = regimes.composite(Q._regimes(spark, sf)).select("symbol", F.col("ts").alias("t0"), F.col("canonical_regime").alias("regime"))
+    return rows.join(regime, ["symbol", "t0"]), names
+
+
+def _by_regime(spark: SparkSession, sf: str) -> DataFrame:
+    """regime, n_samples and classes of a model for each regime."""
+    rows, names = _samples(spark, sf)
+    trained = models.train_by(rows.persist(), "regime", names, cv=1, trees=3, depth=3)
+    return spark.createDataFrame([(k, m["n_samples"], len(model.classes)) for k, (model, m) in trained.items()], "regime string, n_samples long, classes int")
+
+
+def _searched(spark: SparkSession, sf: str) -> DataFrame:
+    """depth and score of the best of two settings."""
+    rows, names = Q._trained(spark, sf)
+    _, said = models.search(rows.persist(), names, grid={"trees": (3,), "depth": (2, 4)}, method="grid", cv=2)
+    return spark.createDataFrame([(said["params"]["depth"], said["score"])], "depth int, score double")
+
+
+def _refitted(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictions of a model of the samples up to a date that was fitted again on all of them."""
+    rows, names = Q._trained(spark, sf)
+    model = models.Classifier(names, trees=3, depth=3).fit(rows.filter("t0 < timestamp_ntz'1996-01-01'"))
+    return models.refit(model, rows).predict(rows).select("symbol", "t0", "label", "prediction")
+
+
+def _meta_frame(spark: SparkSession, sf: str) -> DataFrame:
+    rows, names = Q._trained(spark, sf)
+    primary = models.Classifier(names, trees=3, depth=3).fit(rows).predict(rows).select("symbol", "t0", "prediction", "probability")
+    return labels.meta_features(rows.select("symbol", "t0", *names), primary).drop("primary_proba")
+
+
+def _combined(spark: SparkSession, sf: str) -> DataFrame:
+    rows, names = Q._trained(spark, sf)
+    primary = models.Classifier(names, trees=3, depth=3).fit(rows)
+    right = primary.predict(rows).withColumn("good", (F.col("prediction") * F.col("label") > 0).cast("int")).select(*rows.columns, "good")
+    return labels.combined_predictions(rows, primary, models.Classifier(names, label="good", trees=3, depth=3).fit(right), names)
+
+
+def _walked(spark: SparkSession, sf: str) -> DataFrame:
+    """Backtest of predictions by models of the rows before each of the windows over the series of all orders."""
+    b = Q.bars_all(spark, sf)
+    rows = project(b, {"rsi_14": I.rsi(), "momentum_20": pct(I.CLOSE, 20)}, keep=["symbol", "ts"]).na.drop()
+    rows = rows.join(labels.triple_barrier(b).select("symbol", F.col("t0").alias("ts"), "label"), ["symbol", "ts"])
+    out = evaluation.walk_forward(rows, b, lambda: models.Classifier(["rsi_14", "momentum_20"], trees=2, depth=2), train=500, test=450)
+    return out.select("symbol", "num_periods")
+
+
+def _predicted(spark: SparkSession, sf: str) -> DataFrame:
+    """What an ensemble, trained on the series of all orders, predicts for every bar of it."""
+    from .plans import ensemble
+    from .sources.settings import Config
+
+    b = Q.bars_all(spark, sf)
+    out = ensemble.train(b, "ALL", config=Config({"model": {"cv_folds": 1}}), trees=2)
+    return ensemble.sized(ensemble.predictions(b, out["regime_models"])).select("symbol", "ts", "regime", "signal", "confidence", "position_size", "num_strategies", "num_selected")
+
+
+for _name, _query in {"models_by_regime": _by_regime, "model_search": _searched, "model_refit": _refitted, "meta_feature_frame": _meta_frame, "combined_predictions": _combined, "walk_forward": _walked, "ensemble_predictions": _predicted}.items():
+    Q._register(_name, _query)

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Buckets of a regime's outcomes by time.
+BUCKETS = 128
 ARMS = "strategy string, regime string, alpha double, beta double, pulls int, total_reward double"
 
 
@@ -43,12 +45,19 @@ def replay(outcomes: DataFrame, *, decay: float = 0.995, min_alpha: float = 1.0,
     Outcomes of one ts go by symbol, then strategy.
 
     Decay is geometric, so an outcome's part in the end is its reward times decay
-    to the number of outcomes of the regime from it on: a window and a sum, and
-    no fold.
+    to the number of outcomes of the regime from it on: a sum, and no fold.  A
+    regime's outcomes are counted from the end in buckets of time, of which each is
+    ordered in a task of its own.
     """
     order = [c for c in ("ts", "symbol", "strategy") if c != "symbol" or c in outcomes.columns]
-    later = F.row_number().over(Window.partitionBy("regime").orderBy(*map(F.desc, order)))
-    aged = outcomes.withColumn("_w", F.pow(F.lit(decay), later))
+    timed = outcomes.withColumn("_t", F.col("ts").cast("timestamp").cast("double"))
+    bounds = timed.groupBy("regime").agg(F.approx_percentile("_t", [k / BUCKETS for k in range(1, BUCKETS)], 1000).alias("_b"))
+    timed = timed.join(bounds, "regime").withColumn("_k", F.size(F.filter("_b", lambda b: b < F.col("_t")))).drop("_b")
+    sizes = timed.groupBy("regime", "_k").agg(F.count(F.lit(1)).alias("_n"))
+    after = Window.partitionBy("regime").orderBy(F.desc("_k")).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("regime", "_k", F.coalesce(F.sum("_n").over(after), F.lit(0)).alias("_after"))
+    own = F.row_number().over(Window.partitionBy("regime", "_k").orderBy(*map(F.desc, order)))
+    aged = timed.withColumn("_own", own).join(sizes, ["regime", "_k"]).withColumn("_w", F.pow(F.lit(decay), F.col("_own") + F.col("_after")))
     sums = aged.groupBy("strategy", "regime").agg(F.sum(F.col("reward") * F.col("_w")).alias("_a"), F.sum((1.0 - F.col("reward")) * F.col("_w")).alias("_b"), F.count(F.lit(1)).cast("int").alias("pulls"), F.sum("reward").alias("total_reward"))
     return sums.select("strategy", "regime", (F.col("_a") + min_alpha).alias("alpha"), (F.col("_b") + min_beta).alias("beta"), "pulls", "total_reward")
 

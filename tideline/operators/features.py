@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import indicators as I
-from ..functions.series import EPS, absolute, col, log, lag, mean, pct, project, std, whole
+from ..functions.series import EPS, absolute, log, lag, mean, pct, project, std, whole
 from . import sequential as seq
 
 STATIONARY = ("frac_diff_price",)
 VOLATILITY = ("vol_parkinson", "vol_garman_klass", "vol_rogers_satchell", "vol_yang_zhang", "vol_ewma", "vol_realized")
 MICRO = ("ofi_20", "vpin", "kyle_lambda")
 TECHNICAL = ("rsi_14", "macd", "bb_position", "atr_14", "adx_14", "momentum_20", "volume_ratio", "price_sma_ratio_20", "stoch_k")
+#: Quantiles of a whole frame are off by a share of 1 / ACCURACY of the rows; a task's summary stays bounded by it.
+ACCURACY = 1_000_000
 MATRIX = STATIONARY + VOLATILITY + MICRO + TECHNICAL
 
 
@@ -63,40 +65,54 @@ def feature_matrix(
 
 
 def extended_features(bars: DataFrame, windows: Sequence[int] = (5, 10, 20, 50)) -> DataFrame:
-    """symbol, ts and the extended set, unfilled."""
-    base = bars.columns
-    out = seq.with_folds(bars, {"_fd4": seq.FracDiff("close", seq.frac_diff_weights(0.4)), "_fd6": seq.FracDiff("close", seq.frac_diff_weights(0.6))})
-    out = project(out, {"log_returns": log(I.CLOSE / lag(I.CLOSE))})
-    prefixed = lambda df, prefix: df.select(*(f"`{c}`" for c in have), *(F.col(f"`{c}`").alias(f"{prefix}_{c}") for c in df.columns if c not in have))
-    have = list(out.columns)
-    out = prefixed(seq.volatility_estimates(out), "vol")
-    have = list(out.columns)
-    out = prefixed(seq.with_vpin(project(out, I.micro_features((10, 20)))), "micro")
-    have = list(out.columns)
-    out = prefixed(seq.technical_features(out, tuple(windows)), "tech")
-    more = {"hl_range": (I.HIGH - I.LOW) / I.CLOSE, "oc_range": absolute(I.CLOSE - I.OPEN) / I.OPEN}
+    """symbol, ts and the extended set, unfilled: one window pass, then one pass of folds."""
+    windows, base = tuple(windows), [c for c in bars.columns if c not in ("symbol", "ts")]
+    r = pct(I.CLOSE)
+    wide = {"log_returns": log(I.CLOSE / lag(I.CLOSE)), "hl_range": (I.HIGH - I.LOW) / I.CLOSE, "oc_range": absolute(I.CLOSE - I.OPEN) / I.OPEN}
     for w in windows:
-        more |= {f"returns_{w}": pct(I.CLOSE, w), f"volatility_{w}": std(pct(I.CLOSE), w)}
-    out = project(out, more).drop(*(c for c in base if c not in ("symbol", "ts")))
-    return out.withColumnsRenamed({"_fd4": "frac_diff_0.4", "_fd6": "frac_diff_0.6"})
+        wide |= {f"returns_{w}": pct(I.CLOSE, w), f"volatility_{w}": std(r, w)}
+    for prefix, part in (("vol", I.volatility_features()), ("micro", I.micro_features((10, 20))), ("tech", I.technical(windows))):
+        wide |= {f"{prefix}_{k}": v for k, v in part.items()}
+    inner = {"_r": r, "_tick": I.tick_rule(), "_size": whole(F.sum, I.VOLUME) / 50.0}
+    folds = {"_fd4": seq.FracDiff("close", seq.frac_diff_weights(0.4)), "_fd6": seq.FracDiff("close", seq.frac_diff_weights(0.6)), "vol_ewma": seq.EwmStd("_r", 20), "micro_vpin": seq.Vpin("_tick", "volume", "_size")}
+    out = seq.with_folds(project(bars, wide | inner), folds | seq.technical_folds(windows, "tech_"))
+    out = seq.technical_folded(out.withColumn("vol_ewma", F.col("vol_ewma") * F.sqrt(F.lit(252.0))), windows, "tech_")
+    return out.drop(*base, *inner).withColumnsRenamed({"_fd4": "frac_diff_0.4", "_fd6": "frac_diff_0.6"})
 
 
-def normalise(features: DataFrame, method: str = "zscore", columns: Sequence[str] | None = None) -> DataFrame:
-    """Columns scaled over each symbol's rows: zscore, minmax or robust (median and quartiles)."""
+def normalise(features: DataFrame, method: str = "zscore", columns: Sequence[str] | None = None, *, by: str | None = "symbol") -> DataFrame:
+    """Columns scaled over each symbol's rows, or, if ``by`` is None, over the whole frame: zscore, minmax or robust (median and quartiles).
+
+    Medians and quartiles are exact within groups, and those of the whole frame
+    within a millionth of the rows of their rank.
+    """
     names = list(columns or [c for c, t in features.dtypes if t == "double"])
-    w = Window.partitionBy("symbol")
-    if method == "zscore":
-        scaled = {c: (F.col(c) - F.avg(c).over(w)) / (F.stddev_samp(c).over(w) + EPS) for c in names}
-    elif method == "minmax":
-        scaled = {c: (F.col(c) - F.min(c).over(w)) / (F.max(c).over(w) - F.min(c).over(w) + EPS) for c in names}
-    elif method == "robust":
-        stats = features.groupBy("symbol").agg(*(F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_q_{c}") for c in names))
-        joined = features.join(stats, "symbol")
-        q = lambda c, i: F.col(f"_q_{c}")[i]
-        return joined.select(*((((F.col(c) - q(c, 1)) / (q(c, 2) - q(c, 0) + EPS)).alias(c)) if c in names else F.col(c) for c in features.columns))
-    else:
+    if method not in ("zscore", "minmax", "robust"):
         raise ValueError(f"unknown method: {method}")
-    return features.withColumns(scaled)
+    if by is None:
+        return _normalised_whole(features, method, names)
+    w = Window.partitionBy(by)
+    if method == "zscore":
+        return features.withColumns({c: (F.col(c) - F.avg(c).over(w)) / (F.stddev_samp(c).over(w) + EPS) for c in names})
+    if method == "minmax":
+        return features.withColumns({c: (F.col(c) - F.min(c).over(w)) / (F.max(c).over(w) - F.min(c).over(w) + EPS) for c in names})
+    stats = features.groupBy(by).agg(*(F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_q_{c}") for c in names))
+    joined = features.join(stats, by)
+    q = lambda c, i: F.col(f"_q_{c}")[i]
+    return joined.select(*((((F.col(c) - q(c, 1)) / (q(c, 2) - q(c, 0) + EPS)).alias(c)) if c in names else F.col(c) for c in features.columns))
+
+
+def _normalised_whole(features: DataFrame, method: str, names: list[str]) -> DataFrame:
+    """By one row of statistics, which partial aggregates make, and a projection without any exchange."""
+    three = {"zscore": lambda c: (F.avg(c), F.avg(c), F.stddev_samp(c)), "minmax": lambda c: (F.min(c), F.min(c), F.max(c)), "robust": lambda c: tuple(F.approx_percentile(c, p, ACCURACY) for p in (0.5, 0.25, 0.75))}[method]
+    row = features.agg(*(x.alias(f"{c}_{i}") for c in names for i, x in enumerate(three(c)))).first()
+    lit = lambda x: F.lit(x).cast("double")
+    out = {}
+    for c in names:
+        middle, low, high = (row[f"{c}_{i}"] for i in range(3))
+        spread = lit(high) if method == "zscore" else lit(high) - lit(low)
+        out[c] = (F.col(c) - lit(middle)) / (spread + EPS)
+    return features.withColumns(out)
 
 
 def feature_scores(features: DataFrame, label: str, columns: Sequence[str], method: str = "f_classif", bins: int = 10, seed: int = 42) -> DataFrame:
@@ -113,7 +129,9 @@ def feature_scores(features: DataFrame, label: str, columns: Sequence[str], meth
         between = F.col("mm") - F.col("N") * F.col("M") * F.col("M")
         return sums.select("feature", F.try_divide(between / (F.col("k") - 1), F.col("within") / (F.col("N") - F.col("k"))).alias("score"))
     if method == "mutual_info":
-        binned = long.withColumn("bin", F.ntile(bins).over(Window.partitionBy("feature").orderBy("x")))
+        # bounds of each feature's bins in one row; a value's bin is the number of bounds below it
+        bounds = long.groupBy("feature").agg(F.approx_percentile("x", [k / bins for k in range(1, bins)], ACCURACY).alias("_b"))
+        binned = long.join(F.broadcast(bounds), "feature").withColumn("bin", F.size(F.filter("_b", lambda b: b < F.col("x"))))  # a row a feature
         joint = binned.groupBy("feature", "bin", "label").agg(F.count(F.lit(1)).alias("n"))
         joint = joint.withColumns({"b": F.sum("n").over(Window.partitionBy("feature", "bin")), "l": F.sum("n").over(Window.partitionBy("feature", "label")), "_total": F.sum("n").over(Window.partitionBy("feature"))})
         return joint.groupBy("feature").agg(F.sum(F.col("n") / F.col("_total") * F.log(F.col("n") * F.col("_total") / (F.col("b") * F.col("l")))).alias("score"))

@@ -126,7 +126,7 @@ def weights_by_return(events: DataFrame, clip: tuple[float, float] | None = None
     """events with weight: the return's size as a share of all, clipped and normalised again if asked for."""
     out = events.withColumn("weight", _normalised(F.abs("ret")))
     if clip:
-        out = out.withColumn("weight", F.least(F.greatest("weight", F.lit(clip[0])), F.lit(clip[1]))).withColumn("weight", _normalised(F.col("weight")))
+        out = out.withColumn("weight", F.when(F.col("weight").isNotNull(), F.least(F.greatest("weight", F.lit(clip[0])), F.lit(clip[1])))).withColumn("weight", _normalised(F.col("weight")))
     return out
 
 

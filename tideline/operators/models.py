@@ -129,15 +129,18 @@ def cross_validate(rows: DataFrame, make: Callable[[], Classifier], *, n_splits:
     """scores of each purged fold, their mean, population std, and the folds' sizes; rows have symbol, t0 and possibly t1."""
     keys = ["symbol", "t0"]
     splits = purged_splits(rows.select(*keys, *(["t1"] if "t1" in rows.columns else [])), n_splits, embargo)
+    # the split table once, a row for each row's role in each fold; its blocks can be made again from the plan
+    split = rows.join(splits, keys).persist()
+    counts = {(r["fold"], r["role"]): r["count"] for r in split.groupBy("fold", "role").count().collect()}
     found, sizes = [], []
     for fold in range(n_splits):
-        part = lambda role: rows.join(splits.filter((F.col("fold") == fold) & (F.col("role") == role)).select(*keys), keys, "left_semi")  # noqa: E731, B023
-        train, test = part("train"), part("test")
-        n_train, n_test = train.count(), test.count()
+        n_train, n_test = (counts.get((fold, role), 0) for role in ("train", "test"))
         if not n_train or not n_test:
             continue
-        found.append(scores(make().fit(train).predict(test), label)[metric])
+        part = lambda role: split.filter((F.col("fold") == fold) & (F.col("role") == role)).drop("fold", "role")  # noqa: E731, B023
+        found.append(scores(make().fit(part("train")).predict(part("test")), label)[metric])
         sizes.append((n_train, n_test))
+    split.unpersist()
     mean = sum(found) / len(found) if found else 0.0
     return {"scores": found, "mean": mean, "std": (sum((x - mean) ** 2 for x in found) / len(found)) ** 0.5 if found else 0.0, "sizes": sizes}
 
@@ -151,13 +154,13 @@ def train_primary(rows: DataFrame, features: Sequence[str], *, kind: str = "rf",
     return model, {"cv_mean": found["mean"], "cv_std": found["std"], "cv_scores": found["scores"], "n_samples": rows.count(), "importances": model.importances()}
 
 
-def train_meta(rows: DataFrame, features: Sequence[str], *, seed: int = 42, **how) -> tuple[Classifier, dict]:
-    """A small forest on 80% of the rows by hash of the key; metrics on the rest."""
-    test = F.pmod(F.xxhash64(F.lit(seed), "symbol", "t0"), F.lit(5)) == 0
-    train, held = rows.filter(~test), rows.filter(test)
+def train_meta(rows: DataFrame, features: Sequence[str], *, held: float = 0.2, seed: int = 42, **how) -> tuple[Classifier, dict]:
+    """A small forest on all but the share ``held`` of the rows, by hash of the key; metrics on that share."""
+    test = F.pmod(F.xxhash64(F.lit(seed), "symbol", "t0"), F.lit(10_000)) < round(held * 10_000)
+    train, other = rows.filter(~test), rows.filter(test)
     model = Classifier(features, kind="rf", seed=seed, **{"trees": 50, "depth": 3, "least": 100, **how}).fit(train)
-    n, m = train.count(), held.count()
-    return model, {"train_size": n, "test_size": m, **(scores(model.predict(held)) if m else {})}
+    n, m = train.count(), other.count()
+    return model, {"train_size": n, "test_size": m, **(scores(model.predict(other)) if m else {})}
 
 
 def train_by(rows: DataFrame, group: str, features: Sequence[str], *, least: int = 100, cv: int = 3, **how) -> dict[str, tuple[Classifier, dict]]:

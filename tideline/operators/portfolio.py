@@ -15,6 +15,11 @@ def kelly(win_rate: Column, avg_win: Column, avg_loss: Column) -> Column:
     return F.when(avg_loss > 0, F.greatest(F.lit(0.0), F.try_divide(win_rate * avg_win - (1.0 - win_rate) * avg_loss, avg_win))).otherwise(0.0)
 
 
+def _within(x: Column, low: float, high: float) -> Column:
+    """Between the two; NULL stays NULL, which least() and greatest() pass over."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
+
+
 @dataclass
 class Allocator:
     max_position: float = 0.1
@@ -26,12 +31,15 @@ class Allocator:
         return F.when(volatility > 0, F.least(F.lit(self.volatility_target) / volatility, F.lit(self.leverage_limit))).otherwise(0.0)
 
     def size(self, signal: Column, confidence: Column, volatility: Column, win_rate: Column | None = None, avg_win: Column | None = None, avg_loss: Column | None = None) -> Column:
-        """The signal's direction times the least of strength, Kelly and volatility sizes, within the limit."""
+        """The signal's direction times the least of strength, Kelly and volatility sizes, within the limit.
+
+        Without a signal or a confidence there is no size: NULL.
+        """
         base = F.abs(signal) * confidence
         sizes = [base, self.volatility_size(volatility)]
         if win_rate is not None and avg_win is not None and avg_loss is not None:
             sizes.append(F.coalesce(kelly(win_rate, avg_win, avg_loss) * self.kelly_fraction, base))
-        return F.signum(signal) * F.least(F.greatest(F.least(*sizes), F.lit(0.0)), F.lit(self.max_position))
+        return F.signum(signal) * _within(F.when(base.isNotNull(), F.least(*sizes)), 0.0, self.max_position)
 
     def allocate(self, assets: DataFrame, method: str = "risk_parity", by: tuple[str, ...] = ("ts",)) -> DataFrame:
         """assets (asset, signal, and volatility or confidence) with allocation; an asset without a volatility gets 0."""
@@ -52,11 +60,11 @@ class Allocator:
     def limited(self, targets: DataFrame, current: DataFrame | None = None, max_turnover: float = 0.5, by: tuple[str, ...] = ("ts",)) -> DataFrame:
         """by, asset, allocation within limits of position, leverage and turnover, in this order.
 
-        Assets that are only held count for turnover and aren't traded.
+        Assets that are only held count for turnover and aren't traded.  A NULL
+        allocation stays NULL and is no part of the gross; beside ``current`` it is 0.
         """
         w = Window.partitionBy(*by)
-        cap = F.lit(self.max_position)
-        out = targets.select(*by, "asset", F.least(F.greatest("allocation", -cap), cap).alias("allocation"))
+        out = targets.select(*by, "asset", _within(F.col("allocation"), -self.max_position, self.max_position).alias("allocation"))
         gross = F.sum(F.abs("allocation")).over(w)
         out = out.withColumn("_g", gross).withColumn("allocation", F.col("allocation") * F.when(F.col("_g") > self.leverage_limit, F.lit(self.leverage_limit) / F.col("_g")).otherwise(1.0)).drop("_g")
         if current is None:

@@ -272,11 +272,32 @@ def with_ema(df: DataFrame, column: str, span: float, name: str) -> DataFrame:
     return with_folds(df, {name: EwmMean(column, span)})
 
 
+class Macd(Fold):
+    """Difference of two exponential means, and the exponential mean of it, in one go."""
+
+    type = "struct<macd:double,signal:double>"
+
+    def __init__(self, column: str = "close", fast: int = 12, slow: int = 26, signal: int = 9) -> None:
+        self.inputs = (column,)
+        self.parts = (EwmMean(column, fast), EwmMean(column, slow), EwmMean("macd", signal))
+
+    def state(self):
+        return [p.state() for p in self.parts]
+
+    def step(self, state, xs):
+        fast, slow = (p.step(s, xs) for p, s in zip(self.parts[:2], state))
+        lines = [None if a is None or b is None else a - b for a, b in zip(fast, slow)]
+        return [{"macd": m, "signal": s} for m, s in zip(lines, self.parts[2].step(state[2], lines))]
+
+
+def _macd_columns(line: str, prefix: str = "") -> dict:
+    m, s = F.col(f"{line}.macd"), F.col(f"{line}.signal")
+    return {f"{prefix}macd": m, f"{prefix}macd_signal": s, f"{prefix}macd_histogram": m - s}
+
+
 def macd(df: DataFrame, column: str = "close", fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    """df with macd, macd_signal and macd_histogram."""
-    both = with_folds(df, {"_fast": EwmMean(column, fast), "_slow": EwmMean(column, slow)}).withColumn("macd", F.col("_fast") - F.col("_slow"))
-    lined = with_folds(both.drop("_fast", "_slow"), {"macd_signal": EwmMean("macd", signal)})
-    return lined.withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))
+    """df with macd, macd_signal and macd_histogram, in one pass."""
+    return with_folds(df, {"_line": Macd(column, fast, slow, signal)}).withColumns(_macd_columns("_line")).drop("_line")
 
 
 def ema_slope(df: DataFrame, column: str = "close", span: int = 50, lookback: int = 5) -> DataFrame:
@@ -293,12 +314,20 @@ def ewma_volatility(df: DataFrame, span: int = 20, year: int = 252, name: str =
     return daily_volatility(df, span, name).withColumn(name, F.col(name) * math.sqrt(year))
 
 
+def technical_folds(windows: tuple[int, ...] = (5, 10, 20, 50), prefix: str = "") -> dict[str, Fold]:
+    """Folds of the technical set over bars with its window part; see technical_folded()."""
+    return {f"{prefix}ema_{w}": EwmMean("close", w) for w in windows} | {f"{prefix}obv_ema": EwmMean(f"{prefix}obv", 20), f"_{prefix}line": Macd("close")}
+
+
+def technical_folded(df: DataFrame, windows: tuple[int, ...] = (5, 10, 20, 50), prefix: str = "") -> DataFrame:
+    """df, with the columns of technical_folds(), and those that follow from them in a row."""
+    out = df.withColumns(_macd_columns(f"_{prefix}line", prefix)).drop(f"_{prefix}line")
+    return project(out, {f"{prefix}price_ema_ratio_{w}": I.CLOSE / col(f"{prefix}ema_{w}") for w in windows})
+
+
 def technical_features(df: DataFrame, windows: tuple[int, ...] = (5, 10, 20, 50)) -> DataFrame:
-    """The full technical set, in columns after df's."""
-    out = project(df, I.technical(windows))
-    out = with_folds(out, {f"ema_{w}": EwmMean("close", w) for w in windows} | {"obv_ema": EwmMean("obv", 20)})
-    out = project(out, {f"price_ema_ratio_{w}": I.CLOSE / col(f"ema_{w}") for w in windows})
-    return macd(out)
+    """The full technical set, in columns after df's: one window pass and one pass of folds."""
+    return technical_folded(with_folds(project(df, I.technical(windows)), technical_folds(windows)), windows)
 
 
 def volatility_estimates(df: DataFrame, window: int = 20) -> DataFrame:

@@ -9,7 +9,8 @@ import sys
 from pyspark.sql import SparkSession
 
 from ..sources import market
-from ..sources.store import Config, Store, plain
+from ..sources.settings import Config
+from ..sources.store import Store, plain
 from . import ensemble
 
 
@@ -21,9 +22,9 @@ def parser() -> argparse.ArgumentParser:
     top.add_argument("--config", help="YAML file")
     of = top.add_subparsers(dest="command", required=True)
     train = of.add_parser("train", help="train the ensemble of a symbol")
-    train.add_argument("symbol")
-    train.add_argument("start")
-    train.add_argument("end")
+    train.add_argument("symbol", nargs="?", help="by default the configuration's, one after the other")
+    train.add_argument("start", nargs="?")
+    train.add_argument("end", nargs="?")
     train.add_argument("--trees", type=int)
     predict = of.add_parser("predict", help="predict as of a date")
     predict.add_argument("symbol")
@@ -46,22 +47,27 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if not args.bars:
         print("--bars is needed", file=sys.stderr)
         return 2
-    symbol = args.symbol.upper() if args.symbol.isalpha() else args.symbol
+    config = Config.load(args.config) if args.config else Config()
+    named = [args.symbol] if args.symbol else config["data.symbols"]
+    symbols = [s.upper() if s.isalpha() else s for s in named]
+    symbol = symbols[0]
     try:
         if args.command == "train":
-            bars = market.read_bars(spark, args.bars, format=args.format, symbols=symbol, start=args.start, end=args.end)
-            out = ensemble.train(bars, symbol, store, config=Config.load(args.config) if args.config else None, trees=args.trees)
-            print(json.dumps(plain({"symbol": symbol, "total_models": out["total_models"], "metrics": {"/".join(k): v for k, v in out["regime_metrics"].items()}}), indent=1))
+            start, end = args.start or config["data.start_date"], args.end or config["data.end_date"]
+            for symbol in symbols:
+                bars = market.read_bars(spark, args.bars, format=args.format, symbols=symbol, start=start, end=end)
+                out = ensemble.train(bars, symbol, store, config=config, trees=args.trees)
+                print(json.dumps(plain({"symbol": symbol, "total_models": out["total_models"], "metrics": {"/".join(k): v for k, v in out["regime_metrics"].items()}}), indent=1))
         elif args.command == "predict":
             bars = market.read_bars(spark, args.bars, format=args.format, symbols=symbol)
-            print(json.dumps(plain(ensemble.predict(bars, symbol, store, args.date)), indent=1))
+            print(json.dumps(plain(ensemble.predict(bars, symbol, store, args.date, config=config)), indent=1))
         else:
             bars = market.read_bars(spark, args.bars, format=args.format, symbols=symbol, start=args.start)
             trained = store.load_ensemble(symbol)
             if not trained:
                 print(f"{symbol} isn't trained", file=sys.stderr)
                 return 1
-            signals = ensemble.sized(ensemble.predictions(bars, trained)).select("symbol", "ts", "signal")
+            signals = ensemble.sized(ensemble.predictions(bars, trained, config), config=config).select("symbol", "ts", "signal")
             print(ensemble.report(ensemble.backtest(bars, signals, args.mode)))
     except ValueError as e:
         print(e, file=sys.stderr)

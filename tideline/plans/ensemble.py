@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..operators import bandit, ensemble, evaluation, labels, models, regimes, strategies
 from ..operators.portfolio import Allocator
 from ..sources import market
-from ..sources.store import Config, Store
+from ..sources.settings import Config
+from ..sources.store import Store
 
 #: The strategies that are trained, by name.
 TRAINED: dict[str, type[strategies.Strategy]] = {"momentum": strategies.Momentum, "mean_reversion": strategies.MeanReversion, "volatility": strategies.Volatility}
@@ -21,17 +22,35 @@ CRISES = (("2020 crash", "2020-02-01", "2020-04-30"), ("2022 bear market", "2022
 
 
 def training_table(bars: DataFrame, config: Config | None = None, *, cusum: bool = True) -> DataFrame:
-    """symbol, t0, t1, ret, label, regime, weight of the events: one lazy plan from bars to samples."""
+    """symbol, t0, t1, ret, label, regime, weight of the events: one lazy plan from bars to samples.
+
+    A return at the time barrier counts whatever its size, unless the configuration
+    says labeling.min_ret.
+    """
     config = config or Config()
     clean, events = market.prepare(bars, cusum=cusum)
-    pt, sl = config.labeling.pt_sl
-    labelled = labels.triple_barrier(clean, events, pt=pt, sl=sl, horizon=config.labeling.vertical_barrier_days)
-    regime = regimes.composite(regimes.detect(clean)).select("symbol", F.col("ts").alias("t0"), F.col("canonical_regime").alias("regime"))
+    pt, sl = config["labeling.pt_sl"]
+    labelled = labels.triple_barrier(clean, events, pt=pt, sl=sl, min_ret=config.chosen("labeling.min_ret", 0.0), horizon=config["labeling.vertical_barrier_days"])
+    regime = regimes.composite(detected(clean, config)).select("symbol", F.col("ts").alias("t0"), F.col("canonical_regime").alias("regime"))
     return labels.weights_by_return(labelled.join(regime, ["symbol", "t0"]))
 
 
-def strategy_features(bars: DataFrame, name: str) -> DataFrame:
-    return TRAINED[name]().feature_frame(bars)
+def detected(bars: DataFrame, config: Config | None = None) -> DataFrame:
+    """Regimes of bars by the configuration's periods and thresholds."""
+    config = config or Config()
+    return regimes.detect(bars, detectors={"trend_regime": regimes.trend(config["regime.adx_period"], config["regime.adx_threshold"]), "volume_regime": regimes.volume(config["regime.volume_window"])})
+
+
+def strategy(name: str, config: Config | None = None) -> strategies.Strategy:
+    """One of TRAINED by the configuration's lookbacks and thresholds."""
+    config = config or Config()
+    how = {"momentum": ("lookback", "momentum_lookback"), "mean_reversion": ("zscore_threshold", "mean_reversion_zscore"), "volatility": ("vol_threshold", "volatility_threshold")}
+    argument, setting = how[name]
+    return TRAINED[name](**{argument: config[f"strategy.{setting}"]})
+
+
+def strategy_features(bars: DataFrame, name: str, config: Config | None = None) -> DataFrame:
+    return strategy(name, config).feature_frame(bars)
 
 
 def train(bars: DataFrame, symbol: str, store: Store | None = None, *, config: Config | None = None, least: int = LEAST_SAMPLES, cusum: bool = True, trees: int | None = None) -> dict:
@@ -45,18 +64,18 @@ def train(bars: DataFrame, symbol: str, store: Store | None = None, *, config: C
     counts = {r["regime"]: r["count"] for r in samples.groupBy("regime").count().collect()}
     found: dict[tuple[str, str], dict] = {}
     said: dict[tuple[str, str], dict] = {}
-    how = {"trees": trees} if trees else {"trees": config.model.n_estimators, "depth": config.model.max_depth}
+    how = {"trees": trees} if trees else {"trees": config["model.n_estimators"], "depth": config["model.max_depth"]}
     for name in TRAINED:
-        feats = strategy_features(bars, name)
+        feats = strategy_features(bars, name, config)
         columns = [c for c in feats.columns if c not in ("symbol", "ts")]
         rows = samples.join(feats.withColumnRenamed("ts", "t0"), ["symbol", "t0"]).persist()
         for regime, n in sorted(counts.items()):
             if n < least:
                 continue
             own = rows.filter(F.col("regime") == regime)
-            primary, metrics = models.train_primary(own, columns, cv=min(config.model.cv_folds, n // 10), weight="weight", **how)
+            primary, metrics = models.train_primary(own, columns, cv=min(config["model.cv_folds"], n // 10), weight="weight", **how)
             right = primary.predict(own).withColumn("meta_label", (F.col("prediction") * F.col("label") > 0).cast("int")).select(*own.columns, "meta_label")
-            meta, meta_metrics = models.train_meta(right.drop("label").withColumnRenamed("meta_label", "label"), columns, **({"trees": trees} if trees else {}))
+            meta, meta_metrics = models.train_meta(right.drop("label").withColumnRenamed("meta_label", "label"), columns, held=config["model.test_size"], **({"trees": trees} if trees else {}))
             found[name, regime] = {"primary": primary, "meta": meta}
             said[name, regime] = {"primary": metrics, "meta": meta_metrics, "n_samples": n}
         rows.unpersist()
@@ -66,15 +85,15 @@ def train(bars: DataFrame, symbol: str, store: Store | None = None, *, config: C
     return {"symbol": symbol, "regime_models": found, "regime_metrics": said, "total_models": len(found)}
 
 
-def predictions(bars: DataFrame, trained: Mapping[tuple[str, str], Mapping[str, models.Classifier]]) -> DataFrame:
+def predictions(bars: DataFrame, trained: Mapping[tuple[str, str], Mapping[str, models.Classifier]], config: Config | None = None) -> DataFrame:
     """symbol, ts, strategy, regime, side, probability, meta_probability of every bar, by the models of its regime.
 
     All dates are one batch: a transform of each model over the bars of its regime.
     """
-    regime = regimes.composite(regimes.detect(bars)).select("symbol", "ts", F.col("canonical_regime").alias("regime"))
+    regime = regimes.composite(detected(bars, config)).select("symbol", "ts", F.col("canonical_regime").alias("regime"))
     out = None
     for name in sorted({k[0] for k in trained}):
-        feats = strategy_features(bars, name).join(regime, ["symbol", "ts"])
+        feats = strategy_features(bars, name, config).join(regime, ["symbol", "ts"])
         for (strategy, label), roles in sorted(trained.items()):
             if strategy != name:
                 continue
@@ -92,18 +111,23 @@ def predictions(bars: DataFrame, trained: Mapping[tuple[str, str], Mapping[str,
     return out
 
 
-def sized(preds: DataFrame, arms: DataFrame | None = None, *, volatility: float = 0.02, n: int = 3, seed: int = 42, max_position: float = 1.0) -> DataFrame:
-    """symbol, ts, regime, signal, confidence, position_size, active_strategies, strategy_votes, num_strategies, num_selected."""
+def sized(preds: DataFrame, arms: DataFrame | None = None, *, volatility: float = 0.02, n: int = 3, seed: int = 42, config: Config | None = None) -> DataFrame:
+    """symbol, ts, regime, signal, confidence, position_size, active_strategies, strategy_votes, num_strategies, num_selected.
+
+    A position may be all of the account, unless the configuration says allocation.max_position_size.
+    """
+    config = config or Config()
+    allocator = Allocator(max_position=config.chosen("allocation.max_position_size", 1.0), kelly_fraction=config["allocation.kelly_fraction"], volatility_target=config["allocation.volatility_target"], leverage_limit=config["allocation.leverage_limit"])
     chosen = bandit.select(preds, arms, n=n, seed=seed) if arms is not None else preds
     agreed = ensemble.conflict_aware(chosen)
     votes = preds.groupBy("symbol", "ts").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("strategy", "side")))).alias("strategy_votes"), F.count(F.lit(1)).alias("num_strategies"))
     active = chosen.groupBy("symbol", "ts").agg(F.sort_array(F.collect_list("strategy")).alias("active_strategies"), F.count(F.lit(1)).alias("num_selected"))
-    size = Allocator(max_position=max_position).size(F.col("side"), F.col("meta_probability"), F.lit(volatility))
+    size = allocator.size(F.col("side"), F.col("meta_probability"), F.lit(volatility))
     out = agreed.join(votes, ["symbol", "ts"]).join(active, ["symbol", "ts"])
     return out.select("symbol", "ts", "regime", F.col("side").alias("signal"), F.col("meta_probability").alias("confidence"), size.alias("position_size"), "active_strategies", "strategy_votes", "num_strategies", "num_selected")
 
 
-def predict(bars: DataFrame, symbol: str, store: Store, as_of: str | None = None, *, window_days: int = WINDOW_DAYS, volatility: float = 0.02, seed: int = 42) -> dict:
+def predict(bars: DataFrame, symbol: str, store: Store, as_of: str | None = None, *, window_days: int = WINDOW_DAYS, volatility: float = 0.02, seed: int = 42, config: Config | None = None) -> dict:
     """The last bar's prediction as a dict; ValueError without models, or without any for the regime."""
     own = bars.filter(F.col("symbol") == symbol)
     if as_of is not None:
@@ -112,14 +136,14 @@ def predict(bars: DataFrame, symbol: str, store: Store, as_of: str | None = None
     trained = store.load_ensemble(symbol)
     if not trained:
         raise ValueError(f"{symbol} isn't trained")
-    last = regimes.current_regime(own).first()
+    last = market.latest(regimes.composite(detected(own, config))).select("ts", F.col("canonical_regime").alias("regime")).first()
     if last is None:
         raise ValueError(f"no bars of {symbol}")
     of = {k: v for k, v in trained.items() if k[1] == last["regime"]}
     if not of:
         raise ValueError(f"no models for the regime {last['regime']}")
-    preds = predictions(own, of).filter(F.col("ts") == F.lit(last["ts"]))
-    row = sized(preds, store.load_arms(symbol), volatility=volatility, seed=seed).first()
+    preds = predictions(own, of, config).filter(F.col("ts") == F.lit(last["ts"]))
+    row = sized(preds, store.load_arms(symbol), volatility=volatility, seed=seed, config=config).first()
     if row is None:
         raise ValueError("no strategy predicts")
     out = row.asDict(recursive=True)

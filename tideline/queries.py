@@ -147,7 +147,6 @@ _EWS = f"""{RETURNS}, n AS (SELECT symbol, ts, returns, row_number() OVER ({W})
  FROM (SELECT a.symbol, a.ts, pow(1 - 2.0::DOUBLE / 101, a.i - b.i) AS w, b.returns AS x FROM n a JOIN n b ON b.symbol = a.symbol AND b.i <= a.i AND b.returns IS NOT NULL) a GROUP BY 1, 2),
 v AS (SELECT symbol, ts, CASE WHEN c > 1 THEN sqrt(list_sum(list_transform(l, lambda q: q.w * (q.x - mu) * (q.x - mu))) / (sw - sw2 / sw)) END AS daily_vol FROM m)"""
 _register("ewm_volatility", lambda spark, sf: seq.daily_volatility(bars_all(spark, sf)).select("symbol", "ts", "daily_vol"), f"WITH {BARS_ALL}, {_EWS}\nSELECT bars.symbol, bars.ts, v.daily_vol FROM bars LEFT JOIN v USING (symbol, ts)", "daily_vol")
-_register("technical_features", lambda spark, sf: seq.technical_features(bars(spark, sf)))
 
 # Volatility ---------------------------------------------------------------------------
 
@@ -185,7 +184,6 @@ _series("tick_features", I.tick_features, f"WITH {BARS}, {_TICK}, u AS (SELECT *
 _series("price_impact", lambda: {k: v for k, v in I.impact_features().items() if not k.startswith("kyle")}, f"WITH {BARS}, p AS (SELECT *, abs({_pct('close')}) AS ar, close * volume AS dv FROM bars)\nSELECT symbol, ts, " + ", ".join(f"{_r('avg', 'ar', w)} / ({_r('avg', 'dv', w)} + 1e-10) AS impact_per_dollar_{w}, {_r('avg', 'ar', w)} / ({_r('avg', 'volume', w)} + 1e-10) AS impact_per_volume_{w}" for w in (5, 10, 20)) + " FROM p")
 _series("liquidity", lambda: {k: v for k, v in I.liquidity_features().items() if k[:3] in ("rel", "ami", "vol")}, f"WITH {BARS}, p AS (SELECT *, (high - low) / close AS sp, abs({_pct('close')}) / (close * volume + 1e-10) AS il FROM bars)\nSELECT symbol, ts, " + ", ".join(f"{_r('avg', 'il', w)} AS amihud_{w}, {_r('avg', 'sp', w)} AS rel_spread_{w}, {_r('stddev_samp', 'volume', w)} AS volume_vol_{w}" for w in (10, 20, 50)) + " FROM p")
 _series("ofi_features", I.ofi_features, f"WITH {BARS}, {_TICK}, f AS (SELECT symbol, ts, " + ", ".join(f"{_r('sum', 'flow', w)} AS ofi_{w}" for w in (5, 10, 20, 50)) + " FROM sv)\nSELECT symbol, ts, " + ", ".join(f"ofi_{w}, ofi_{w} / ({_r('stddev_samp', f'ofi_{w}', 2 * w)} + 1e-10) AS ofi_norm_{w}, ofi_{w} - {_lag(f'ofi_{w}')} AS ofi_change_{w}" for w in (5, 10, 20, 50)) + " FROM f")
-_register("micro_features", lambda spark, sf: project(bars(spark, sf), I.micro_features(), keep=["symbol", "ts"]))
 
 
 def _vpin_ticks(spark: SparkSession, sf: str) -> DataFrame:
@@ -271,7 +269,6 @@ SELECT symbol, concat_ws('_', trend_regime, vol_regime, volume_regime, micro_reg
 _RUNS = ", ".join(f"c_{c} AS (SELECT *, sum(CASE WHEN {c} IS DISTINCT FROM p_{c} THEN 1 ELSE 0 END) OVER ({W} ROWS UNBOUNDED PRECEDING) AS g_{c} FROM (SELECT *, {_lag(c)} AS p_{c} FROM {src})), n_{c} AS (SELECT *, row_number() OVER (PARTITION BY symbol, g_{c} ORDER BY ts) AS n_{c} FROM c_{c})" for c, src in (("trend_regime", "reg"), ("vol_regime", "n_trend_regime")))
 _register("stable_periods", lambda spark, sf: regimes.stable_periods(_regimes(spark, sf), ("trend_regime", "vol_regime"), 5), f"WITH {BARS}, {_REG}, {_RUNS}\nSELECT symbol, ts, trend_regime, vol_regime, least(n_trend_regime, n_vol_regime)::INT AS min_duration FROM n_vol_regime WHERE least(n_trend_regime, n_vol_regime) >= 5")
 _register("market_breadth", lambda spark, sf: regimes.breadth(project(bars(spark, sf), {"returns": pct(I.CLOSE)}, keep=["symbol", "ts"])), f"WITH {BARS}, {RETURNS}\nSELECT ts, sum(CASE WHEN returns > 0 THEN 1 ELSE 0 END) / (SELECT count(DISTINCT symbol) FROM r)::DOUBLE AS breadth FROM r GROUP BY 1", "breadth")
-_register("regime_smoothed", lambda spark, sf: regimes.smoothed(regimes.regime_matrix(_regimes(spark, sf)), "vol_regime").select("symbol", "ts", "smoothed"))
 
 # Labels and weights -------------------------------------------------------------------
 
@@ -286,7 +283,6 @@ hit AS (SELECT symbol, t0, count(*) AS n, arg_max(ts, k) AS lt, arg_max(x, k) AS
 w AS (SELECT *, CASE WHEN d IS NOT NULL AND (u IS NULL OR d <= u) THEN d ELSE u END AS at FROM hit WHERE n > 1),
 tb AS (SELECT w.symbol, w.t0, coalesce(pa.ts, lt) AS t1, coalesce(pa.x, lx) AS ret, (CASE WHEN d IS NOT NULL AND (u IS NULL OR d <= u) THEN -1 WHEN u IS NOT NULL THEN 1 WHEN abs(lx) < 0.01 THEN 0 WHEN lx > 0 THEN 1 ELSE -1 END)::INT AS label FROM w LEFT JOIN pa ON pa.symbol = w.symbol AND pa.t0 = w.t0 AND pa.k = w.at)"""
 _register("triple_barrier", _labelled, f"WITH {BARS}, {_TB}\nSELECT symbol, t0, t1, ret, label FROM tb", "ret")
-_register("triple_barrier_ewm", lambda spark, sf: labels.triple_barrier(bars_all(spark, sf), seq.cusum_events(bars_all(spark, sf), 0.5)))
 _register("drop_rare_labels", lambda spark, sf: labels.drop_rare_labels(_labelled(spark, sf), 0.3), f"WITH {BARS}, {_TB}, s AS (SELECT *, count(*) OVER (PARTITION BY symbol, label) / count(*) OVER (PARTITION BY symbol)::DOUBLE AS sh FROM tb)\nSELECT symbol, t0, t1, ret, label FROM s WHERE sh >= 0.3", "ret")
 
 
@@ -367,18 +363,12 @@ def I_corr(n: int):
 _series("momentum_features", lambda: {k: v for k, v in S.Momentum().features().items() if k != "ma_cross"}, f"WITH {BARS}, x AS (SELECT *, CASE WHEN {_pct('close')} > 0 THEN 1.0 WHEN {_pct('close')} <= 0 THEN 0.0 END AS up FROM bars)\nSELECT symbol, ts, " + ", ".join(f"{_pct('close', n)} AS momentum_{n}" for n in (5, 10, 20, 50)) + f", (close - {_lag('close', 20)}) / {_lag('close', 20)} AS roc_20, {_r('avg', 'close', 20)} AS sma_20, {_r('avg', 'close', 50)} AS sma_50, close / {_r('avg', 'close', 20)} AS price_sma_ratio, abs({_pct('close', 20)}) AS momentum_strength, {_r('avg', 'up', 20)} AS trend_consistency, {_pct('volume', 20)} AS volume_trend FROM x")
 _series("momentum_strength", lambda: {"strength": S.Momentum().strength()}, f"WITH {BARS}, m AS (SELECT *, abs({_pct('close', 20)}) AS m FROM bars), x AS (SELECT symbol, ts, m / ({_r('max', 'm', 50)} + 1e-10) AS s FROM m)\nSELECT symbol, ts, CASE WHEN s IS NOT NULL THEN least(greatest(s, 0), 1) END AS strength FROM x")
 _series("mean_reversion_features", lambda: {k: v for k, v in S.MeanReversion().features().items() if k[:5] in ("zscor", "bb_po", "mean_") and k != "mean_reversion_speed"}, f"WITH {BARS}\nSELECT symbol, ts, " + ", ".join(f"(close - {_r('avg', 'close', n)}) / ({_r('stddev_samp', 'close', n)} + 1e-10) AS zscore_{n}, (close - {_r('avg', 'close', n)}) / {_r('avg', 'close', n)} AS mean_distance_{n}" for n in (10, 20, 50)) + f", (close - ({_r('avg', 'close', 20)} - 2 * {_r('stddev_samp', 'close', 20)})) / (4 * {_r('stddev_samp', 'close', 20)} + 1e-10) AS bb_position FROM bars")
-for _s in (S.Volatility, S.Scalping, S.Sentiment, S.MeanReversion):
-    _register(f"{_s.name}_feature_frame", lambda spark, sf, s=_s: s().feature_frame(bars(spark, sf)))
-    _register(f"{_s.name}_strength", lambda spark, sf, s=_s: s().strengths(bars(spark, sf)))
-_register("seasonality_features", lambda spark, sf: S.Seasonality().feature_frame(bars(spark, sf), S.Seasonality().fit(bars(spark, sf))))
 _register("sentiment_extremes", lambda spark, sf: S.Sentiment().extremes(bars(spark, sf)), f"""WITH {BARS}, {_SENT}, x AS (SELECT symbol, ts, score, (score - {_r('avg', 'score', 50)}) / ({_r('stddev_samp', 'score', 50)} + 1e-10) AS z FROM se)
 SELECT symbol, ts, score AS sentiment, z AS zscore, coalesce(abs(z) > 1.5, false) AS is_extreme, CASE WHEN z < -1.5 THEN 'extreme_bearish' WHEN z > 1.5 THEN 'extreme_bullish' ELSE 'neutral' END AS extreme_type FROM x""", "sentiment zscore")
 _register("transaction_costs", lambda spark, sf: S.Scalping.costs(S.MeanReversion().signals(bars(spark, sf))).select("symbol", "ts", "cost"), f"WITH {BARS}, {_SIDE}, l AS (SELECT symbol, t0 AS ts, side, lag(side) OVER (PARTITION BY symbol ORDER BY t0) AS p FROM side)\nSELECT symbol, ts, CASE WHEN abs(side - p) > 0 THEN 0.001::DOUBLE ELSE 0 END AS cost FROM l", "cost")
 
 # Features -----------------------------------------------------------------------------
 
-_register("feature_matrix", lambda spark, sf: features.feature_matrix(bars(spark, sf), d=0.9, threshold=1e-4))
-_register("extended_features", lambda spark, sf: features.extended_features(bars_all(spark, sf)))
 
 
 def _few(spark: SparkSession, sf: str) -> DataFrame:
@@ -392,8 +382,6 @@ for _method, _expr in (("zscore", "({c} - avg({c}) OVER {P}) / (stddev_samp({c})
 _register("feature_scores", lambda spark, sf: features.feature_scores(_few(spark, sf).join(_labelled(spark, sf).withColumnRenamed("t0", "ts"), ["symbol", "ts"]), "label", ["rsi_14", "momentum_20", "atr_14"]), f"""WITH {BARS}, {_TB}, {_FEW}, long AS (SELECT label, feature, x FROM (SELECT label, rsi_14, momentum_20, atr_14 FROM few JOIN tb ON tb.symbol = few.symbol AND tb.t0 = few.ts) UNPIVOT (x FOR feature IN (rsi_14, momentum_20, atr_14))),
 gr AS (SELECT feature, label, count(x) AS n, avg(x) AS m, var_pop(x) AS v FROM long GROUP BY 1, 2), al AS (SELECT feature, avg(x) AS am, count(x) AS an FROM long GROUP BY 1)
 SELECT feature, (sum(n * (m - am) * (m - am)) / (count(*) - 1)) / (sum(n * v) / (max(an) - count(*))) AS score FROM gr JOIN al USING (feature) GROUP BY 1""", "score")
-_register("mutual_information", lambda spark, sf: features.feature_scores(_few(spark, sf).join(_labelled(spark, sf).withColumnRenamed("t0", "ts"), ["symbol", "ts"]), "label", ["rsi_14", "momentum_20", "atr_14"], "mutual_info"))
-
 # Models -------------------------------------------------------------------------------
 
 _register("purged_kfold", lambda spark, sf: models.purged_splits(_labelled(spark, sf)), f"""WITH {BARS}, {_TB}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t0) - 1 AS pos, count(*) OVER (PARTITION BY symbol) AS n FROM tb),
@@ -472,7 +460,6 @@ def _arms(spark: SparkSession, sf: str) -> DataFrame:
 _register("bandit_batch", _arms, f"{_VB}, {_OUT}\nSELECT strategy, regime, greatest(1, 1 + sum(reward) * 0.995) AS alpha, greatest(1, 1 + (count(*) - sum(reward)) * 0.995) AS beta, count(*)::INT AS pulls, sum(reward) AS total_reward FROM oc GROUP BY 1, 2", "alpha beta total_reward")
 _register("bandit_replay", lambda spark, sf: bandit.replay(_outcomes(spark, sf)), f"""{_VB}, o AS (SELECT strategy, regime, confidence AS reward, pow(0.995::DOUBLE, row_number() OVER (PARTITION BY regime ORDER BY ts DESC, symbol DESC, strategy DESC)) AS w FROM vo)
 SELECT strategy, regime, 1 + sum(reward * w) AS alpha, 1 + sum((1 - reward) * w) AS beta, count(*)::INT AS pulls, sum(reward) AS total_reward FROM o GROUP BY 1, 2""", "alpha beta total_reward")
-_register("bandit_summary", lambda spark, sf: bandit.summary(_arms(spark, sf)).select("strategy", "regime", "win_rate", "rank"))
 _register("bandit_select", lambda spark, sf: bandit.select(_votes(spark, sf), _arms(spark, sf), n=2).select("symbol", "ts", "strategy", "signal"))
 _register("bandit_best_probability", lambda spark, sf: bandit.best_probability(_arms(spark, sf), 500))
 _register("position_size", lambda spark, sf: _votes(spark, sf).select("symbol", "ts", "strategy", Allocator().size(F.col("signal"), F.col("confidence"), F.lit(0.5), F.lit(0.6), F.lit(0.02), F.lit(0.01)).alias("size")), f"""{_VB}
@@ -549,8 +536,7 @@ def _plan(mode: str) -> Query:
     return run
 
 
-for _mode in ("standard", "walk_forward", "crisis", "monte_carlo"):
-    _register(f"plan_{_mode}", _plan(_mode))
+_register("plan_monte_carlo", _plan("monte_carlo"))
 
 
 _register("tick_frame", lambda spark, sf: market.tick_frame(market.event_bars(spark, sf)), f"""WITH {HOURS}
@@ -578,7 +564,6 @@ _register("bandit_choose", lambda spark, sf: bandit.choose_arm(bandit.flat_repla
 _register("bandit_intervals", lambda spark, sf: bandit.intervals(_arms(spark, sf), 500))
 _register("execution_stats", lambda spark, sf: Execution.stats(Execution().trades(S.MeanReversion().signals(bars(spark, sf)).join(bars(spark, sf), ["symbol", "ts"]).select("ts", "symbol", "signal", F.col("close").alias("price"), F.lit(1e6).alias("portfolio_value"), F.lit(0.05).alias("position_size")))), f"""WITH {BARS}, {_SIDE}, t AS (SELECT 50000.0::DOUBLE AS v FROM side WHERE side <> 0)
 SELECT count(*) AS num_trades, sum(greatest(v * 0.001, 1)) AS total_commission, sum(v * 0.0005) AS total_slippage, avg(greatest(v * 0.001, 1)) AS avg_commission, avg(v * 0.0005) AS avg_slippage, sum(greatest(v * 0.001, 1)) + sum(v * 0.0005) AS total_cost FROM t""", "total_commission total_slippage avg_commission avg_slippage total_cost")
-_register("backtest_trades", lambda spark, sf: evaluation.backtest_trades(evaluation.run_backtest(S.MeanReversion().signals(bars(spark, sf)), bars(spark, sf))).select("ts", "symbol", "side"))
 _register("favourable_regimes", lambda spark, sf: regimes.composite(_regimes(spark, sf)).select("symbol", "ts", S.Momentum().favourable(F.col("composite_regime")).alias("momentum"), S.Volatility().favourable(F.col("composite_regime")).alias("volatility")), f"WITH {BARS}, {_REG}\nSELECT symbol, ts, trend_regime = 'trending' AS momentum, vol_regime = 'high_vol' AS volatility FROM reg")
 _register("compatible_strategies", lambda spark, sf: ensemble.compatible(_votes(spark, sf), _preferred(spark)).select("symbol", "ts", "strategy", "compatible"), f"{_VB}, {_PREF}\nSELECT symbol, ts, vo.strategy, pf.strategy = vo.strategy AS compatible FROM vo JOIN pf USING (regime)")
 _register("hedged_spread", lambda spark, sf: S.Pairs().hedged_spread(pair(spark, sf)).select("symbol", "ts", "hedge_ratio"), f"""WITH {BARS}, {_PAIR}, l AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS n FROM pair), h AS (SELECT symbol, sum(price1 * price2) / sum(price2 * price2) AS hedge_ratio FROM l WHERE n <= 60 GROUP BY 1)

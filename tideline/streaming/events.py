@@ -1,4 +1,10 @@
-"""CUSUM events, information bars and time bars of a stream of ticks (symbol, ts, price, volume)."""
+"""CUSUM events, information bars and time bars of a stream of ticks (symbol, ts, price, volume).
+
+CUSUM sums and bars depend on the order of ticks, which streams don't keep: rows are
+put in order within a trigger, and a tick that comes in a later trigger than one
+after it counts when it comes.  A tick without a price is passed over; one without a
+volume has none.
+"""
 
 from __future__ import annotations
 
@@ -16,6 +22,11 @@ _EVENT = "symbol string, t0 timestamp, side int, magnitude double"
 _BAR = "symbol string, bar_id long, ts timestamp, open double, high double, low double, close double, volume double"
 
 
+def _missing(x: float | None) -> bool:
+    """Arrow hands a NULL over as NaN."""
+    return x is None or x != x
+
+
 def _ordered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(batches)).sort_values("ts", kind="stable")
 
@@ -28,7 +39,7 @@ def cusum_events(ticks: DataFrame, threshold: float) -> DataFrame:
         own = json.loads(state.get[0]) if state.exists else {"sums": fold.state(), "price": None}
         rows, out = _ordered(batches), []
         for ts, price in zip(rows["ts"], rows["price"]):
-            if price is None or price != price:
+            if _missing(price):
                 continue
             last, own["price"] = own["price"], float(price)
             fired = fold.step(own["sums"], [(price - last) / last if last else None])[0]
@@ -48,7 +59,9 @@ def information_bars(ticks: DataFrame, kind: str, threshold: float) -> DataFrame
         own = json.loads(state.get[0]) if state.exists else {"fold": fold.state(), "bar": None}
         rows, out = _ordered(batches), []
         for ts, price, volume in zip(rows["ts"], rows["price"], rows["volume"]):
-            price, volume = float(price), float(volume or 0.0)
+            if _missing(price):
+                continue
+            price, volume = float(price), 0.0 if _missing(volume) else float(volume)
             number = fold.step(own["fold"], [price], [volume])[0]
             bar = own["bar"] or {"open": price, "high": price, "low": price, "volume": 0.0}
             bar = {"open": bar["open"], "high": max(bar["high"], price), "low": min(bar["low"], price), "volume": bar["volume"] + volume}

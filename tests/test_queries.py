@@ -17,7 +17,7 @@ from tideline.queries import QUERIES, SQL
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 #: These take long and are covered by tests of their own.
-SLOW = {"optimal_d", "monte_carlo", "extended_features", "garch_volatility"}
+SLOW = {"optimal_d", "monte_carlo", "extended_features", "garch_volatility", "ensemble_predictions", "models_by_regime"}
 
 
 @pytest.fixture(scope="module")

@@ -53,6 +53,23 @@ def test_time_bars(spark, tmp_path):
     assert isinstance(pd.Timestamp(got.ts.iloc[0]), pd.Timestamp)
 
 
+def test_models_follow_a_stream(spark, tmp_path):
+    from tideline.operators.models import Classifier
+    from tideline.sources.store import Store
+    from tideline.streaming.models import updating
+
+    schema = "symbol string, t0 long, x double, label int"
+    for i in range(3):
+        spark.createDataFrame([("A", 20 * i + k, float(k % 2 if i else 1 - k % 2), k % 2) for k in range(20)], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    store, model = Store(spark, str(tmp_path)), Classifier(["x"], trees=3, depth=2, least=1)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    query = stream.writeStream.foreachBatch(updating(store, "m", model, batches=2)).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    query.awaitTermination(240)
+    assert store.metadata("m")["batch"] == 2 and store.metadata("m")["n_samples"] == 40
+    rows = spark.createDataFrame([("A", 0, 0.0, 0), ("A", 1, 1.0, 1)], schema)
+    assert [r.prediction for r in store.load("m").predict(rows).orderBy("t0").collect()] == [0, 1]
+
+
 def test_unknown_kind(spark):
     with pytest.raises(ValueError):
         events.information_bars(spark.range(1), "tick", 1)

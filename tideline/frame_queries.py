@@ -381,12 +381,27 @@ _register("bandit_summary", lambda spark, sf: bandit.summary(Q._arms(spark, sf))
 _RESET = {c: f"CASE WHEN strategy = 'momentum' AND regime = 'TREND' THEN {v} ELSE {c} END" for c, v in (("alpha", "1.0"), ("beta", "1.0"), ("pulls", "0"), ("total_reward", "0.0"))}
 _register("bandit_reset", lambda spark, sf: bandit.reset(Q._arms(spark, sf), "momentum", "TREND"), _ARMS, _plain("strategy", "regime") | _RESET, "ar", {"alpha", "beta", "total_reward"})
 
+_UCB = f"""{BARS}, {Q._VOTES}, fl AS (SELECT strategy AS name, count(*) AS n, avg(confidence * 2 - 1) AS m FROM vo GROUP BY 1), ub AS (SELECT *, m + 2.0 * sqrt(ln(sum(n) OVER ()) / n) AS b FROM fl), uo AS (SELECT *, row_number() OVER (ORDER BY b DESC, name) AS place FROM ub)"""
+_register("bandit_choose", Q.QUERIES["bandit_choose"], _UCB, {"name": "name"}, "uo WHERE place = 1", set())
+
 # Evaluation -----------------------------------------------------------------------------
 
 _TRADES = f"{BARS}, {Q._BT}, kt AS (SELECT *, pos - coalesce(lag(pos) OVER ({W}), CASE WHEN i = 1 THEN 0 END) AS change FROM k)"
 _register("backtest_trades", lambda spark, sf: evaluation.backtest_trades(evaluation.run_backtest(S.MeanReversion().signals(Q.bars(spark, sf)), Q.bars(spark, sf))).select("ts", "symbol", "side"), _TRADES,
           {"ts": "kt.ts", "symbol": "kt.symbol", "side": "CASE WHEN side.side > 0 THEN 'buy' ELSE 'sell' END"}, "kt JOIN side ON side.symbol = kt.symbol AND side.t0 = kt.ts WHERE change <> 0", set(), recursive=True)
 
+#: Of a backtest's summary what does not hang on the last bit of an account's value: an account near nothing changes by less.
+_STABLE = ("account_return", "total_return", "annual_return", "annual_volatility", "sharpe_ratio", "num_periods", "avg_return", "median_return", "std_return", "skewness")
+_ACCOUNT = f"""bm AS (SELECT symbol, ts, i, val, (val - 100000.0) / 100000.0 AS c FROM k), bl AS (SELECT symbol, ts, c, lag(c) OVER ({W}) AS pc FROM bm WHERE i > 1),
+br AS (SELECT symbol, ts, coalesce(c / nullif(pc, 0) - 1.0, 0) AS returns FROM bl), ba AS (SELECT symbol, arg_max(c, ts) AS account_return FROM bm GROUP BY 1),
+bs AS (SELECT symbol, count(*) AS n, product(1 + returns) - 1 AS t, avg(returns) AS mu, stddev_samp(returns) AS sd, quantile_cont(returns, 0.5) AS md, skewness(returns) AS sk FROM br GROUP BY 1)"""
+_ACCOUNT_COLUMNS = {"symbol": "symbol", "account_return": "account_return", "total_return": "t", "annual_return": "mu * 252", "annual_volatility": "sd * sqrt(252)", "sharpe_ratio": "mu / sd * sqrt(252)", "num_periods": "n", "avg_return": "mu", "median_return": "md", "std_return": "sd", "skewness": "sk"}
+_register("backtest_metrics", lambda spark, sf: Q.QUERIES["backtest_summary"](spark, sf).select("symbol", *_STABLE), f"{BARS}, {Q._BT}, {_ACCOUNT}", _ACCOUNT_COLUMNS, "bs JOIN ba USING (symbol)", set(_STABLE) - {"num_periods"}, recursive=True)
+_REGIME_SIDE = """sg2 AS (SELECT reg.symbol, reg.ts AS t0, coalesce(CASE WHEN regime = 'TREND' THEN mo WHEN regime = 'MEANREV' THEN me END, 0) AS side FROM reg JOIN (SELECT symbol, ts, min(regime) AS regime,
+ max(CASE WHEN strategy = 'momentum' THEN signal END) AS mo, max(CASE WHEN strategy = 'mean_reversion' THEN signal END) AS me FROM vo GROUP BY 1, 2) p ON p.symbol = reg.symbol AND p.ts = reg.ts)"""
+_REGIME_BT = Q._BT.removeprefix(f"{Q._SIDE}, ").removeprefix(f"{Q._SIDE},\n").replace("FROM side JOIN bars", "FROM sg2 AS side JOIN bars")
+_register("regime_backtest_metrics", lambda spark, sf: Q.QUERIES["regime_backtest"](spark, sf).select("symbol", *_STABLE), f"{BARS}, {Q._VOTES}, {_REGIME_SIDE}, {_REGIME_BT}, {_ACCOUNT}", _ACCOUNT_COLUMNS, "bs JOIN ba USING (symbol)", set(_STABLE) - {"num_periods"}, recursive=True)
+
 _SUMS = """count(*) AS n, product(1.0 + returns) - 1.0 AS total_return, CASE WHEN stddev_pop(returns) > 0 THEN avg(returns) / stddev_pop(returns) * sqrt(252) ELSE 0 END AS sharpe,
  min(dd) AS max_drawdown, avg(CASE WHEN returns > 0 THEN 1.0 ELSE 0 END) AS win_rate"""
 

@@ -446,6 +446,46 @@ jt AS (SELECT *, sum(n) OVER (PARTITION BY feature, bin) AS b, sum(n) OVER (PART
 mi AS (SELECT feature, sum(n / t * ln(n * t / (b * l))) AS score FROM jt GROUP BY 1)"""
 _register("mutual_information", lambda spark, sf: features.feature_scores(_scored(spark, sf), "label", _COLUMNS, "mutual_info"), _MI, _plain("feature", "score"), "mi", {"score"})
 
+_register("selected_features", lambda spark, sf: spark.createDataFrame([(i + 1, c) for i, c in enumerate(features.select_features(_scored(spark, sf), "label", _COLUMNS, 2))], "rank int, feature string"),
+          Q.SQL["feature_scores"].split(", result_ AS (")[0].removeprefix("WITH ") + ", fs AS (SELECT feature, (sum(n * (m - am) * (m - am)) / (count(*) - 1)) / (sum(n * v) / (max(an) - count(*))) AS score FROM gr JOIN al USING (feature) GROUP BY 1), fr AS (SELECT feature, (row_number() OVER (ORDER BY score DESC, feature))::INT AS rank FROM fs)",
+          _plain("rank", "feature"), "fr WHERE rank <= 2", set())
+
+# What plans are made of -----------------------------------------------------------------
+
+_register("feature_matrix_at_events", lambda spark, sf: features.feature_matrix(Q.bars(spark, sf), seq.cusum_events(Q.bars(spark, sf), 2.0), d=0.9, threshold=1e-4),
+          f"{_MATRIX}, {Q.RETURNS}, {Q._cusum_sql('2.0::DOUBLE')}", {"symbol": "fm.symbol", "ts": "fm.ts"} | {c: f"fm.{c}" for c in features.MATRIX}, f"fm JOIN c ON c.symbol = fm.symbol AND c.ts = fm.ts AND c.hit <> 0 WHERE {' OR '.join(f'fm.{c} IS NOT NULL' for c in features.MATRIX)}", set(features.MATRIX), recursive=True)
+Q.PLACES["feature_matrix_at_events"] = 4
+
+
+def _training_samples(spark: SparkSession, sf: str) -> DataFrame:
+    from .plans import ensemble
+
+    return ensemble.training_table(Q.bars_all(spark, sf)).select("symbol", "t0", "t1", "ret", "label", "regime", "weight")
+
+
+_SAMPLES = f"""{BARS_ALL}, {Q.RETURNS},
+{_deviation('bd', 'r', 'returns', 100)},
+{Q._cusum_sql('(SELECT avg(sd) FROM bd)')},
+{Q._REG},
+{_EWM_BARRIER[_EWM_BARRIER.index('bn AS ('):]},
+bx AS (SELECT bt.symbol, t0, coalesce(ht, lt) AS t1, coalesce(hx, lx) AS ret, (CASE WHEN lower_ THEN -1 WHEN u IS NOT NULL THEN 1 WHEN lx > 0 THEN 1 ELSE -1 END)::INT AS label, {Q._CANON} AS regime FROM bt JOIN reg ON reg.symbol = bt.symbol AND reg.ts = bt.t0)"""
+_register("training_samples", _training_samples, _SAMPLES, _plain("symbol", "t0", "t1", "ret", "label", "regime") | {"weight": "abs(ret) / sum(abs(ret)) OVER (PARTITION BY symbol)"}, "bx", {"ret", "weight"}, recursive=True)
+
+
+def _weights(spark: SparkSession, sf: str) -> DataFrame:
+    every = [labels.sample_weights(Q._labelled(spark, sf), Q.bars(spark, sf), m).select("symbol", "t0", F.lit(m).alias("method"), "weight") for m in ("return", "time_decay", "sequential")]
+    return every[0].union(every[1]).union(every[2])
+
+
+_WEIGHTS = f"""{BARS}, {Q._TB}, wd AS (SELECT symbol, t0, exp(-ln(2) / 100 * (count(*) OVER (PARTITION BY symbol) - row_number() OVER (PARTITION BY symbol ORDER BY t0))) AS w FROM tb),
+wc AS (SELECT tb.symbol, t0, count(*) AS w FROM tb JOIN bars ON bars.symbol = tb.symbol AND bars.ts BETWEEN t0 AND t1 GROUP BY 1, 2),
+wu AS (SELECT symbol, t0, 'return' AS method, abs(ret) AS w FROM tb UNION ALL SELECT symbol, t0, 'time_decay', w FROM wd UNION ALL SELECT symbol, t0, 'sequential', w FROM wc)"""
+_register("sample_weights", _weights, _WEIGHTS, _plain("symbol", "t0", "method") | {"weight": "w / sum(w) OVER (PARTITION BY symbol, method)"}, "wu", {"weight"})
+_register("pairs_strength", lambda spark, sf: S.Pairs().strengths(Q.pair(spark, sf)), f"{BARS}, {Q._PAIR}, {Q._Z60}", _KEYS | {"strength": "CASE WHEN z IS NOT NULL THEN least(greatest(abs(z) / 2.0, 0), 1) END"}, "z")
+_register("regimes_with_detector", lambda spark, sf: regimes.detect(Q.bars(spark, sf), use=("vol_regime",), detectors={"trend_regime": regimes.trend(14, 40.0)}), f"{BARS}, {Q._REG}, rd AS (SELECT reg.symbol, reg.ts, vol_regime, CASE WHEN a.adx > 40 THEN 'trending' ELSE 'ranging' END AS trend_regime FROM reg JOIN a ON a.symbol = reg.symbol AND a.ts = reg.ts)",
+          _KEYS | _plain("vol_regime", "trend_regime"), "rd", set())
+_register("bars_as_structs", lambda spark, sf: market.from_bars(market.as_bars(Q.bars(spark, sf))), BARS, _KEYS | _OHLCV, "bars")
+
 # Models: forests are not SQL; the queries run what a user calls ---------------------------
 
 

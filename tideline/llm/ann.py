@@ -31,7 +31,7 @@ from .common import lookup_join, portions, scratch, session_of, stage
 
 DIMENSIONS = 16
 #: Vectors of a region and of a cell in it, about.
-REGION, CELL = 8192, 128
+REGION, CELL = 16_384, 256
 #: Vectors of the sample that fits a level of the tree, and cuts of a level at most: 1,024 leaves, each with 1,024 below.
 SAMPLE, LEVEL = 50_000, 10
 #: With this probability a neighbour is seen before the stopping test holds.
@@ -118,66 +118,70 @@ class Cells:
     """The entries of a region, cut into cells at medians until they are small, with the boxes of their points."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, points: np.ndarray, cell: int = CELL) -> None:
-        self.ids, self.vectors, self.points = ids, vectors, points
-        self.cells, stack = [], [np.arange(len(ids))] if len(ids) else []
+        cells, stack = [], [np.arange(len(ids))] if len(ids) else []
         while stack:
             own = stack.pop()
             if len(own) <= cell:
-                self.cells.append(own)
+                cells.append(own)
                 continue
             x = points[own, int(np.argmax(np.ptp(points[own], axis=0)))]
             cut = np.argpartition(x, len(own) // 2)
             stack += [own[cut[: len(own) // 2]], own[cut[len(own) // 2 :]]]
-        self.low = np.array([points[c].min(axis=0) for c in self.cells]).reshape(len(self.cells), -1)
-        self.high = np.array([points[c].max(axis=0) for c in self.cells]).reshape(len(self.cells), -1)
+        line = np.concatenate(cells) if cells else np.zeros(0, np.int64)  # the cells one after the other
+        self.ids, self.vectors, self.points = ids[line], vectors[line], points[line]
+        self.far = (self.points * self.points).sum(axis=1)
+        ends = np.cumsum([0, *map(len, cells)])
+        self.rows = [np.arange(a, b) for a, b in zip(ends[:-1], ends[1:])]
+        self.low = np.array([points[c].min(axis=0) for c in cells]).reshape(len(cells), -1)
+        self.high = np.array([points[c].max(axis=0) for c in cells]).reshape(len(cells), -1)
 
     def search(self, q: np.ndarray, at: np.ndarray, k: int, bound: float, top2: float, floor: float) -> tuple[np.ndarray, np.ndarray, int]:
         """Ids and scores of the k entries of the largest inner product, not below floor, and how many were verified.
 
         q is the query and ``at`` its projection.  top2 is the largest squared norm:
         a query's squared distance to an entry is its own squared norm plus top2 less
-        twice the inner product.
+        twice the inner product.  Cells are opened nearest first, each time as many
+        as there are; opened entries that are nearer than any closed cell are
+        verified in portions of rising projected distance, with the test before each.
         """
         off = np.maximum(self.low - at, 0) + np.maximum(at - self.high, 0)
         box = (off * off).sum(axis=1)
-        order, norm2 = np.argsort(box), float(q @ q)
-        kth, top, seen, scores = floor, np.zeros(0), [], []
-        gaps, waiting, opened, portion, want, verified = np.zeros(0), np.zeros(0, np.int64), 0, PORTION, PORTION, 0
+        order, norm2, at2 = np.argsort(box), float(q @ q), float(at @ at)
+        kth, top, seen, scores, verified = floor, np.zeros(0), [], [], 0
+        gaps, waiting, opened, more = np.zeros(0), np.zeros(0, np.int64), 0, 4
         radius2 = bound * max(norm2 + top2 - 2 * kth, 0.0)
-        while True:
-            # open cells, the nearest first, until a portion waits or no other is within reach
-            fresh, n = [], len(waiting)
-            while opened < len(order) and n < want and box[order[opened]] <= radius2:
-                fresh.append(self.cells[order[opened]])
-                n += len(fresh[-1])
-                opened += 1
-            if fresh:
-                new = np.concatenate(fresh)
-                gap = self.points[new] - at
-                gaps, waiting = np.concatenate([gaps, (gap * gap).sum(axis=1)]), np.concatenate([waiting, new])
-                by_gap = np.argsort(gaps, kind="stable")
-                gaps, waiting = gaps[by_gap], waiting[by_gap]
-            # those nearer than any cell that isn't open are next in line
+        while opened < len(order) and box[order[opened]] <= radius2:
+            near = order[opened : opened + more]
+            fresh = np.concatenate([self.rows[c] for c in near[box[near] <= radius2]])
+            gaps = np.concatenate([gaps, self.far[fresh] + at2 - 2 * (self.points[fresh] @ at)])
+            waiting = np.concatenate([waiting, fresh])
+            opened, more = opened + more, 2 * more
             reach = box[order[opened]] if opened < len(order) else math.inf
-            ripe = int(np.searchsorted(gaps, min(reach, radius2), "right"))
-            if not ripe:
-                if opened >= len(order) or reach > radius2:
+            ripe = np.flatnonzero(gaps <= min(reach, radius2))
+            cuts, n = [], verified
+            while (cuts[-1] if cuts else 0) < len(ripe):
+                n += max(PORTION, n // 6)
+                cuts.append(min(n - verified, len(ripe)))
+            own = gaps[ripe]
+            line = ripe[np.argpartition(own, cuts[:-1])] if len(cuts) > 1 else ripe  # portions, each further than the one before
+            for first, last in zip([0, *cuts[:-1]], cuts):
+                take = line[first:last]
+                take = take[gaps[take] <= radius2]
+                if not len(take):
                     break
-                want = n + 1  # what waits is further than a closed cell
-                continue
-            take = waiting[: min(ripe, portion)]
-            gaps, waiting = gaps[len(take) :], waiting[len(take) :]
-            score = self.vectors[take] @ q
-            seen.append(take)
-            scores.append(score)
-            verified += len(take)
-            top = np.concatenate([top, score])
-            if len(top) > k:
-                top = np.partition(top, len(top) - k)[-k:]
-            if len(top) == k:
-                kth = max(kth, float(top.min()))
-                radius2 = bound * max(norm2 + top2 - 2 * kth, 0.0)
-            portion = want = max(PORTION, verified // 16)
+                score = self.vectors[waiting[take]] @ q
+                seen.append(waiting[take])
+                scores.append(score)
+                verified += len(take)
+                top = np.concatenate([top, score])
+                if len(top) > k:
+                    top = np.partition(top, len(top) - k)[-k:]
+                if len(top) == k:
+                    kth = max(kth, float(top.min()))
+                    radius2 = bound * max(norm2 + top2 - 2 * kth, 0.0)
+            rest = np.ones(len(gaps), bool)
+            rest[ripe] = False
+            gaps, waiting = gaps[rest], waiting[rest]
         if not verified:
             return np.zeros(0, np.int64), np.zeros(0), 0
         every, score = np.concatenate(seen), np.concatenate(scores)

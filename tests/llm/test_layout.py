@@ -78,6 +78,15 @@ def test_mixing_odd_tables(spark):
     assert mixing.mixed(spark.createDataFrame([(1, "a b", "x"), (1, "a b", "x")], "doc_id long, text string, source string")).count() == 2
 
 
+def test_mixing_long_texts_null_ids_and_clashing_columns(spark):
+    rows = [(None, "a " * 200_000, "x", 1, "t"), (None, "b", "x", 2, "u"), (3, "c d", "y", 3, "v")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, taken int, _q string")
+    got = mixing.mixed(df).collect()
+    assert sorted(r.size for r in got) == [1, 2, 200_000] and all(r.taken <= 2 * r.size for r in got)
+    mix = mixing.mix_documents(df)
+    assert mix.columns == df.columns and {r.taken for r in mix.collect()} <= {1, 2, 3}
+
+
 def test_flow_moves_the_fewest_bytes():
     draw = random.Random(3)
     for _ in range(20):

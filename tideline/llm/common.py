@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -112,6 +112,22 @@ def unfolded(df: DataFrame, old: list[str], new: list[str]) -> DataFrame:
     return df.select(*out, *new)
 
 
+def dealt_groups(rows: DataFrame, group: str) -> DataFrame:
+    """Every group of rows and _task, the task that it is dealt to: as many groups to each, one more at most.
+
+    By hash some tasks get several groups and others none.  ``rows`` should be staged,
+    since its groups are listed here.  Only a number a partition of that list is
+    summed across the whole.  repartitionById() takes _task.
+    """
+    spark = session_of(rows)
+    place = F.monotonically_increasing_id()
+    listed = stage(rows.select(group).distinct().select(group, F.shiftright(place, 33).alias("_part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")), "dealt")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = listed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return listed.join(parts, "_part").select(group, F.pmod(F.col("_at") + F.col("_before"), F.lit(tasks)).cast("int").alias("_task"))
+
+
 def lookup_join(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: Column, *, also: tuple[str, ...] = (), found: bool = False) -> DataFrame:
     """Join of rows with groups (one row per key, and the columns ``also``) that stands hot keys; a left join, or an inner one if ``found``.
 
@@ -126,8 +142,8 @@ def lookup_join(rows: DataFrame, groups: DataFrame, key: str, size: str, spread:
     hot = top.select(key, *also, F.struct(*value).alias("_hot"))
     marked = rows.join(F.broadcast(hot), [key, *also], "left")
     # a dealt-out row that meets some group by chance keeps its hot one
-    dealt = spread if dict(groups.dtypes)[key] == "bigint" else F.concat(F.lit("\x00"), spread.cast("string"))
-    marked = marked.withColumn("_key", F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(dealt))
+    away = spread if dict(groups.dtypes)[key] == "bigint" else F.concat(F.lit("\x00"), spread.cast("string"))
+    marked = marked.withColumn("_key", F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(away))
     cold = groups.select(F.col(key).alias("_key"), *also, F.struct(*value).alias("_cold"))
     joined = marked.join(cold, ["_key", *also], "left")
     if found:

@@ -26,8 +26,9 @@ def exact_duplicates(docs: DataFrame, *, keep: str = "min", hash_of: Callable[[C
     Null text counts as empty, and empty texts are a group like any other.  A
     null doc_id is never the one kept unless all ids of its group are null, when
     keep_id is null and every row stays.  Rows that repeat a doc_id and text are
-    one document: each of them carries the same decision.  An empty table gives
-    no rows; other columns are ignored.
+    one document: each of them carries the same decision.  Very long texts are
+    compared whole.  An empty table gives no rows; other columns are ignored,
+    whatever their names.
     """
     sha = F.sha2(F.encode(text_or_empty(), "utf-8"), 256)
     out = _decided(docs, F.struct("doc_id", sha.alias("text_sha256")), keep, hash_of)

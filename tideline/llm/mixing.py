@@ -55,8 +55,9 @@ def mixed(docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share: float
     size is the number of words; taken is copies times size.  Null text has size
     0, null is a source of its own, and a document of size 0 adds nothing however
     often it is taken.  The order depends on doc_id, size and seed, so reruns
-    agree; rows that are alike in all of them are interchangeable.  An empty
-    table gives no rows.
+    agree; rows that are alike in all of them are interchangeable, and those of a
+    null doc_id are documents like any other.  A very long text counts whole.  An
+    empty table gives no rows; other columns are ignored, whatever their names.
     """
     queue = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     key = F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")).alias("_s")

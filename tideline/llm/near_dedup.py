@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_id, lookup_join, portions, scratch, stage
+from .common import by_id, dealt_groups, lookup_join, portions, scratch, session_of, stage
 
 SHINGLE = 5
 SIMILARITY = 75  # of 100
@@ -228,6 +228,7 @@ def _verified(tiles: DataFrame, docs: DataFrame, similarity: int) -> DataFrame:
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = stage(docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep", "left_semi"), "near_texts")
     rows = tiles.join(texts, "rep").select("tile", "side", "rep", "comp", "text")
+    rows = _by_tile(rows, tiles)
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found_a, found_b = [], []
@@ -240,7 +241,13 @@ def _verified(tiles: DataFrame, docs: DataFrame, similarity: int) -> DataFrame:
                 found_b.append(b)
         yield _pairs(found_a, found_b)
 
-    return stage(rows.repartition("tile").sortWithinPartitions("tile", "side", "rep").mapInArrow(links, "a long, b long"), "near_links")
+    return stage(rows.mapInArrow(links, "a long, b long"), "near_links")
+
+
+def _by_tile(rows: DataFrame, tiles: DataFrame) -> DataFrame:
+    """rows with a tile's side by side, the left side first; tiles are dealt out evenly."""
+    tasks = int(session_of(rows).conf.get("spark.sql.shuffle.partitions"))
+    return rows.join(dealt_groups(tiles, "tile"), "tile").repartitionById(tasks, F.col("_task")).sortWithinPartitions("tile", "side", "rep").drop("_task")
 
 
 def _tile_links(ones: pa.Table, others: pa.Table, similarity: int) -> Iterator[tuple[int, int]]:
@@ -317,7 +324,8 @@ def _candidates(rest: DataFrame, reps: DataFrame, tile: int, similarity: int) ->
     component of the key), _lefts and _rights (tiles of what isn't of it, and of
     everything).  A pair is given in the first key that it shares.
     """
-    rows = _sided(rest, "key", "kn").join(reps.select("rep", "n_shingles", "sig"), "rep").select("tile", "kn", "side", "rep", "comp", "n_shingles", "sig")
+    tiles = stage(_sided(rest, "key", "kn"), "near_tiles")
+    rows = tiles.join(reps.select("rep", "n_shingles", "sig"), "rep").select("tile", "kn", "side", "rep", "comp", "n_shingles", "sig")
     kept = np.array(_KEPT)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,7 +348,7 @@ def _candidates(rest: DataFrame, reps: DataFrame, tile: int, similarity: int) ->
                 found_b += reps_b[hit].tolist()
         yield _pairs(found_a, found_b)
 
-    out = rows.repartition("tile").sortWithinPartitions("tile", "side", "rep").mapInArrow(pairs, "a long, b long")
+    out = _by_tile(rows, tiles).mapInArrow(pairs, "a long, b long")
     return out.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lookup_join, portions, scratch, session_of, stage
+from .common import bounded_batches, lookup_join, portions, scratch, session_of, stage
 
 DIMENSIONS = 16
 #: Vectors of a region and of a cell in it, about.
@@ -275,6 +275,7 @@ def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, column: str = "
     of the smallest hash stands for it.  An empty table gives no rows; other columns are
     ignored, whatever their names.
     """
+    bounded_batches(session_of(vectors))
     double = F.transform(column, lambda x: x.cast("double"))
     fine = F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(column, lambda x: x != 0)
     rows = vectors.filter("vec_id is not null").filter((F.size(column) > 0) & fine).select(F.col("vec_id").cast("long"), double.alias("vector"))

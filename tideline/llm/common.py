@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import threading
 import uuid
 from collections.abc import Iterator
@@ -21,6 +22,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows and bytes that a Python task takes up at a time; a single longer row is a portion of its own.
 PORTION_ROWS, PORTION_BYTES = 512, 8 << 20
+#: Bytes of a batch between Spark and Python.
+BATCH_BYTES = 4 << 20
 
 
 def session_of(df: DataFrame) -> SparkSession:
@@ -83,11 +86,22 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_BYTES at most, unless the session has them smaller: the one setting that operators change.
+
+    Batches are made when a result is written, so the bound has to stand in the
+    session.  Executors keep buffers of a batch's size for each column and task.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.match(r"\d+", spark.conf.get(name))
+    if not now or not 0 < int(now[0]) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def portions(batches: Iterator[pa.RecordBatch], rows: int = PORTION_ROWS, size: int = PORTION_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of Arrow batches, of so few rows and bytes that what Python makes of them stays small.
 
-    Spark bounds its batches by bytes (spark.sql.execution.arrow.maxBytesPerBatch);
-    the session's settings are left alone.
+    Spark's batches are bounded by bounded_batches().
     """
     for batch in batches:
         step = max(1, min(rows, batch.num_rows * size // max(batch.nbytes, 1)))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import beside, portions, unfolded
+from .common import beside, bounded_batches, portions, session_of, unfolded
 
 #: Hashed n-gram features.
 FEATURES = 1 << 15
@@ -112,6 +112,7 @@ def fit(labelled: DataFrame, *, per_language: int = SAMPLE_PER_LANGUAGE, parts:
     gives a model that knows no language.  The table of languages is on the driver,
     as the code is.
     """
+    bounded_batches(session_of(labelled))
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     table = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(table)
@@ -155,6 +156,7 @@ def fit(labelled: DataFrame, *, per_language: int = SAMPLE_PER_LANGUAGE, parts:
 
 def _judged(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """_row, lang_pred, score, ambiguous."""
+    bounded_batches(session_of(docs))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches):

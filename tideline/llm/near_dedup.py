@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_id, dealt_groups, lookup_join, portions, scratch, session_of, stage
+from .common import bounded_batches, by_id, dealt_groups, lookup_join, portions, scratch, session_of, stage
 
 SHINGLE = 5
 SIMILARITY = 75  # of 100
@@ -146,6 +146,7 @@ def linked(n_a: int, n_b: int, common: int, similarity: int = SIMILARITY) -> boo
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_hash (of the set; null if empty), sig, for every whole text."""
+    bounded_batches(session_of(docs))
 
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import portions, session_of, stage
+from .common import bounded_batches, portions, session_of, stage
 from .tokens import END_ID, encoder
 
 CAPACITY = 1024
@@ -127,6 +127,7 @@ def token_pieces(docs: DataFrame, *, tokenizer: str = "byte_bpe_50k.json", capac
     are full, so that a very long text gives many.  ``carry_ids`` adds the ids, as
     binary.  Null text counts as empty and gives one piece, the end id.
     """
+    bounded_batches(session_of(docs))
     end = np.array([END_ID], "<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import portions, stage, unstage
+from .common import bounded_batches, portions, session_of, stage, unstage
 
 KINDS = ("assign", "access", "hex", "markov")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -170,6 +170,7 @@ def train(labelled: DataFrame) -> SecretModel:
 
 def sample_labels(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, parts: int = 8) -> DataFrame:
     """token and secret of the whole texts of about ``documents`` rows, chosen by hash of id and text: the patterns label them."""
+    bounded_batches(session_of(docs))
     total = docs.count()
     share = int((1 << 30) * min(1.0, documents / max(total, 1)))
     chosen = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) <= share).select("text")
@@ -217,6 +218,8 @@ def scan_secrets(docs: DataFrame, model: SecretModel, *, margin: float | None =
     their names.
     """
 
+    bounded_batches(session_of(docs))
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches):
             rows = []

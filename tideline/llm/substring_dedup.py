@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import beside, by_id, lookup_join, portions, stage, unfolded
+from .common import beside, bounded_batches, by_id, lookup_join, portions, session_of, stage, unfolded
 
 #: (sentences, words): what a run must have one pair of.
 RUNS = ((3, 0), (2, 20), (1, 51))
@@ -104,6 +104,7 @@ def remove_repeats(docs: DataFrame, *, runs: tuple[tuple[int, int], ...] = RUNS)
     table gives no rows.  Columns that have the name of a new one stay, with _in
     behind it.
     """
+    bounded_batches(session_of(docs))
     spans = stage(_spans(docs, runs), "spans")
     repeated = stage(spans.groupBy("hash", "more").agg(F.count(F.lit(1)).alias("_n"), F.min("doc_id").alias("_first")).filter("_n > 1"), "spans_repeated")
     # a run that many documents share is in no task as a whole

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import portions, session_of, stage, stage_path
+from .common import bounded_batches, portions, session_of, stage, stage_path
 from .tokens import END_ID, encoder
 
 MAGIC = b"DAC1"
@@ -141,6 +141,7 @@ def write_token_files(docs: DataFrame, path: str, *, tokenizer: str = "word_bpe_
     whole in one segment; a segment is closed after it.  An empty table gives files
     without segments.  Other columns are ignored, whatever their names.
     """
+    bounded_batches(session_of(docs))
     end = np.array([END_ID], "<u4").tobytes()
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,6 +200,7 @@ def read_token_files(spark: SparkSession, path: str, *, ids: bool = False) -> Da
     its segment.
     """
     files = spark.read.schema(_FILE).parquet(path)
+    bounded_batches(spark)
     parts = stage(_parts(files), "token_parts")  # a row a part: Spark broadcasts it if its size allows that
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

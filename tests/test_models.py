@@ -173,3 +173,9 @@ def test_feature_matrix(spark):
     with pytest.raises(ValueError):
         features.feature_matrix(df, spark.createDataFrame([("A", None)], "symbol string, t0 timestamp_ntz"))
     assert features.extended_features(df).count() == 350
+
+
+@pytest.mark.parametrize("fill", ["ffill_bfill", "ffill"])
+def test_feature_matrix_is_planned_without_a_constraint_for_each_set_of_columns(spark, fill):
+    out = features.feature_matrix(frame(spark, walk("A", 60)), d=0.9, threshold=1e-3, fill=fill)
+    assert out._jdf.queryExecution().optimizedPlan().validConstraints().size() < 1000

@@ -52,8 +52,11 @@ def feature_matrix(
     names = [c for c in MATRIX if c in out.columns]
     out = out.select("symbol", "ts", *names)
     if fill:
-        out = seq.forward_filled(out, names, backward=fill == "ffill_bfill").select("symbol", "ts", *names)
-    out = out.na.drop("all", subset=names)
+        # a filter that names every filled column makes 2 ** len(names) constraints in the planner once something is joined
+        out = seq.forward_filled(out.withColumn("_any", F.coalesce(*names)), [*names, "_any"], backward=fill == "ffill_bfill")
+        out = out.filter("_any is not null").select("symbol", "ts", *names)
+    else:
+        out = out.na.drop("all", subset=names)
     if events is None:
         return out
     at = events.select("symbol", F.col("t0").alias("ts")).distinct()

@@ -159,3 +159,18 @@ def test_read_bars(spark, tmp_path):
     assert "PushedFilters: [IsNotNull" in got._jdf.queryExecution().executedPlan().toString()
     with pytest.raises(ValueError):
         market.read_bars(spark, str(tmp_path / "b"), symbols="C")
+
+
+@pytest.mark.parametrize("kind", ["dollar", "volume", "volatility", "imbalance"])
+def test_bars_of_ticks_of_one_time_follow_the_order_of_ties_however_rows_are_dealt(spark, kind):
+    draw = np.random.default_rng(4)
+    rows = [("A", i // 60, i, float(draw.integers(1, 100)), float(draw.integers(1, 9))) for i in range(600)]
+    limit = {"dollar": 900.0, "volume": 20.0, "volatility": 2.0, "imbalance": 15.0}[kind]
+    ids = seq.BarIds(kind, limit, "price", "volume")
+    at = ids.step(ids.state(), [r[3] for r in rows], [r[4] for r in rows])
+    said = {b: [r[3] for r, own in zip(rows, at) if own == b] for b in set(at)}
+    for seed in range(3):
+        dealt = [rows[i] for i in np.random.default_rng(seed).permutation(len(rows))]
+        df = spark.createDataFrame(dealt, "symbol string, ts long, event_id long, price double, volume double").repartition(3)
+        got = seq.bars(df, kind, limit, price="price", ties=("event_id",)).collect()
+        assert len(got) >= len(said) - 1 and all((r.open, r.close, r.high) == (said[r.bar_id][0], said[r.bar_id][-1], max(said[r.bar_id])) for r in got)

@@ -8,7 +8,7 @@ batch, so that memory doesn't grow with the length of a symbol.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from typing import Any
 
 import numpy as np
@@ -239,7 +239,7 @@ class Portfolio(Fold):
         return out
 
 
-def with_folds(df: DataFrame, folds: Mapping[str, Fold], by: str = "symbol", order: str = "ts") -> DataFrame:
+def with_folds(df: DataFrame, folds: Mapping[str, Fold], by: str = "symbol", order: str | Sequence[str] = "ts") -> DataFrame:
     """df with a column for each fold, in one pass."""
     kept = [c for c in df.columns if c not in folds]
     fields = [f for f in df.schema.fields if f.name in kept]
@@ -262,7 +262,7 @@ def with_folds(df: DataFrame, folds: Mapping[str, Fold], by: str = "symbol", ord
                     outs[n] += f.step(states[n], *(columns[c][a:b] for c in f.inputs))
             yield pd.concat([pdf[kept].reset_index(drop=True), pd.DataFrame({n: pd.Series(v, dtype=object) for n, v in outs.items()})], axis=1)
 
-    return df.repartition(by).sortWithinPartitions(by, order).mapInPandas(run, schema)
+    return df.repartition(by).sortWithinPartitions(by, *([order] if isinstance(order, str) else order)).mapInPandas(run, schema)
 
 
 # Exponentially weighted ---------------------------------------------------------------
@@ -360,15 +360,17 @@ def _fired(df: DataFrame) -> DataFrame:
     return df.filter("_s is not null").select("symbol", F.col("ts").alias("t0"), F.signum("_s").cast("int").alias("side"), F.abs("_s").alias("magnitude"))
 
 
-def bars(df: DataFrame, kind: str, threshold: float, price: str = "close", volume: str = "volume") -> DataFrame:
+def bars(df: DataFrame, kind: str, threshold: float, price: str = "close", volume: str = "volume", ties: Sequence[str] = ()) -> DataFrame:
     """Dollar, volume, volatility or imbalance bars: symbol, bar_id, ts (last), open, high, low, close, volume.
 
     The fold numbers the rows and Catalyst aggregates them; rows after the last
-    full bar are dropped.
+    full bar are dropped.  Rows of one ts come in the order of the columns ``ties``,
+    then of price and volume, so that bars are the same however rows are dealt.
     """
-    marked = with_folds(df.select("symbol", "ts", price, volume), {"bar_id": BarIds(kind, threshold, price, volume), "_done": _Closed(kind, threshold, price, volume)})
+    order = ["ts", *ties, price, volume]
+    marked = with_folds(df.select("symbol", *order), {"bar_id": BarIds(kind, threshold, price, volume), "_done": _Closed(kind, threshold, price, volume)}, order=order)
     out = marked.groupBy("symbol", "bar_id").agg(
-        F.max("ts").alias("ts"), F.min_by(price, "ts").alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, "ts").alias("close"), F.sum(volume).alias("volume"), F.max("_done").alias("_done"))
+        F.max("ts").alias("ts"), F.min_by(price, F.struct(*order)).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, F.struct(*order)).alias("close"), F.sum(volume).alias("volume"), F.max("_done").alias("_done"))
     return out.filter("_done = 1").drop("_done")
 
 

@@ -234,7 +234,7 @@ SELECT symbol, bar_id, max(ts) AS ts, arg_min(price, ts) AS open, max(price) AS
 
 
 for _kind, _threshold in (("dollar", 40000.0), ("volume", 500.0), ("volatility", 5.0), ("imbalance", 200.0)):
-    _register(f"{_kind}_bars", lambda spark, sf, k=_kind, h=_threshold: seq.bars(ticks(spark, sf), k, h, price="price"), "WITH RECURSIVE " + _bars_sql(_kind, _threshold), "open high low close volume")
+    _register(f"{_kind}_bars", lambda spark, sf, k=_kind, h=_threshold: seq.bars(ticks(spark, sf, "event_id"), k, h, price="price", ties=("event_id",)), "WITH RECURSIVE " + _bars_sql(_kind, _threshold), "open high low close volume")
 _register("bar_threshold", lambda spark, sf: seq.bar_threshold(bars(spark, sf), "dollar", 100), f"WITH {BARS}\nSELECT symbol, sum(close * volume) / 100 AS threshold FROM bars GROUP BY 1", "threshold")
 
 # Regimes ------------------------------------------------------------------------------

@@ -70,9 +70,9 @@ def order_bars_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _daily(table(spark, sf_dir, "orders"), F.lit("ALL"))
 
 
-def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """symbol, ts, price, volume of events."""
-    return table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("value").cast("double").alias("price"), F.get_json_object("props", "$.k").cast("double").alias("volume"))
+def event_ticks(spark: SparkSession, sf_dir: str, *also: str) -> DataFrame:
+    """symbol, ts, price, volume of events, and other columns of theirs."""
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("value").cast("double").alias("price"), F.get_json_object("props", "$.k").cast("double").alias("volume"), *also)
 
 
 def event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:

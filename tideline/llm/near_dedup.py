@@ -443,7 +443,7 @@ def _resolved(docs: DataFrame, similarity: int, tile: int) -> tuple[DataFrame, D
         # one row for each different set, however many rows have it
         own = marked.filter("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
         reps = stage(_with_keys(own), "near_reps")
-        keys = reps.select("rep", F.posexplode("keys").alias("kn", "key"))
+        keys = reps.select("rep", "n_shingles", F.posexplode("keys").alias("kn", "key"))
         shared = stage(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("pivot")).filter("n > 1"), "near_shared")
         members = stage(lookup_join(keys, shared, "key", "n", F.xxhash64("rep", "key"), found=True), "near_members")
 
@@ -456,7 +456,7 @@ def _resolved(docs: DataFrame, similarity: int, tile: int) -> tuple[DataFrame, D
         links = _confirmed(nearest, reps, docs, similarity, tile)
         labels = stage(components(links), "near_labels")
 
-        rest = members.filter(F.col("n") > FEW).join(labels, "rep", "left").join(reps.groupBy("rep").agg(F.max("n_shingles").alias("n_shingles")), "rep")
+        rest = members.filter(F.col("n") > FEW).join(labels, "rep", "left")
         rest = stage(rest.select("key", "kn", "pivot", "rep", "n_shingles", F.coalesce("comp", "rep").alias("comp")), "near_large")
         rest = stage(lookup_join(rest, _with_tiles(rest, "key", tile), "key", "_all", F.xxhash64("rep", "key"), found=True).drop("_all"), "near_rest")
         if rest.isEmpty():
@@ -466,7 +466,7 @@ def _resolved(docs: DataFrame, similarity: int, tile: int) -> tuple[DataFrame, D
         cluster = stage(components(edges), "near_clusters")
         rest = stage(rest.join(_renewed(cluster).withColumnRenamed("comp", "cluster"), "rep", "left").withColumn("cluster", F.coalesce("cluster", "rep")), "near_rest")
         by_key = rest.select("cluster", "key", "_cost").distinct().groupBy("cluster").agg(F.sum("_cost").alias("_by_key"))
-        once = stage(rest.select("cluster", "rep", "comp", "n_shingles").distinct(), "near_once")
+        once = stage(rest.groupBy("cluster", "rep", "comp").agg(F.max("n_shingles").alias("n_shingles")), "near_once")
         dense = stage(_with_tiles(once, "cluster", tile).join(by_key, "cluster").filter("_cost <= _by_key").drop("_by_key"), "near_dense")
         more = _verified(_sided(lookup_join(once, dense, "cluster", "_all", F.xxhash64("rep"), found=True), "cluster"), docs, similarity)
         sparse = lookup_join(rest, dense.select("cluster", "_all", F.lit(True).alias("_dense")), "cluster", "_all", F.xxhash64("rep", "key")).filter("_dense is null").drop("_dense", "_all")

@@ -6,7 +6,8 @@ the rest, which is removed.  Pieces of one length are alike, so the programme
 runs on the histogram of lengths (at most ``capacity`` entries, whatever the size of
 the corpus), and a combination is removed as often as its pieces last.  Pieces
 then find their place by rank within their length: a rank is the rank within a
-partition plus the counts of the partitions before.
+partition, which is counted while the pieces are made, plus the counts of the
+partitions before, so that no piece moves.
 """
 
 from __future__ import annotations
@@ -120,54 +121,56 @@ class _Places:
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def token_pieces(docs: DataFrame, *, tokenizer: str = "byte_bpe_50k.json", capacity: int = CAPACITY, carry_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, *, tokenizer: str = "byte_bpe_50k.json", capacity: int = CAPACITY, carry_ids: bool = False, ranked: bool = False) -> DataFrame:
     """Pieces of at most ``capacity`` ids of every document, with the end id: doc_id, piece, start, length, ids_crc32.
 
     Only longer documents are cut; the first piece takes the odd rest, the others
     are full, so that a very long text gives many.  ``carry_ids`` adds the ids, as
-    binary.  Null text counts as empty and gives one piece, the end id.
+    binary, ``ranked`` _at, the pieces of a piece's length before it in its partition.
+    Null text counts as empty and gives one piece, the end id.
     """
     bounded_batches(session_of(docs))
     end = np.array([END_ID], "<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).batch
+        seen = [0] * (capacity + 1)
         for batch in portions(batches):
-            rows: tuple[list, ...] = ([], [], [], [], [], [])
+            rows: tuple[list, ...] = ([], [], [], [], [], [], [])
             for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
                 ids += end
                 n = len(ids) // 4
                 start, to, piece = 0, n if n <= capacity else n % capacity or capacity, 0
                 while start < n:
                     part = ids[4 * start : 4 * to]
-                    for column, value in zip(rows, (doc_id, piece, start, to - start, zlib.crc32(part), part)):
+                    for column, value in zip(rows, (doc_id, piece, start, to - start, zlib.crc32(part), part, seen[to - start])):
                         column.append(value)
+                    seen[to - start] += 1
                     start, to, piece = to, to + capacity, piece + 1
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            names = ("doc_id", "piece", "start", "length", "ids_crc32", "ids")
-            k = 6 if carry_ids else 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows[:k], types)], names=list(names[:k]))
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+            names = ("doc_id", "piece", "start", "length", "ids_crc32", "ids", "_at")
+            kept = [0, 1, 2, 3, 4, *[5] * carry_ids, *[6] * ranked]
+            yield pa.RecordBatch.from_arrays([pa.array(rows[k], types[k]) for k in kept], names=[names[k] for k in kept])
 
-    return docs.select("doc_id", "text").mapInArrow(pieces, _PIECES + (", ids binary" if carry_ids else ""))
+    return docs.select("doc_id", "text").mapInArrow(pieces, _PIECES + ", ids binary" * carry_ids + ", _at long" * ranked)
 
 
 def packed(docs: DataFrame, *, tokenizer: str = "byte_bpe_50k.json", capacity: int = CAPACITY, carry_ids: bool = False) -> DataFrame:
     """token_pieces() with sequence_id and offset of every piece; sequences are gapless from offset 0.
 
     Documents are packed as they come: a repeated row is packed again, a null
-    doc_id keeps its null, and equal lengths are placed in an order that ids and
-    pieces fix.  An empty table gives no rows; other columns are ignored, whatever
-    their names.
+    doc_id keeps its null, and equal lengths are placed in the order in which
+    partitions and rows come.  An empty table gives no rows; other columns are
+    ignored, whatever their names.
     """
     spark = session_of(docs)
-    pieces = stage(token_pieces(docs, tokenizer=tokenizer, capacity=capacity, carry_ids=carry_ids).withColumn("_part", F.spark_partition_id()), "pack_pieces")
+    pieces = stage(token_pieces(docs, tokenizer=tokenizer, capacity=capacity, carry_ids=carry_ids, ranked=True).withColumn("_part", F.spark_partition_id()), "pack_pieces")
     counts = stage(pieces.groupBy("_part", "length").agg(F.count(F.lit(1)).alias("_n")), "pack_counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     places = spark.sparkContext.broadcast(_Places(pack_lengths(histogram, capacity)))
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_part", "length", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("_part", "length").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = pieces.withColumn("_rank", F.row_number().over(within) - 1).join(starts, ["_part", "length"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
+    ranked = pieces.join(starts, ["_part", "length"]).withColumn("_rank", F.col("_at") + F.col("_before"))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * carry_ids
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

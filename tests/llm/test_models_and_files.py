@@ -256,3 +256,9 @@ def test_codewords_correct_an_error(n):
 
 def test_held_out_of_null_ids(spark):
     assert spark.createDataFrame([(None,)], "doc_id long").select(langid.held_out()).first()[0] is False
+
+
+def test_packing_moves_no_pieces_to_rank_them(spark):
+    out = packing.packed(docs(spark, ["a b c", "d e", "f"] * 5), carry_ids=True)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Window" in x and "ids#" in x] and "row_number" not in plan

@@ -1,11 +1,13 @@
 import math
 
+import numpy as np
 import pytest
 from fixtures import frame, walk
 from pyspark.sql import functions as F
 
 from tideline.operators import bandit, ensemble, evaluation, labels
 from tideline.operators.portfolio import Allocator, Execution, Risk
+from tideline.operators.sequential import Portfolio
 from tideline.operators.strategies import MeanReversion
 
 P = "symbol string, ts int, strategy string, side double, probability double, meta_probability double, regime string"
@@ -116,6 +118,40 @@ def test_backtest_never_closes_on_zero(spark):
     assert mc.percentile_5 <= mc.median_final_value <= mc.percentile_95
 
 
+def _shuffled(spark):
+    """Rows that the session's stages have written to shuffles so far."""
+    gateway = spark.sparkContext._gateway
+    none = gateway.jvm.java.util.ArrayList()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(none, False, False, gateway.new_array(gateway.jvm.double, 0), none).iterator()
+    total = 0
+    while stages.hasNext():
+        total += stages.next().shuffleWriteRecords()
+    return total
+
+
+def test_monte_carlo_is_the_fold_of_each_simulation_and_makes_no_row_for_its_bars(spark):
+    rows = [(s, t, [1.0, -1.0, 0.0, None, 0.004, 0.5][(7 * t + k) % 6], None if t % 17 == 3 else 50.0 + k + t % 13) for k, s in enumerate("AB") for t in range(300)]
+    rows += [("C", t, 1.0, 0.0 if t == 0 else 5.0) for t in range(3)]  # a first price of 0 moves nothing
+    df = spark.createDataFrame(rows, "symbol string, ts int, signal double, close double")
+    n, capital, fold = 600, 1000.0, Portfolio("signal", "close", 1000.0)
+    before = _shuffled(spark)
+    got = {r.symbol: r for r in evaluation.monte_carlo(df.drop("close"), df.drop("signal"), n, capital).collect()}
+    assert _shuffled(spark) - before < 20 * len(rows)
+    ids = spark.range(1, n + 1).select(F.col("id").cast("int").alias("sim")).crossJoin(spark.range(1, 301).select(F.col("id").cast("int").alias("at")))
+    for symbol in "ABC":
+        own = [r for r in rows if r[0] == symbol]
+        picks = np.zeros((n, len(own)), int)
+        for r in ids.filter(F.col("at") <= len(own)).select("sim", "at", F.pmod(F.xxhash64(F.lit(42), F.lit(symbol), "sim", "at"), F.lit(len(own))).alias("p")).collect():
+            picks[r.sim - 1, r.at - 1] = r.p
+        last = [fold.step(fold.state(), [own[p][2] for p in line], [r[3] for r in own])[-1]["value"] for line in picks]
+        r = got[symbol]
+        assert (r.mean_final_value, r.median_final_value, r.std_final_value) == pytest.approx((np.mean(last), np.median(last), np.std(last)), rel=1e-12, abs=1e-9)
+        assert (r.percentile_5, r.percentile_95) == pytest.approx(tuple(np.percentile(last, (5, 95))), rel=1e-12)
+        assert r.probability_profit == pytest.approx(np.mean(np.array(last) > capital))
+    with pytest.raises(ValueError):
+        evaluation.monte_carlo(df.drop("close"), df.drop("signal"), 0)
+
+
 def test_as_of(spark):
     prices = spark.createDataFrame([("A", 1, 10.0), ("A", 5, 20.0)], "symbol string, ts int, close double")
     times = spark.createDataFrame([("A", 0), ("A", 1), ("A", 4), ("A", 9), ("B", 3)], "symbol string, ts int")

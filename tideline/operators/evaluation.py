@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,21 +127,73 @@ def walk_forward(features: DataFrame, bars: DataFrame, make_model, *, train: int
     return simple_backtest(predicted, bars, capital)
 
 
+#: Simulations that run side by side, and draws that are made at a time.
+SIDE_BY_SIDE, DRAWS = 250, 1 << 18
+
+
+def xxhash64_of_ints(values: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64() of ints from 0 on, carried on from the hash of the columns before; both unsigned, of 64 bits."""
+    p1, p2, p3, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+    h = seed + (p5 + np.uint64(4)) ^ values.astype(np.uint64) * p1
+    h = (h << np.uint64(23) | h >> np.uint64(41)) * p2 + p3
+    h = (h ^ h >> np.uint64(33)) * p2
+    h = (h ^ h >> np.uint64(29)) * p3
+    return h ^ h >> np.uint64(32)
+
+
+def _simulated(fold: Portfolio, signals: np.ndarray, closes: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """Last values of accounts, one for each seed, that follow a signal drawn anew for each bar."""
+    state = fold.state() | {"position": np.zeros(len(seeds)), "value": np.full(len(seeds), fold.capital)}
+    step = max(1, DRAWS // len(seeds))
+    for a in range(0, len(closes), step):
+        b = min(a + step, len(closes))
+        picks = xxhash64_of_ints(np.arange(a + 1, b + 1)[:, None], seeds[None, :]).view(np.int64) % len(signals)
+        fold.side_by_side(state, signals[picks], closes[a:b])
+    return state["value"]
+
+
 def monte_carlo(signals: DataFrame, bars: DataFrame, simulations: int = 1000, capital: float = 100_000.0, seed: int = 42) -> DataFrame:
     """Per symbol, over accounts that follow resampled signals: mean, median, std, percentiles of values, returns, chance of profit.
 
-    Every simulation is a symbol of its own to the fold, so they run side by side.
+    A task takes a symbol's bars once for SIDE_BY_SIDE simulations, and each row of them for all of these at once, so that
+    no row is made for a simulation's bar.  Signals are drawn from the whole symbol: a task holds 16 bytes a bar of it.
     """
-    place = Window.partitionBy("symbol").orderBy("ts")
-    rows = signals.select("symbol", "ts", "signal").join(bars.select("symbol", "ts", "close"), ["symbol", "ts"])
-    rows = rows.withColumn("_at", F.row_number().over(place)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("symbol")))
-    draws = rows.select("symbol", "ts", "close", "_at", "_n", F.explode(F.sequence(F.lit(1), F.lit(simulations))).alias("sim"))
-    draws = draws.withColumn("_pick", (F.pmod(F.xxhash64(F.lit(seed), "symbol", "sim", "_at"), F.col("_n")) + 1).cast("int"))
-    picked = draws.join(rows.select("symbol", F.col("_at").alias("_pick"), "signal"), ["symbol", "_pick"])
-    keyed = picked.select(F.concat_ws("\x1f", "symbol", "sim").alias("symbol"), F.col("symbol").alias("_symbol"), "ts", "signal", "close")
-    run = with_folds(keyed, {"_p": Portfolio("signal", "close", capital)})
-    final = run.groupBy("symbol", "_symbol").agg(F.max_by("_p.value", "ts").alias("v")).withColumn("r", F.col("v") / capital - 1.0)
-    return final.groupBy(F.col("_symbol").alias("symbol")).agg(
+    if simulations < 1:
+        raise ValueError("there must be a simulation at least")
+    fold = Portfolio("signal", "close", capital)
+    rows = signals.select("symbol", "ts", F.col("signal").cast("double")).join(bars.select("symbol", "ts", F.col("close").cast("double")), ["symbol", "ts"])
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((simulations - 1) // SIDE_BY_SIDE)))
+    keyed = rows.select("symbol", blocks.alias("_block"), "ts", F.xxhash64(F.lit(seed), "symbol").alias("_seed"), "signal", "close")
+    dealt = keyed.repartition("symbol", "_block").sortWithinPartitions("symbol", "_block", "ts").drop("ts")
+    types = [pa.string(), pa.float64()]
+
+    def finals(symbol: str, block: int, start: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        sims = np.arange(block * SIDE_BY_SIDE + 1, min((block + 1) * SIDE_BY_SIDE, simulations) + 1)
+        seeds = xxhash64_of_ints(sims, np.array([start], np.int64).view(np.uint64))
+        values = _simulated(fold, *(np.concatenate(x) for x in zip(*parts)), seeds)
+        columns = [symbol] * len(sims), values
+        return pa.RecordBatch.from_arrays([pa.array(c, t, from_pandas=True) for c, t in zip(columns, types)], names=["symbol", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, parts = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            symbols, blocks, starts, *both = (batch[c].to_numpy(zero_copy_only=False) for c in ("symbol", "_block", "_seed", "signal", "close"))
+            changes = (symbols[1:] != symbols[:-1]) | (blocks[1:] != blocks[:-1])
+            cuts = [0, *(np.flatnonzero(changes) + 1), len(symbols)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                new = symbols[a], int(blocks[a]), int(starts[a])
+                if parts and new != key:
+                    yield finals(*key, parts)
+                    parts = []
+                key = new
+                parts.append(tuple(x[a:b].astype(float) for x in both))
+        if parts:
+            yield finals(*key, parts)
+
+    final = dealt.mapInArrow(run, "symbol string, v double").withColumn("r", F.col("v") / capital - 1.0)
+    return final.groupBy("symbol").agg(
         F.avg("v").alias("mean_final_value"), F.percentile("v", 0.5).alias("median_final_value"), F.stddev_pop("v").alias("std_final_value"), F.avg("r").alias("mean_return"), F.percentile("r", 0.5).alias("median_return"), F.stddev_pop("r").alias("std_return"),
         F.percentile("v", 0.05).alias("percentile_5"), F.percentile("v", 0.95).alias("percentile_95"), F.avg(F.when(F.col("r") > 0, 1.0).otherwise(0.0)).alias("probability_profit"))
 

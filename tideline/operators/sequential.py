@@ -238,6 +238,19 @@ class Portfolio(Fold):
         state.update(position=position, value=value, first=first)
         return out
 
+    def side_by_side(self, state, signals: np.ndarray, prices: np.ndarray) -> None:
+        """step() of many accounts at once, a column of signals for each, without its rows; NaN stands for a missing one."""
+        position, value, first = state["position"], state["value"], state["first"]
+        with np.errstate(all="ignore"):
+            for s, p in zip(np.where(np.isnan(signals), 0.0, signals), prices.tolist()):
+                gap = np.abs(s * self.size - position)
+                position = position + np.where((gap > self.least) & (np.abs(s) >= 0.01), np.copysign(gap, s), 0.0)
+                if p == p:
+                    first = p if first is None else first
+                    if first:
+                        value = value * (1 - np.abs(position)) + position * value * p / first
+        state.update(position=position, value=value, first=first)
+
 
 def with_folds(df: DataFrame, folds: Mapping[str, Fold], by: str = "symbol", order: str | Sequence[str] = "ts") -> DataFrame:
     """df with a column for each fold, in one pass."""

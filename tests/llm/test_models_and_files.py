@@ -44,6 +44,34 @@ def test_ids_of_every_letter_below_u0250_beside_others(name):
         assert np.frombuffer(ids, "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+class _Counted:
+    """A tokenizer that counts the ids it is asked for."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.ids = tokenizer, 0
+        self.encode = tokenizer.encode
+
+    def encode_batch_fast(self, texts, **how):
+        out = self.tokenizer.encode_batch_fast(texts, **how)
+        self.ids += sum(len(x.ids) for x in out)
+        return out
+
+
+def test_words_behind_blanks_are_encoded_without_marks_between_them():
+    from tideline.llm import tokens
+
+    e, draw = tokens.Encoder("byte_bpe_50k.json"), random.Random(11)
+    words = sorted({"".join(draw.choice("aeirstnßéüñÈ") for _ in range(draw.randint(1, 12))) for _ in range(3000)})
+    text = " " + " ".join(words)
+    right = e.tokenizer.encode(text, add_special_tokens=False).ids
+    e.tokenizer = _Counted(e.tokenizer)
+    assert np.frombuffer(e.batch([text])[0], "<u4").tolist() == right
+    assert e.tokenizer.ids == len(right)
+    odd = ["don't 's x  y\n z\x1c a", " it's\u2003ok  \n\n no", "a\x01 b \x01c", " ", "x ", " <|endoftext|> <s> x", "語 b\u0301 語 c"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in e.batch(odd)]
+    assert got == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in odd]
+
+
 def test_the_cache_is_bounded_in_bytes(monkeypatch):
     from tideline.llm import tokens
 

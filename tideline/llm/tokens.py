@@ -66,6 +66,9 @@ class Encoder:
         self.mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
         if len(self.mark) != 1:
             raise ValueError(f"{name} has no single id for the mark")
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)  # byte-level: a token has a character for each byte
+        self.bytes_of[[*vocabulary.values()]] = [*map(len, vocabulary)]
 
     def chunks(self, text: str) -> list[str]:
         if _FINE.fullmatch(text):
@@ -78,22 +81,42 @@ class Encoder:
         return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def _together(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of chunks, many to a call; those that a neighbour could change go alone."""
+        """Ids of chunks, many to a call; those that a neighbour could change go alone.
+
+        Words behind a blank need nothing between them where ids stand for bytes: their bytes tell them apart.  Others get the mark.
+        """
         new = {c: self._alone(c) for c in chunks if _MARK in c or not self.by_word and (c.isspace() or c[0] == "'" or c[-1] in "\x1c\x1d\x1e\x1f")}
         rest = [c for c in chunks if c not in new]
-        between = f" {_MARK} " if self.by_word else _MARK
-        for at in range(0, len(rest), TOGETHER):
-            some = rest[at : at + TOGETHER]
-            ids = np.array(self.tokenizer.encode_batch_fast([between.join(some)], add_special_tokens=False)[0].ids, "<u4")
+        if self.by_word:
+            self._marked(rest, f" {_MARK} ", new)
+            return new
+        behind, other = [], []
+        for c in rest:
+            (behind if c[0] == " " else other).append(c)
+        self._marked(other, _MARK, new)
+        for at in range(0, len(behind), TOGETHER):
+            some = behind[at : at + TOGETHER]
+            ids = self._ids("".join(some))
+            ends, cuts = np.cumsum(self.bytes_of[ids]), np.cumsum([len(c.encode()) for c in some])
+            last = np.searchsorted(ends, cuts)
+            if not len(ids) or ends[-1] != cuts[-1] or (ends[last] != cuts).any():
+                new.update((c, self._alone(c)) for c in some)
+            else:
+                _cut(new, some, ids.tobytes(), [0, *(last + 1).tolist()], (last + 1).tolist())
+        return new
+
+    def _marked(self, chunks: list[str], between: str, new: dict[str, bytes]) -> None:
+        for at in range(0, len(chunks), TOGETHER):
+            some = chunks[at : at + TOGETHER]
+            ids = self._ids(between.join(some))
             cuts = np.flatnonzero(ids == self.mark[0])
             if len(cuts) != len(some) - 1:
                 new.update((c, self._alone(c)) for c in some)
-                continue
-            raw, first = ids.tobytes(), 0
-            for c, cut in zip(some, [*cuts.tolist(), len(ids)]):
-                new[c] = raw[4 * first : 4 * cut]
-                first = cut + 1
-        return new
+            else:
+                _cut(new, some, ids.tobytes(), [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)])
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """In portions of some TOGETHER_CHARS, so that long texts don't stand in memory in pieces all at once."""
@@ -108,17 +131,22 @@ class Encoder:
 
     def _portion(self, texts: list[str | None]) -> list[bytes]:
         known, parts = self.known, [self.chunks(t) if t else [] for t in texts]
-        new = self._together(list(set().union(*parts).difference(known)))
-        known.update(new)
-        look = known.__getitem__
-        out = [b"".join(map(look, p)) for p in parts]
+        found = [[*map(known.get, p)] for p in parts]
+        holes = [[i for i, ids in enumerate(f) if ids is None] for f in found]
+        new = self._together(list({p[i] for p, at in zip(parts, holes) for i in at}))
+        for p, f, at in zip(parts, found, holes):
+            for i in at:
+                f[i] = new[p[i]]
         for c, ids in new.items():
             cost = len(c) + len(ids) + CHUNK_BYTES
-            if len(c) > LONG or self.held + cost > CACHE_BYTES:
-                del known[c]
-            else:
+            if len(c) <= LONG and self.held + cost <= CACHE_BYTES:
+                known[c] = ids
                 self.held += cost
-        return out
+        return [*map(b"".join, found)]
+
+
+def _cut(new: dict[str, bytes], chunks: list[str], raw: bytes, starts: list[int], ends: list[int]) -> None:
+    new.update((c, raw[4 * a : 4 * b]) for c, a, b in zip(chunks, starts, ends))
 
 
 @cache

@@ -1,12 +1,14 @@
 import os
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from tideline.llm import entry, near_dedup
+from tideline.llm import common, entry, near_dedup, tokens
 from tideline.llm.tokens import encoder
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -99,3 +101,37 @@ def test_registered_queries_run(spark):
                 a, b = root(i), root(j)
                 top[max(a, b)] = min(a, b)
     assert comp == {i: root(i) for i in ids}  # both ways: every link is found, and no other
+
+
+def test_workers_keep_no_words_of_near_dedup():
+    """Later stages run in the same workers: hashes of 100,000 words held 10 MB and more there."""
+    near_dedup.shingles("a b c d e f")
+    tracemalloc.start()
+    try:
+        for k in range(100):
+            near_dedup.shingles(" ".join(f"word{k}x{i}" for i in range(1000)))
+        assert tracemalloc.get_traced_memory()[0] < 2 << 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_share_of_the_cache_gives_the_same_ids(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 40_000)
+    e = tokens.Encoder("byte_bpe_50k.json", 0.5)
+    texts = [" ".join(f"word{k}{i}" for i in range(100)) for k in range(20)]
+    for _ in range(2):
+        for text, ids in zip(texts, e.batch(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+    assert 10_000 < e.held <= 20_000
+
+
+def test_arrow_returns_memory_between_batches(monkeypatch):
+    freed = []
+
+    class Pool:
+        def release_unused(self):
+            freed.append(1)
+
+    monkeypatch.setattr(common.pa, "default_memory_pool", Pool)
+    batches = [pa.RecordBatch.from_pydict({"x": [k, k + 1]}) for k in range(3)]
+    assert list(common.released(iter(batches))) == batches and len(freed) == 3

@@ -109,6 +109,13 @@ def portions(batches: Iterator[pa.RecordBatch], rows: int = PORTION_ROWS, size:
             yield batch.slice(at, step)
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; what Arrow holds of those before goes back to the system, since workers live on for later stages."""
+    for batch in batches:
+        yield batch
+        pa.default_memory_pool().release_unused()
+
+
 def beside(df: DataFrame, *new: T.StructField) -> T.StructType:
     """The schema of _row, a struct of all columns of df, and new columns; names of the two don't clash."""
     return T.StructType([T.StructField("_row", df.schema, False), *new])

@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, by_id, dealt_groups, lookup_join, portions, scratch, session_of, stage
+from .common import bounded_batches, by_id, dealt_groups, lookup_join, portions, released, scratch, session_of, stage
 
 SHINGLE = 5
 SIMILARITY = 75  # of 100
@@ -67,22 +66,18 @@ _XOR = _draw.integers(1, 1 << 32, VALUES + MORE, np.uint32)
 _TIMES = _draw.integers(1, 1 << 32, VALUES + MORE, np.uint32) | np.uint32(1)
 
 
-@lru_cache(200_000)
-def _word(word: bytes) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(word)
-
-
 def shingles(text: str | None) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles: words between ASCII white space, A-Z lower-cased.
 
-    Fewer words than a shingle make one shingle; none make an empty set.
+    Fewer words than a shingle make one shingle; none make an empty set.  Hashes of
+    words are not kept: that takes longer than making them, and memory in every worker.
     """
+    from xxhash import xxh3_64_intdigest
+
     words = text.encode().lower().split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(_word, words), np.uint64, len(words))
+    hashes = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
     n = max(len(hashes) - SHINGLE + 1, 1)
     total = np.full(n, min(len(hashes), SHINGLE), np.uint64)
     for k in range(min(SHINGLE, len(hashes))):
@@ -151,7 +146,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in portions(batches):
+        for batch in portions(released(batches)):
             sizes, sets, sigs = [], [], []
             for text in batch.column(1).to_pylist():
                 hashes = shingles(text)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, portions, session_of, stage
+from .common import bounded_batches, portions, released, session_of, stage
 from .tokens import END_ID, encoder
 
 CAPACITY = 1024
@@ -133,9 +133,9 @@ def token_pieces(docs: DataFrame, *, tokenizer: str = "byte_bpe_50k.json", capac
     end = np.array([END_ID], "<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).batch
+        encode = encoder(tokenizer, 0.5 if carry_ids else 1.0).batch  # beside the ids, half the cache
         seen = [0] * (capacity + 1)
-        for batch in portions(batches):
+        for batch in portions(released(batches)):
             rows: tuple[list, ...] = ([], [], [], [], [], [], [])
             for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
                 ids += end

@@ -53,7 +53,7 @@ END_ID = 2
 class Encoder:
     """Texts to ids, as little-endian unsigned 32-bit bytes, without an end id."""
 
-    def __init__(self, name: str) -> None:
+    def __init__(self, name: str, share: float = 1.0) -> None:
         import public_tokenizers
         from tokenizers import Tokenizer
 
@@ -62,7 +62,7 @@ class Encoder:
         self.by_word = "word_bpe" in name
         self.coarse, self.fine = (_WORD_CHUNK if self.by_word else _BYTE_CHUNK).findall, _fine(self.by_word).findall
         self.known: dict[str, bytes] = {}
-        self.held = 0
+        self.held, self.share = 0, share  # of CACHE_BYTES
         self.mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
         if len(self.mark) != 1:
             raise ValueError(f"{name} has no single id for the mark")
@@ -139,7 +139,7 @@ class Encoder:
                 f[i] = new[p[i]]
         for c, ids in new.items():
             cost = len(c) + len(ids) + CHUNK_BYTES
-            if len(c) <= LONG and self.held + cost <= CACHE_BYTES:
+            if len(c) <= LONG and self.held + cost <= CACHE_BYTES * self.share:
                 known[c] = ids
                 self.held += cost
         return [*map(b"".join, found)]
@@ -150,6 +150,6 @@ def _cut(new: dict[str, bytes], chunks: list[str], raw: bytes, starts: list[int]
 
 
 @cache
-def encoder(name: str) -> Encoder:
-    """Of a file of public_tokenizers, or of a path; one for each worker."""
-    return Encoder(name)
+def encoder(name: str, share: float = 1.0) -> Encoder:
+    """Of a file of public_tokenizers, or of a path, with a share of CACHE_BYTES; one for each worker."""
+    return Encoder(name, share)
